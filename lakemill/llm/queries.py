@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import language_id, token_counts
+from . import byte_bpe, language_id, packing, token_counts, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,6 +24,62 @@ def remainder(column: str, n: int) -> Column:
     return F.pmod(F.crc32(F.col(column).cast("string")), F.lit(n))
 
 
+def tokenizer_file(name: str) -> bytes:
+    import public_tokenizers
+
+    with open(public_tokenizers.path(name), "rb") as f:  # of the driver's own installation; tasks get its bytes
+        return f.read()
+
+
+@query
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document and the bytes that they decode to, as digests."""
+    import public_tokenizers
+
+    bpe = byte_bpe.PrefixBpe.from_rank_file(tokenizer_file("byte_bpe_50k.tiktoken"))
+    return byte_bpe.encode_texts(table(spark, sf_dir, "documents"), bpe, public_tokenizers.PATTERN, with_ids=False)
+
+
+@query
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces and their places in sequences of at most 2048 ids."""
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
+SITE_RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
+
+
+@query
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict of every page's URL."""
+    rules = [url_filter.site_rule(*r) for r in SITE_RULES] + list(url_filter.DEFAULT_RULES)
+    return url_filter.judge(table(spark, sf_dir, "pages"), rules)
+
+
+_WORDS = "|".join(url_filter.BLOCKED_WORDS)
+ORACLES["op5_url_filter"] = f"""
+WITH cut AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), split AS (
+  SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS raw, rest FROM cut
+), parts AS (
+  SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path
+  FROM split
+), rules AS (
+  SELECT * FROM (VALUES {", ".join(f"('{v}', '{r}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}')" for v, r in SITE_RULES)}) AS t(verdict, rule, rule_host, rule_path)
+), fitting AS (
+  SELECT p.page_id, p.host, p.path, r.rule, r.verdict,
+         row_number() OVER (PARTITION BY p.page_id ORDER BY length(r.rule) DESC NULLS LAST) AS nth
+  FROM parts p LEFT JOIN rules r
+    ON (p.host = r.rule_host OR ends_with(p.host, '.' || r.rule_host)) AND starts_with(p.path, r.rule_path)
+)
+SELECT page_id, host, path, rule,
+       coalesce(verdict, CASE WHEN regexp_matches(host || path, '(^|[^A-Za-z0-9])({_WORDS})([^A-Za-z0-9]|$)') THEN 'block' ELSE 'allow' END) AS verdict
+FROM fitting WHERE nth = 1
+"""
+
+
 @query
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learnt from those whose remainder is not 2."""
