@@ -28,5 +28,4 @@ def ship(spark: SparkSession) -> None:
                     full = os.path.join(folder, name)
                     archive.write(full, os.path.join("lakemill", os.path.relpath(full, here)))
     context.addPyFile(path)
-    os.unlink(path) if not context.master.startswith(("local",)) else None
     context._lakemill_shipped = True
