@@ -132,8 +132,8 @@ def shingle_hashes(words: np.ndarray, offs: np.ndarray, size: int = 5) -> list[n
         if b - a >= size:
             out.append(np.unique(runs[a : b - size + 1]))
         elif b > a:
-            short = (words[a:b] * _GAPS[: b - a]).sum(dtype=np.uint64) + np.uint64(b - a) * _GAPS[62]
-            out.append(mix(np.array([short], np.uint64)))
+            short = np.append(words[a:b] * _GAPS[: b - a], _GAPS[61 - (b - a)])
+            out.append(mix(short.sum(dtype=np.uint64, keepdims=True)))
         else:
             out.append(np.empty(0, np.uint64))
     return out
