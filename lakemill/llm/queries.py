@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import byte_bpe, language_id, packing, token_counts, url_filter
+from . import byte_bpe, embedding_dedup, language_id, lm_scoring, neighbours, ngram_join, packing, token_counts, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,6 +24,12 @@ def remainder(column: str, n: int) -> Column:
     return F.pmod(F.crc32(F.col(column).cast("string")), F.lit(n))
 
 
+@query
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of documents whose sets of 5-word runs are alike at 0.75 or more."""
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def tokenizer_file(name: str) -> bytes:
     import public_tokenizers
 
@@ -89,6 +95,24 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+@query
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and classes of all vectors at a cosine of 0.95 or more."""
+    return embedding_dedup.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model scores of all documents, learnt from those whose remainder is not 0."""
+    return lm_scoring.score_texts(table(spark, sf_dir, "documents"), remainder("doc_id", 10) == 0)
+
+
+@query
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of all rows to each whose id is divisible by 20."""
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 @query
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words and greedy word pieces of every document, by the pieces of ``piece_bpe_32k.model``."""
