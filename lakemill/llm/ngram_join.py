@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .bytewords import mix, shingle_hashes, slices, span_hashes, text_bytes, word_spans
 from .components import connected_components
-from .scratch import Scratch, bounded_broadcast
+from .scratch import Scratch, bounded_broadcast, matching
 
 #: Documents that hold a token, from which it comes last in the order.
 FREQUENT = 32
@@ -40,8 +40,6 @@ _COUNTED, _BOUNDED = np.uint64(int(0.6 * 2**64)), np.uint64(int(0.22 * 2**64))
 _LISTED = 4_000_000
 #: Tokens that one task sorts, about.
 _BUCKET = 2_000_000
-#: Nodes that are broadcast to prune what a join has to shuffle; more are joined by shuffles alone.
-_PRUNED = 4_000_000
 
 
 def _sets(batch: pa.RecordBatch, words: int) -> list[np.ndarray]:
@@ -123,13 +121,6 @@ def sketches(rows: DataFrame, frequent: np.ndarray, words: int, percent: int) ->
     return rows.mapInArrow(run, "doc_id long, n long, high long, low long, m1 long, m2 long, sketch binary, rare int, slack long")
 
 
-def _pruned(table: DataFrame, nodes: DataFrame, column: str) -> DataFrame:
-    """Rows of ``table`` whose ``column`` is in ``nodes (node)``: pruned by broadcast up to ``_PRUNED`` nodes, else by shuffle."""
-    few = len(nodes.limit(_PRUNED + 1).select(F.lit(1)).take(1)) and nodes.count() <= _PRUNED
-    nodes = nodes.select(F.col("node").alias("_node"))
-    return table.join(F.broadcast(nodes) if few else nodes, F.col(column) == F.col("_node"), "left_semi")
-
-
 def _linked(pairs: DataFrame, rows: DataFrame, words: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
     """The pairs ``(a, b)`` of nodes whose sets link; sets are built anew for the nodes in question."""
     nodes = scratch.table(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), f"{name}-nodes")
@@ -138,7 +129,7 @@ def _linked(pairs: DataFrame, rows: DataFrame, words: int, percent: int, scratch
         for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.tobytes() for s in _sets(batch, words)], pa.binary())], ["node", "tokens"])
 
-    found = _pruned(rows, nodes, "doc_id").mapInArrow(sets, "node long, tokens binary")
+    found = matching(rows, "doc_id", nodes).mapInArrow(sets, "node long, tokens binary")
     left, right = (found.select(F.col("node").alias(c), F.col("tokens").alias(f"tokens_{c}")) for c in "ab")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +148,7 @@ def _linked(pairs: DataFrame, rows: DataFrame, words: int, percent: int, scratch
 def _sketch_bound(pairs: DataFrame, nodes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """The pairs that their sketches leave possible: sizes, and rare tokens under the bound that differ."""
     some = scratch.table(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "stars-nodes")
-    info = _pruned(nodes, some, "node").select("node", "n", "sketch", "rare", "slack")
+    info = matching(nodes, "node", some).select("node", "n", "sketch", "rare", "slack")
     left, right = (info.select(*(F.col(c).alias(k if c == "node" else f"{c}_{k}") for c in info.columns)) for k in "ab")
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

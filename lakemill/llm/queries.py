@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import byte_bpe, embedding_dedup, language_id, lm_scoring, neighbours, ngram_join, packing, token_counts, url_filter
+from . import byte_bpe, embedding_dedup, language_id, lm_scoring, neighbours, ngram_join, packing, quality, token_counts, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,6 +24,12 @@ def remainder(column: str, n: int) -> Column:
     return F.pmod(F.crc32(F.col(column).cast("string")), F.lit(n))
 
 
+@query
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How likely every document is good, by its text and by its source and language."""
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of documents whose sets of 5-word runs are alike at 0.75 or more."""

@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Largest object that an operator broadcasts, in bytes. What may grow with the data is joined beyond it.
 BROADCAST_BYTES = 64 << 20
@@ -56,3 +57,17 @@ def bounded_broadcast(spark: SparkSession, value, size: int):
     if size > BROADCAST_BYTES:
         raise ValueError(f"{size} bytes are more than may be broadcast ({BROADCAST_BYTES})")
     return spark.sparkContext.broadcast(value)
+
+
+#: Ids that are broadcast to prune a large table, at most; more are joined by shuffles.
+PRUNED_IDS = 4_000_000
+
+
+def matching(table: DataFrame, column: str, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """Rows of ``table`` whose ``column`` is among the ``ids`` (one column), or with ``left_anti`` those whose isn't.
+
+    Up to ``PRUNED_IDS`` ids are broadcast, so the table isn't shuffled; null is never among them.
+    """
+    ids = ids.toDF("_id")
+    few = ids.limit(PRUNED_IDS + 1).count() <= PRUNED_IDS
+    return table.join(F.broadcast(ids) if few else ids, F.col(column) == F.col("_id"), how)
