@@ -9,7 +9,7 @@ of rows, each block takes its share of the repeat counts, rounded down, and pack
 
 from __future__ import annotations
 
-import itertools
+import os
 import re
 import unicodedata
 import zlib
@@ -27,7 +27,7 @@ from .scratch import Scratch, bounded_broadcast
 #: Rows that one task packs at a time.
 BLOCK_ROWS = 32_768
 #: Words whose ids a task remembers, at most; it starts anew beyond that.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 
 _WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[{L}]+|[{N}]|[^\s{L}{N}]+"
 # The texts that the quick path takes: printable Latin-1 without the no-break space, which NFC leaves as they are.
@@ -45,13 +45,26 @@ class WordIds:
     def __init__(self, data: bytes):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_buffer(data)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
+        tokens = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(tokens.values()) + 1, bool)
+        self.closes[[i for t, i in tokens.items() if t.endswith("</w>")]] = True
 
     def _bytes(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of each word, many at a call: as one text, cut where an id closes a word."""
+        found: list[bytes] = []
+        parts = [words[k : k + 500] for k in range(0, len(words), 500)]
+        for some, raw in zip(parts, self._bytes([" ".join(p) for p in parts])):
+            cuts = (4 * np.flatnonzero(self.closes[np.frombuffer(raw, "<u4")]) + 4).tolist()
+            found += [raw[a:b] for a, b in zip([0, *cuts], cuts)] if len(cuts) == len(some) else self._bytes(some)
+        return found
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, four little-endian bytes each."""
         out: list[bytes | None] = []
@@ -66,8 +79,8 @@ class WordIds:
         if len(self.known) >= REMEMBERED:
             self.known.clear()
         known = self.known
-        new = list({w for some in words for w in some if w not in known})
-        known.update(zip(new, self._bytes(new)))
+        new = list(set().union(*words).difference(known))
+        known.update(zip(new, self._words(new)))
         found = [b"".join([known[w] for w in some]) if done is None else done for some, done in zip(words, out)]
         for w in new:
             if len(w) > 64:
@@ -199,7 +212,7 @@ def cut_into_pieces(docs: DataFrame, tokenizer: bytes, end_id: int, window: int,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = WordIds(shared.value)
-        for batch in slices(batches):
+        for batch in slices(batches, limit=1 << 20):
             rows: list[tuple[int, int, int, int, int]] = []
             ids: list[bytes] = []
             for i, coded in enumerate(coder.encode([t or "" for t in batch.column("text").to_pylist()])):
