@@ -118,7 +118,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, id_col: s
             yield pa.RecordBatch.from_arrays([batch.column("id").cast(pa.int64()), batch.column("y"), pa.array(list(features(batch.column("text"))), pa.list_(pa.float64()))], ["id", "y", "x"])
 
     found = some.select("id", "y", "text").mapInArrow(told, "id long, y double, x array<double>").toPandas().sort_values("id")
-    return fit_rows(np.array(found["x"].tolist()).reshape(len(found), -1), (found["y"].to_numpy() >= 0.5).astype(float))
+    return fit_rows(np.stack(found["x"].to_list()) if len(found) else np.empty((0, 1)), (found["y"].to_numpy() >= 0.5).astype(float))
 
 
 def _strength(groups: DataFrame, share: str, good: str, n: str) -> float:
