@@ -36,6 +36,32 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+_REACHED = """SELECT node, min(root) AS component_id FROM (
+  WITH RECURSIVE reach(node, root) AS (SELECT node, node FROM nodes UNION SELECT l.b, r.root FROM reach r JOIN links l ON l.a = r.node) SELECT * FROM reach
+) GROUP BY node"""
+ORACLES["op2_ngram_join"] = f"""
+WITH words AS (
+  SELECT doc_id, [w FOR w IN regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+') IF w <> ''] AS w FROM documents
+), sets AS MATERIALIZED (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE [array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)] END) AS s FROM words
+), items AS MATERIALIZED (SELECT doc_id, unnest(s) AS t FROM sets),
+shared AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM items x JOIN items y ON x.t = y.t AND x.doc_id <> y.doc_id GROUP BY ALL),
+links AS MATERIALIZED (
+  SELECT a, b FROM shared JOIN sets x ON x.doc_id = a JOIN sets y ON y.doc_id = b WHERE 100 * k >= 75 * (len(x.s) + len(y.s) - k)
+), nodes AS (SELECT doc_id AS node FROM sets), reached AS ({_REACHED})
+SELECT doc_id, len(s) AS n_shingles, component_id FROM sets JOIN reached ON node = doc_id
+"""
+ORACLES["op7_embedding_dedup"] = f"""
+WITH vectors AS MATERIALIZED (
+  SELECT vec_id, embedding::DOUBLE[] AS v, embedding IS NOT NULL AND len(embedding) > 0 AND list_bool_and([x IS NOT NULL AND isfinite(x) FOR x IN embedding]) AND list_bool_or([x <> 0 FOR x IN embedding]) AS fine FROM embeddings
+), links AS MATERIALIZED (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM vectors x JOIN vectors y ON x.vec_id <> y.vec_id AND x.fine AND y.fine AND len(x.v) = len(y.v)
+  WHERE list_cosine_similarity(x.v, y.v) >= 0.95
+), nodes AS (SELECT vec_id AS node FROM vectors), reached AS ({_REACHED}), n AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM vectors JOIN reached ON node = vec_id LEFT JOIN n ON a = vec_id
+"""
+
+
 def tokenizer_file(name: str) -> bytes:
     import public_tokenizers
 
