@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .stemmer import stem
+
 # Fixed: the English stop words of the public Snowball list.
 STOP_WORDS = frozenset(
     "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs "
@@ -26,7 +28,23 @@ def joined(columns: list[Column]) -> Column:
     return F.concat_ws(" ", *(F.coalesce(c.cast("string"), F.lit("")) for c in columns))
 
 
-def places(tokens: Column, word: str, most: int = 255, last: int = 16383) -> Column:
-    """Where ``word`` stands among ``tokens``, up to ``most`` places, none beyond ``last``."""
-    at = F.filter(F.transform(tokens, lambda w, i: F.when(w == word, i + 1)), lambda p: p.isNotNull())
+def places(tokens: Column, forms: list[str], most: int = 255, last: int = 16383) -> Column:
+    """Where one of ``forms`` stands among ``tokens``, up to ``most`` places, none beyond ``last``."""
+    at = F.filter(F.transform(tokens, lambda w, i: F.when(w.isin(forms), i + 1)), lambda p: p.isNotNull())
     return F.slice(F.transform(at, lambda p: F.least(p, F.lit(last))), 1, most)
+
+
+def forms_of(tokens: DataFrame, wanted: list[str]) -> dict[str, list[str]]:
+    """Of each wanted word the words of ``tokens`` (one array column) with its stem, itself among them.
+
+    Stems are made of distinct words, a batch at a time; only those that share a wanted stem reach the driver.
+    """
+    stems = sorted({stem(w) for w in wanted})
+
+    @F.pandas_udf("string")
+    def stemmed(words):  # noqa: ANN001, ANN202
+        return words.map(stem)
+
+    vocabulary = tokens.select(F.explode(tokens.columns[0]).alias("word")).distinct()
+    found = vocabulary.withColumn("stem", stemmed("word")).where(F.col("stem").isin(stems)).collect()
+    return {w: sorted({w, *(r["word"] for r in found if r["stem"] == stem(w))}) for w in wanted}

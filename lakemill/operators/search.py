@@ -10,7 +10,7 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import STOP_WORDS, joined, places, words
+from ..functions.text import STOP_WORDS, forms_of, joined, places, words
 from ..types import ROW_ID, TEXT, UnknownColumn, column_types, safe_name
 from .paging import Page
 
@@ -49,33 +49,39 @@ def parse_query(text: str, stop_words: frozenset[str] = STOP_WORDS) -> Query:
     return Query(kind, terms, [b for b in branches if b])
 
 
-def _phrase(tokens: Column, phrase: list[str]) -> Column:
-    """Whether the words follow one another; an empty one, a stop word, stands for any."""
+def query_words(query: Query) -> list[str]:
+    """The words that a query looks for or excludes, each once."""
+    return list(dict.fromkeys(w for b in query.branches for _, p in b for w in p if w))
+
+
+def _phrase(tokens: Column, phrase: list[str], forms: dict[str, list[str]]) -> Column:
+    """Whether the words, in any of their forms, follow one another; an empty one, a stop word, stands for any."""
+    of = lambda w: forms.get(w, [w])
     first = next(i for i, w in enumerate(phrase) if w)
     rest = [(i - first, w) for i, w in enumerate(phrase) if w and i > first]
-    has = reduce(and_, (F.array_contains(tokens, w) for w in dict.fromkeys(w for w in phrase if w)))
+    has = reduce(and_, (F.arrays_overlap(tokens, F.array(*map(F.lit, of(w)))) for w in dict.fromkeys(w for w in phrase if w)))
     if not rest:
         return has
-    follows = lambda p: reduce(and_, (F.try_element_at(tokens, (p + i).cast("int")) == w for i, w in rest))
-    return has & F.coalesce(F.exists(places(tokens, phrase[first]), lambda p: F.coalesce(follows(p), F.lit(False))), F.lit(False))
+    follows = lambda p: reduce(and_, (F.try_element_at(tokens, (p + i).cast("int")).isin(of(w)) for i, w in rest))
+    return has & F.coalesce(F.exists(places(tokens, of(phrase[first])), lambda p: F.coalesce(follows(p), F.lit(False))), F.lit(False))
 
 
-def match_column(tokens: Column, query: Query) -> Column:
-    """Whether a row's words match. A query of stop words alone matches nothing."""
-    fits = [reduce(and_, (_phrase(tokens, p) if wanted else ~_phrase(tokens, p) for wanted, p in b)) for b in query.branches]
+def match_column(tokens: Column, query: Query, forms: dict[str, list[str]] | None = None) -> Column:
+    """Whether a row's words match; ``forms`` has the words that count as a term. A query of stop words alone matches nothing."""
+    fits = [reduce(and_, (_phrase(tokens, p, forms or {}) if wanted else ~_phrase(tokens, p, forms or {}) for wanted, p in b)) for b in query.branches]
     return reduce(or_, fits) if fits else F.lit(False)
 
 
-def rank_column(tokens: Column, query: Query) -> Column:
+def rank_column(tokens: Column, query: Query, forms: dict[str, list[str]] | None = None) -> Column:
     """Score of a matching row, between 0 and 1.
 
     One term, or alternatives: the mean over terms of ``sum(0.1 / j**2)`` over their occurrences, by pi**2 / 6. Several
     together: one less the product over pairs of places of ``1 - 0.1 * nearness``. Then ``s / (s + 1)``.
     """
-    terms = list(dict.fromkeys(w for b in query.branches for _, p in b for w in p if w))
+    terms = query_words(query)
     if not terms:
         return F.lit(0.0)
-    at = {w: places(tokens, w) for w in terms}
+    at = {w: places(tokens, (forms or {}).get(w, [w])) for w in terms}
     if len(terms) == 1 or len(query.branches) > 1:
         one = lambda w: F.aggregate(F.transform(at[w], lambda p, i: F.lit(0.1) / ((i + 1) * (i + 1))), F.lit(0.0), lambda s, x: s + x) / 1.64493406685
         score = reduce(lambda a, b: a + b, (one(w) for w in terms)) / len(terms)
@@ -94,8 +100,11 @@ def rank_column(tokens: Column, query: Query) -> Column:
     return score / (score + 1)
 
 
-def search(df: DataFrame, text: str, columns: list[str] | None = None, row_id: str = ROW_ID, stop_words: frozenset[str] = STOP_WORDS) -> DataFrame:
-    """All matching rows with ``score``, best first, ties by row id. Columns: those asked for, else all texts, else all."""
+def search(df: DataFrame, text: str, columns: list[str] | None = None, row_id: str = ROW_ID, stop_words: frozenset[str] = STOP_WORDS, stems: bool = False) -> DataFrame:
+    """All matching rows with ``score``, best first, ties by row id. Columns: those asked for, else all texts, else all.
+
+    With ``stems`` a term stands for all words with its English stem: one pass collects those words first.
+    """
     types = column_types(df)
     for c in columns or []:
         if safe_name(c) not in types:
@@ -103,13 +112,14 @@ def search(df: DataFrame, text: str, columns: list[str] | None = None, row_id: s
     names = columns or [c for c, t in types.items() if t == TEXT] or list(types)
     query = parse_query(text, stop_words)
     rows = df.withColumn("_words", words(joined([F.col(f"`{c}`") for c in names])))
-    found = rows.where(match_column(F.col("_words"), query)).withColumn("score", rank_column(F.col("_words"), query))
+    forms = forms_of(rows.select("_words"), query_words(query)) if stems else {}
+    found = rows.where(match_column(F.col("_words"), query, forms)).withColumn("score", rank_column(F.col("_words"), query, forms))
     return found.drop("_words").orderBy(F.desc("score"), row_id)
 
 
-def search_page(df: DataFrame, text: str, columns: list[str] | None = None, page: int = 1, page_size: int = 20, row_id: str = ROW_ID) -> Page:
+def search_page(df: DataFrame, text: str, columns: list[str] | None = None, page: int = 1, page_size: int = 20, row_id: str = ROW_ID, stems: bool = True) -> Page:
     """A page of :func:`search` with the number of all matches."""
-    found = search(df, text, columns, row_id)
+    found = search(df, text, columns, row_id, stems=stems)
     rows = found.offset((page - 1) * page_size) if page > 1 else found
     return Page(found.count(), page, page_size, rows.limit(page_size))
 

@@ -1,5 +1,6 @@
 import pytest
 
+from lakemill.functions.stemmer import stem
 from lakemill.operators.filters import apply_filters
 from lakemill.operators.search import inverted_index, parse_query, search, search_page
 from lakemill.plans.operations import ResultCache, layout_advice, params_key, plan_facts, timed
@@ -35,6 +36,21 @@ def test_rank(texts):
     assert page.total == 3 and [r["_row_id"] for r in page.rows.collect()] == [3]
 
 
+@pytest.mark.parametrize(
+    "word, want",
+    [("caresses", "caress"), ("ponies", "poni"), ("ties", "tie"), ("cats", "cat"), ("running", "run"), ("hoping", "hope"), ("agreed", "agre"), ("generously", "generous"), ("happy", "happi"), ("relational", "relat"), ("national", "nation"), ("skies", "sky"), ("news", "news"), ("knightly", "knight"), ("consolations", "consol"), ("consistency", "consist"), ("boy", "boy"), ("by", "by"), ("communication", "communic"), ("argument", "argument"), ("falling", "fall"), ("controlling", "control")],
+)
+def test_stems(word, want):
+    assert stem(word) == want
+
+
+def test_search_by_stems(spark):
+    df = spark.createDataFrame([(1, "running shoes"), (2, "she runs home"), (3, "a runner")], "_row_id long, body string")
+    assert sorted(r["_row_id"] for r in search(df, "run", stems=True).collect()) == [1, 2]
+    assert [r["_row_id"] for r in search(df, '"runs shoe"', stems=True).collect()] == [1]
+    assert search(df, "run").count() == 0
+
+
 def test_index(texts):
     rows = {(r["term"], r["_row_id"]): r["places"] for r in inverted_index(texts, "body").collect()}
     assert rows["quick", 2] == [1, 2] and ("fox", 4) not in rows
