@@ -7,6 +7,7 @@ count and one checksum a pass. Each pass is written to the shared folder, which
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,3 +43,17 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str = "cc", p
             return out.union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
         mark = tuple(found)
     raise RuntimeError(f"components did not settle in {passes} passes")
+
+
+def least_linked(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Of each of n items the smallest that links reach."""
+    label = np.arange(n)
+    while True:
+        least = np.minimum(label[i], label[j])
+        new = label.copy()
+        np.minimum.at(new, i, least)
+        np.minimum.at(new, j, least)
+        new = np.minimum(new, new[new])
+        if (new == label).all():
+            return label
+        label = new

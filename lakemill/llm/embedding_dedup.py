@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components
+from .components import connected_components, least_linked
 from .scratch import Scratch
 from .vectors import matrix, usable
 
@@ -40,20 +40,6 @@ def _planes(dims: int, columns: int) -> np.ndarray:
     return np.random.Generator(np.random.PCG64(dims)).standard_normal((dims, columns))
 
 
-def _least_linked(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Of each of n items the smallest that links reach."""
-    label = np.arange(n)
-    while True:
-        least = np.minimum(label[i], label[j])
-        new = label.copy()
-        np.minimum.at(new, i, least)
-        np.minimum.at(new, j, least)
-        new = np.minimum(new, new[new])
-        if (new == label).all():
-            return label
-        label = new
-
-
 def near_duplicate_vectors(table: DataFrame, cosine: float = 0.95, recall: float = 0.99, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``(vec_id, n_links, component_id, kept)`` of every row of ``table``.
 
@@ -116,7 +102,7 @@ def near_duplicate_vectors(table: DataFrame, cosine: float = 0.95, recall: float
                 i, j = i[across], j[across]
             if not len(i):
                 continue
-            root = _least_linked(b - a, i, j) if len(i) else np.arange(b - a)
+            root = least_linked(b - a, i, j)
             least = np.full(b - a, np.iinfo(np.int64).max)
             np.minimum.at(least, root, node[a:b])
             signs = np.stack(rows["signs"].iloc[a:b].to_numpy())[:, : cell[a, 0]]

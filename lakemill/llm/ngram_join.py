@@ -9,7 +9,7 @@ groups that qualify are opened and compared set by set. No link between differen
    the one order of tokens that all documents use: tokens held by few, by hash, then the others, by hash.
 2. Two linked sets share a token among the first ``n - ceil(percent * n / 100) + 1`` of each in that order,
    so those tokens, and all rare ones under a bound of the hash range, are a document's *sketch*.
-3. Documents with equal sets are one node. Nodes with the same least hash are compared with the smallest of
+3. Documents with equal sets are one node. Nodes with equal least hashes are compared with the smallest of
    them; what links is a group (its tokens count once, so thousands of near copies are one row per token).
 4. Sketch tokens meet by hash. Between two groups the shared rare tokens under the bound are counted: the rest of
    the tokens there differ, and linked sets can differ in few. Only groups that pass are opened.
@@ -21,6 +21,7 @@ collision inside two documents' sets, about 10**-14 a pair.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -29,15 +30,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import mix, shingle_hashes, slices, span_hashes, text_bytes, word_spans
-from .components import connected_components
+from .components import connected_components, least_linked
 from .scratch import Scratch, bounded_broadcast, matching
 
 #: Documents that hold a token, from which it comes last in the order.
 FREQUENT = 32
 #: Shares of the hash range: frequent tokens are looked for under the first; rare shared ones are counted under the second.
 _COUNTED, _BOUNDED = np.uint64(int(0.6 * 2**64)), np.uint64(int(0.22 * 2**64))
+#: Each gives a least hash of a set.
+_KEYS = np.array([0, 0x7F4A7C159E3779B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], np.uint64)
 #: Frequent tokens that are broadcast, at most; of more, the most frequent ones come last, and any choice is right.
 _LISTED = 4_000_000
+#: Groups that share a token, from which they are compared in blocks of so many nodes instead of as pairs.
+LONG, BLOCK = 64, 512
 #: Tokens that one task sorts, about.
 _BUCKET = 2_000_000
 
@@ -77,8 +82,8 @@ def frequent_tokens(rows: DataFrame, words: int, buckets: int) -> DataFrame:
     """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, limit=32 << 20):
-            all_sets = [s[: np.searchsorted(s, _COUNTED)] for piece in slices([batch]) for s in _sets(piece, words)]
+        for batch in slices(batches, limit=8 << 20):
+            all_sets = [s[: np.searchsorted(s, _COUNTED)] for s in _sets(batch, words)]
             tokens = np.sort(np.concatenate([np.empty(0, np.uint64), *all_sets]))
             tokens = tokens[_at_most(tokens, FREQUENT + 1)]
             cuts = [*_buckets(tokens, buckets), len(tokens)]
@@ -93,7 +98,7 @@ def frequent_tokens(rows: DataFrame, words: int, buckets: int) -> DataFrame:
 
 
 def sketches(rows: DataFrame, frequent: np.ndarray, words: int, percent: int) -> DataFrame:
-    """Of each document: number of tokens, name of its set, two least hashes, and the sketch with its number of rare tokens and slack."""
+    """Of each document: number of tokens, name of its set, least hashes, and the sketch, which has ``rare`` rare tokens first, ``under`` of them under the bound; ``late`` are the frequent ones there."""
     shared = bounded_broadcast(rows.sparkSession, frequent, frequent.nbytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,71 +108,74 @@ def sketches(rows: DataFrame, frequent: np.ndarray, words: int, percent: int) ->
             for s in _sets(batch, words):
                 n = len(s)
                 if not n:
-                    out.append((0, None, None, None, None, None, 0, 0))
+                    out.append((0, None, None, None, None, 0, 0, None))
                     continue
                 at = np.minimum(np.searchsorted(late, s), max(len(late) - 1, 0))
-                rare = s[late[at] != s] if len(late) else s
+                often = late[at] == s if len(late) else np.zeros(n, bool)
+                rare, rest = s[~often], s[often]
                 p = n - -(-percent * n // 100) + 1
                 q = int(np.searchsorted(rare, _BOUNDED))
                 sketch = rare[: max(p, q)]
-                if len(sketch) < p:
-                    sketch = np.concatenate([sketch, s[late[at] == s][: p - len(sketch)]])
-                m = mix(s)
-                out.append((n, *_name(s), int(s[0].view(np.int64)), int(m.min().view(np.int64)), sketch.tobytes(), min(len(rare), max(p, q)), (100 - percent) * n - (100 + percent) * q))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64())
-            names = ("n", "high", "low", "m1", "m2", "sketch", "rare", "slack")
+                known = len(sketch)
+                if known < p:
+                    sketch = np.concatenate([sketch, rest[: p - known]])
+                least = [int(mix(s ^ c).min().view(np.int64)) for c in _KEYS]
+                out.append((n, *_name(s), least, sketch.view(np.int64), known, q, rest[: np.searchsorted(rest, _BOUNDED)].view(np.int64)))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.list_(pa.int64()))
+            names = ("n", "high", "low", "least", "sketch", "rare", "under", "late")
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(zip(*out), kinds))], ["doc_id", *names])
 
-    return rows.mapInArrow(run, "doc_id long, n long, high long, low long, m1 long, m2 long, sketch binary, rare int, slack long")
+    return rows.mapInArrow(run, "doc_id long, n long, high long, low long, least array<long>, sketch array<long>, rare int, under int, late array<long>")
 
 
-def _linked(pairs: DataFrame, rows: DataFrame, words: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
-    """The pairs ``(a, b)`` of nodes whose sets link; sets are built anew for the nodes in question."""
-    nodes = scratch.table(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), f"{name}-nodes")
+def _stars(nodes: DataFrame) -> DataFrame:
+    """``(a, b)``: each node with the smallest node that has the same least hashes: one, two or three of four."""
+    h = [F.col("least")[i] for i in range(len(_KEYS))]
+    keys = [F.xxhash64(F.lit(k), *(h[i] for i in some)) for k, some in enumerate(c for m in (1, 2, 3) for c in combinations(range(len(_KEYS)), m))]
+    least = nodes.select("node", F.explode(F.array(*keys)).alias("key"))
+    pivots = least.groupBy("key").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("k")).where("k > 1").select("key", "b")
+    return least.join(pivots, "key").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+
+
+def _node_sets(rows: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """``(node, tokens)`` of the ``nodes (node)``, built anew from their texts."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.tobytes() for s in _sets(batch, words)], pa.binary())], ["node", "tokens"])
+            own = _sets(batch, words)
+            offs = np.concatenate([[0], np.cumsum([len(s) for s in own])]).astype(np.int32)
+            values = np.concatenate([np.empty(0, np.uint64), *own]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(offs), pa.array(values))], ["node", "tokens"])
 
-    found = matching(rows, "doc_id", nodes).mapInArrow(sets, "node long, tokens binary")
-    left, right = (found.select(F.col("node").alias(c), F.col("tokens").alias(f"tokens_{c}")) for c in "ab")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("tokens_a").to_pylist(), batch.column("tokens_b").to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                at = np.minimum(np.searchsorted(y, x), max(len(y) - 1, 0))
-                both = int((y[at] == x).sum()) if len(y) else 0
-                keep.append(100 * both >= percent * (len(x) + len(y) - both) and both > 0)
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    return matching(rows, "doc_id", nodes).mapInArrow(sets, "node long, tokens array<long>")
 
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "tokens_a", "tokens_b").mapInArrow(compare, "a long, b long").distinct()
 
+def _linked(pairs: DataFrame, rows: DataFrame, words: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
+    """The pairs ``(a, b)`` of nodes whose sets link; sets are built anew for the nodes in question."""
+    nodes = scratch.table(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), f"{name}-nodes")
 
-def _sketch_bound(pairs: DataFrame, nodes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """The pairs that their sketches leave possible: sizes, and rare tokens under the bound that differ."""
-    some = scratch.table(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "stars-nodes")
-    info = matching(nodes, "node", some).select("node", "n", "sketch", "rare", "slack")
-    left, right = (info.select(*(F.col(c).alias(k if c == "node" else f"{c}_{k}") for c in info.columns)) for k in "ab")
+    found = _node_sets(rows, nodes, words)
+    left, right = (found.select(F.col("node").alias(c), F.col("tokens").alias(f"tokens_{c}")) for c in "ab")
+    both = F.size(F.array_intersect("tokens_a", "tokens_b"))
+    either = F.size("tokens_a") + F.size("tokens_b") - both
+    return pairs.select("a", "b").join(left, "a").join(right, "b").where((both > 0) & (100 * both >= percent * either)).select("a", "b").distinct()
 
-    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            columns = [batch.column(c).to_pylist() for c in ("sketch_a", "sketch_b", "rare_a", "rare_b", "slack_a", "slack_b")]
-            for x, y, i, j, s, t in zip(*columns):
-                x, y = np.frombuffer(x, np.uint64)[:i], np.frombuffer(y, np.uint64)[:j]
-                x, y = x[: np.searchsorted(x, _BOUNDED)], y[: np.searchsorted(y, _BOUNDED)]
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(s + t + 2 * (100 + percent) * both >= 0)
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+def _sketch_bound(pairs: DataFrame, nodes: DataFrame, percent: int, scratch: Scratch, name: str) -> DataFrame:
+    """The pairs that sizes and the tokens under the bound leave possible: few may differ."""
+    some = scratch.table(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), f"{name}-nodes")
+    low = F.concat(F.slice("sketch", F.lit(1), F.col("under")), "late")  # all tokens under the bound
+    info = matching(nodes, "node", some).select("node", "n", low.alias("low"))
+    left, right = (info.select(*(F.col(c).alias(k if c == "node" else f"{c}_{k}") for c in info.columns)) for k in "ab")
+    apart = F.size("low_a") + F.size("low_b") - 2 * F.size(F.array_intersect("low_a", "low_b"))
     sized = pairs.join(left, "a").join(right, "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-    return sized.select("a", "b", "sketch_a", "sketch_b", "rare_a", "rare_b", "slack_a", "slack_b").mapInArrow(bound, "a long, b long")
+    return sized.where((100 + percent) * apart <= (100 - percent) * (F.col("n_a") + F.col("n_b"))).select("a", "b")
 
 
 def _meet(grouped: DataFrame, percent: int, buckets: int) -> DataFrame:
-    """``(g, h, shared, slack)`` of pairs of groups whose sketches share a token.
+    """``(g, h, hub)`` of pairs of groups whose sketches share a token and whose overlap's bound leaves a link possible.
+
+    ``hub`` marks those to be compared in blocks: a group of several, and groups tied to the first of many that share a token.
 
     ``grouped`` has a row per node with its group, size (0 in a group of several) and sketch. A task sends each bucket its tokens with places in a list of
     groups; a bucket sorts them, so each group counts once per token, and pairs up those that meet.
@@ -176,10 +184,9 @@ def _meet(grouped: DataFrame, percent: int, buckets: int) -> DataFrame:
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             group, size, slack, rare = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("group", "size", "slack", "rare"))
-            parts = [np.frombuffer(x, np.uint64) for x in batch.column("sketch").to_pylist()]
-            length = np.array([len(x) for x in parts], np.int64)
-            tokens = np.concatenate([np.empty(0, np.uint64), *parts])
-            place = np.repeat(np.arange(len(parts), dtype=np.uint32), length)
+            length = np.diff(batch.column("sketch").offsets.to_numpy())
+            tokens = batch.column("sketch").flatten().to_numpy().view(np.uint64)
+            place = np.repeat(np.arange(len(length), dtype=np.uint32), length)
             # the top bit of a place tells a rare token under the bound
             within = np.arange(len(tokens)) - np.repeat(np.cumsum(length) - length, length) < np.repeat(rare, length)
             place |= (within & (tokens < _BOUNDED)).astype(np.uint32) << np.uint32(31)
@@ -210,7 +217,16 @@ def _meet(grouped: DataFrame, percent: int, buckets: int) -> DataFrame:
         kind, group, size, slack, low = (x[order] for x in (kind, group, size, slack, low))
         once = np.concatenate([[True], (kind[1:] != kind[:-1]) | (group[1:] != group[:-1])]) if len(kind) else np.empty(0, bool)
         kind, group, size, slack, low = (x[once] for x in (kind, group, size, slack, low))
+        run = np.bincount(kind)[kind] if len(kind) else kind
+        hub = np.flatnonzero(run > LONG)
         out = []
+        if len(hub):  # many groups: each is tied to the first, and their clusters are compared in blocks
+            first = np.concatenate([[True], kind[hub][1:] != kind[hub][:-1]])
+            to = group[hub][np.maximum.accumulate(np.where(first, np.arange(len(hub)), 0))]
+            zero = np.zeros((len(hub),), np.int64)
+            out.append(np.stack([to, group[hub], zero, zero, zero, zero + 1, zero])[:, group[hub] != to])
+            few = run <= LONG
+            kind, group, size, slack, low = (x[few] for x in (kind, group, size, slack, low))
         gap = 1
         while gap < len(kind):  # all pairs of a token's groups: those that stand `gap` apart
             at = np.flatnonzero(kind[gap:] == kind[:-gap])
@@ -218,15 +234,55 @@ def _meet(grouped: DataFrame, percent: int, buckets: int) -> DataFrame:
                 break
             x, y = size[at], size[at + gap]
             at = at[(x == 0) | (y == 0) | (100 * np.minimum(x, y) >= percent * np.maximum(x, y))]
-            out.append(np.stack([group[at], group[at + gap], low[at].astype(np.int64), slack[at], slack[at + gap]]))
+            out.append(np.stack([group[at], group[at + gap], low[at].astype(np.int64), slack[at], slack[at + gap], np.zeros(len(at), np.int64), ((size[at] == 0) | (size[at + gap] == 0)).astype(np.int64)]))
             gap += 1
-        found = pd.DataFrame(np.concatenate(out, axis=1).T if out else np.empty((0, 5), np.int64), columns=["g", "h", "shared", "slack_g", "slack_h"])
-        return found.groupby(["g", "h"], as_index=False).agg({"shared": "sum", "slack_g": "max", "slack_h": "max"})
+        found = pd.DataFrame(np.concatenate(out, axis=1).T if out else np.empty((0, 7), np.int64), columns=["g", "h", "shared", "slack_g", "slack_h", "hub", "several"])
+        return found.groupby(["g", "h"], as_index=False).agg({"shared": "sum", "slack_g": "max", "slack_h": "max", "hub": "max", "several": "max"})
 
     sent = grouped.mapInArrow(send, "bucket int, tokens binary, places binary, groups binary, n int")
-    met = sent.groupBy("bucket").applyInPandas(pair, "g long, h long, shared long, slack_g long, slack_h long")
+    met = sent.groupBy("bucket").applyInPandas(pair, "g long, h long, shared long, slack_g long, slack_h long, hub long, several long")
     bound = F.sum("shared") * 2 * (100 + percent) + F.max("slack_g") + F.max("slack_h")
-    return met.groupBy("g", "h").agg(bound.alias("bound")).where("bound >= 0").select("g", "h")
+    found = met.groupBy("g", "h").agg(bound.alias("bound"), (F.max("hub") > 0).alias("hub"), (F.max("several") > 0).alias("several"))
+    return found.where("bound >= 0 or hub").select("g", "h", (F.col("hub") | F.col("several")).alias("hub"))
+
+
+def _compared_in_blocks(members: DataFrame, rows: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
+    """Links ``(a, b)`` that join what links among the nodes of each cluster of ``members (cluster, node)``.
+
+    A cluster is cut into blocks of bounded size, and each two of its blocks meet in one group of rows, where a matrix product counts the shared
+    tokens of all pairs; a pair is never a row. Of what links in two blocks one link per node leaves the task.
+    """
+    dealt = scratch.table(members.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "blocks")
+    dealt = members.join(dealt, "cluster").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    sets = _node_sets(rows, members.select("node"), words).join(dealt, "node")
+    sets = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cluster", "node", "tokens", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        cells = [one_cell(got) for _, got in rows.groupby(["cluster", "x", "y"]) if len(got) > 1]
+        return pd.concat(cells) if cells else pd.DataFrame({"a": pd.Series(dtype=np.int64), "b": pd.Series(dtype=np.int64)})
+
+    def one_cell(got: pd.DataFrame) -> pd.DataFrame:
+        node = got["node"].to_numpy(np.int64)
+        n = np.array([len(t) for t in got["tokens"]], np.int64)
+        _, kind, held = np.unique(np.concatenate(got["tokens"].to_list()), return_inverse=True, return_counts=True)
+        doc = np.repeat(np.arange(len(n)), n)
+        both = np.zeros((len(n), len(n)), np.float32)
+        order = np.argsort(kind, kind="stable")  # tokens of one document alone are shared by none
+        order = order[held[kind[order]] > 1]
+        _, kind = np.unique(kind[order], return_inverse=True)
+        doc = doc[order]
+        for k in range(0, int(kind[-1]) + 1 if len(kind) else 0, 4096):
+            a, b = np.searchsorted(kind, (k, k + 4096))
+            part = np.zeros((len(n), 4096), np.float32)
+            part[doc[a:b], kind[a:b] - k] = 1
+            both += part @ part.T
+        linked = 100 * both >= percent * (n[:, None] + n[None, :] - both)
+        i, j = np.nonzero(np.triu(linked & (both > 0), 1))
+        root = least_linked(len(n), i, j)
+        return pd.DataFrame({"a": node, "b": node[root]})[root != np.arange(len(n))]
+
+    bins = max(1, int(members.count() / BLOCK))
+    return sets.withColumn("bin", F.pmod(F.xxhash64("cluster", "x", "y"), F.lit(bins))).groupBy("bin").applyInPandas(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -249,26 +305,26 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, id_col:
     signed = scratch.table(sketches(rows, frequent, words, percent), "sketches")
     ids = scratch.table(signed.select("doc_id", "n", "high", "low"), "ids")
     some = signed.where("doc_id is not null and n > 0")
-    firsts = [F.first(c).alias(c) for c in ("n", "m1", "m2", "sketch", "rare", "slack")]
+    firsts = [F.first(c).alias(c) for c in ("n", "least", "sketch", "rare", "under", "late")]
     nodes = scratch.table(some.groupBy("high", "low").agg(F.min("doc_id").alias("node"), *firsts), "nodes")
     scratch.drop("sketches")
 
-    least = nodes.select("node", F.explode(F.array("m1", "m2")).alias("m"))
-    pivots = least.groupBy("m").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("k")).where("k > 1").select("m", "b")
-    stars = scratch.table(least.join(pivots, "m").where("node <> b").select(F.col("node").alias("a"), "b").distinct(), "stars")
-    likely = scratch.table(_sketch_bound(stars, nodes, percent, scratch), "likely")
-    links = scratch.table(_linked(likely, rows, words, percent, scratch, "stars-sets"), "links")
+    stars = scratch.table(_stars(nodes), "stars")
+    likely = scratch.table(_sketch_bound(stars, nodes, percent, scratch, "stars"), "likely")
+    links = scratch.table(_linked(likely, rows, words, percent, scratch, "likely"), "links")
     groups = scratch.table(connected_components(links, scratch, "groups"), "groups")
 
-    grouped = nodes.join(groups, "node", "left").select(F.coalesce("component", "node").alias("group"), F.when(F.col("component").isNull(), F.col("n")).otherwise(0).alias("size"), "slack", "rare", "sketch")
-    met = scratch.table(_meet(grouped, percent, buckets), "met")
-    members = groups.select(F.col("component").alias("group"), "node")
-    opened = met
-    for end, node in (("g", "a"), ("h", "b")):
-        opened = opened.join(members.select(F.col("group").alias(end), F.col("node").alias(node)), end, "left").withColumn(node, F.coalesce(node, end))
-    opened = scratch.table(opened.select("a", "b"), "opened")
-    more = scratch.table(_linked(opened, rows, words, percent, scratch, "sets"), "more")
+    slack = (100 - percent) * F.col("n") - (100 + percent) * F.col("under")
+    grouped = nodes.join(groups, "node", "left").select("node", F.coalesce("component", "node").alias("group"), F.when(F.col("component").isNull(), F.col("n")).otherwise(0).alias("size"), slack.alias("slack"), "rare", "sketch")
+    met = scratch.table(_meet(grouped.drop("node"), percent, buckets), "met")
+    opened = met.where("not hub").select(F.col("g").alias("a"), F.col("h").alias("b"))
+    possible = scratch.table(_sketch_bound(opened, nodes, percent, scratch, "opened"), "possible")
+    more = scratch.table(_linked(possible, rows, words, percent, scratch, "possible"), "more")
+    clusters = connected_components(met.where("hub").select(F.col("g").alias("a"), F.col("h").alias("b")), scratch, "clusters").select(F.col("node").alias("group"), F.col("component").alias("cluster"))
     every = links.union(more)
+    if clusters.head(1):
+        inside = grouped.select("node", "group").join(clusters, "group").select("cluster", "node")
+        every = every.union(scratch.table(_compared_in_blocks(scratch.table(inside, "clusters"), rows, words, percent, scratch), "joined"))
     names = nodes.select("high", "low", "node")
     alike = ids.where("doc_id is not null and n > 0").join(names, ["high", "low"])
     # a repeated id may stand for several sets: its row links them
