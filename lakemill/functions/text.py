@@ -23,6 +23,11 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), _SPLIT), lambda w: w != "")
 
 
+def spaced(text: Column) -> Column:
+    """The same words as one string, with a space before and after each."""
+    return F.concat(F.lit(" "), F.regexp_replace(F.lower(text), _SPLIT, " "), F.lit(" "))
+
+
 def joined(columns: list[Column]) -> Column:
     """Several texts as one, a space between them; null counts as empty."""
     return F.concat_ws(" ", *(F.coalesce(c.cast("string"), F.lit("")) for c in columns))

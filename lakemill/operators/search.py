@@ -10,7 +10,7 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import STOP_WORDS, forms_of, joined, places, words
+from ..functions.text import STOP_WORDS, forms_of, joined, places, spaced, words
 from ..types import ROW_ID, TEXT, UnknownColumn, column_types, safe_name
 from .paging import Page
 
@@ -54,21 +54,21 @@ def query_words(query: Query) -> list[str]:
     return list(dict.fromkeys(w for b in query.branches for _, p in b for w in p if w))
 
 
-def _phrase(tokens: Column, phrase: list[str], forms: dict[str, list[str]]) -> Column:
+def _phrase(text: Column, phrase: list[str], forms: dict[str, list[str]]) -> Column:
     """Whether the words, in any of their forms, follow one another; an empty one, a stop word, stands for any."""
-    of = lambda w: forms.get(w, [w])
-    first = next(i for i, w in enumerate(phrase) if w)
-    rest = [(i - first, w) for i, w in enumerate(phrase) if w and i > first]
-    has = reduce(and_, (F.arrays_overlap(tokens, F.array(*map(F.lit, of(w)))) for w in dict.fromkeys(w for w in phrase if w)))
-    if not rest:
-        return has
-    follows = lambda p: reduce(and_, (F.try_element_at(tokens, (p + i).cast("int")).isin(of(w)) for i, w in rest))
-    return has & F.coalesce(F.exists(places(tokens, of(phrase[first])), lambda p: F.coalesce(follows(p), F.lit(False))), F.lit(False))
-
-
-def match_column(tokens: Column, query: Query, forms: dict[str, list[str]] | None = None) -> Column:
-    """Whether a row's words match; ``forms`` has the words that count as a term. A query of stop words alone matches nothing."""
-    fits = [reduce(and_, (_phrase(tokens, p, forms or {}) if wanted else ~_phrase(tokens, p, forms or {}) for wanted, p in b)) for b in query.branches]
+    each = [forms.get(w, [w]) if w else None for w in phrase]
+    while each and each[0] is None:
+        each.pop(0)
+    while each and each[-1] is None:
+        each.pop()
+    if all(f and len(f) == 1 for f in each):
+        return F.contains(text, F.lit(f" {' '.join(f[0] for f in each)} "))
+    return text.rlike(f" {' '.join('[^ ]+' if f is None else '(?:' + '|'.join(f) + ')' for f in each)} ")
+
+
+def match_column(text: Column, query: Query, forms: dict[str, list[str]] | None = None) -> Column:
+    """Whether a row's words match, given with a space before and after each; ``forms`` has the words that count as a term. A query of stop words alone matches nothing."""
+    fits = [reduce(and_, (_phrase(text, p, forms or {}) if wanted else ~_phrase(text, p, forms or {}) for wanted, p in b)) for b in query.branches]
     return reduce(or_, fits) if fits else F.lit(False)
 
 
@@ -111,10 +111,12 @@ def search(df: DataFrame, text: str, columns: list[str] | None = None, row_id: s
             raise UnknownColumn(c)
     names = columns or [c for c, t in types.items() if t == TEXT] or list(types)
     query = parse_query(text, stop_words)
-    rows = df.withColumn("_words", words(joined([F.col(f"`{c}`") for c in names])))
-    forms = forms_of(rows.select("_words"), query_words(query)) if stems else {}
-    found = rows.where(match_column(F.col("_words"), query, forms)).withColumn("score", rank_column(F.col("_words"), query, forms))
-    return found.drop("_words").orderBy(F.desc("score"), row_id)
+    text = joined([F.col(f"`{c}`") for c in names])
+    forms = forms_of(df.select(words(text)), query_words(query)) if stems else {}
+    # bound to a lambda's variable, a row's words are made once, not wherever the condition names them; those of rows that don't match stay one string
+    ranked = F.transform(F.array(words(text)), lambda t: rank_column(t, query, forms))[0]
+    score = F.transform(F.array(spaced(text)), lambda s: F.when(match_column(s, query, forms), ranked))[0]
+    return df.withColumn("score", score).where("score is not null").orderBy(F.desc("score"), row_id)
 
 
 def search_page(df: DataFrame, text: str, columns: list[str] | None = None, page: int = 1, page_size: int = 20, row_id: str = ROW_ID, stems: bool = True) -> Page:
