@@ -22,7 +22,7 @@ from .bytewords import slices
 from .scratch import bounded_broadcast
 
 #: Pieces whose encoding a task remembers, at most; it starts anew beyond that.
-REMEMBERED = 200_000
+REMEMBERED = 150_000
 _NEVER = 1 << 62
 
 
@@ -35,7 +35,40 @@ class PrefixBpe:
         self.longest = max(map(len, ranks), default=1)
         self._halves: dict[int, tuple[int, int] | None] = {}
         self._edges: dict[tuple[int, int], list[int]] = {}
-        self._apart: dict[tuple[int, int], bool] = {}
+        self._apart: dict[int, bool] = {}
+        # An Aho-Corasick automaton: state * 256 + byte -> state, and of each state the tokens that end there, longest first, as (token, bytes, rest).
+        self._go: dict[int, int] = {}
+        own, parent, depth = [-1], [(0, 0)], [0]
+        for token, rank in ranks.items():
+            node = 0
+            for b in token:
+                if (child := self._go.get(node << 8 | b)) is None:
+                    child = self._go[node << 8 | b] = len(own)
+                    own.append(-1)
+                    parent.append((node, b))
+                    depth.append(depth[node] + 1)
+                node = child
+            own[node] = rank
+        self._fail = [0] * len(own)
+        self._ending: list[tuple | None] = [None] * len(own)
+        for node in sorted(range(1, len(own)), key=depth.__getitem__):
+            up, b = parent[node]
+            fail = self._step(self._fail[up], b) if up else 0
+            self._fail[node] = fail
+            self._ending[node] = (own[node], depth[node], self._ending[fail]) if own[node] >= 0 else self._ending[fail]
+        self._made = len(self._go)
+
+    def _step(self, state: int, byte: int) -> int:
+        while (child := self._go.get(state << 8 | byte)) is None and state:
+            state = self._fail[state]
+        return child or 0
+
+    def _learnt_step(self, state: int, byte: int) -> int:
+        """A step by failure links, kept as a direct one; some hundred thousand of them at most."""
+        to = self._step(state, byte)
+        if len(self._go) < self._made + 2 * REMEMBERED:
+            self._go[state << 8 | byte] = to
+        return to
 
     @classmethod
     def from_rank_file(cls, data: bytes) -> PrefixBpe:
@@ -61,37 +94,54 @@ class PrefixBpe:
             known = self._edges[token, side] = ([] if halves is None else self.edge(halves[side], side)) + [token]
         return known
 
+    def reachable(self, token: int) -> bool:
+        """Whether merges lead to the token, so that it encodes its own bytes."""
+        return self.halves(token) != (-1, -1)
+
     def stay_apart(self, left: int, right: int) -> bool:
-        """Whether encoding both tokens' bytes gives just these two tokens."""
-        if (known := self._apart.get((left, right))) is not None:
-            return known
-        a, b, i, j, apart = self.edge(left, 1), self.edge(right, 0), 0, 0, True
+        """Whether encoding both tokens' bytes gives just these two tokens; ``left`` is reachable."""
+        known = self._apart.get(left << 20 | right)
+        if known is None:
+            if len(self._apart) >= 2 * REMEMBERED:
+                self._apart.clear()
+            known = self._apart[left << 20 | right] = self.reachable(right) and self._merge_apart(left, right)
+        return known
+
+    def _merge_apart(self, left: int, right: int) -> bool:
+        a, b, i, j = self.edge(left, 1), self.edge(right, 0), 0, 0
         while True:  # in the order in which the merges of either token happen
             across = self.ranks.get(self.tokens[a[i]] + self.tokens[b[j]], _NEVER)
             next_a, next_b = a[i + 1] if i + 1 < len(a) else _NEVER, b[j + 1] if j + 1 < len(b) else _NEVER
             if across < next_a and across <= next_b:  # of equal merges the leftmost comes first
-                apart = False
-                break
+                return False
             if next_a == next_b == _NEVER:
-                break
+                return True
             if next_a <= next_b:
                 i += 1
             else:
                 j += 1
-        if len(self._apart) >= 4 * REMEMBERED:
-            self._apart.clear()
-        self._apart[left, right] = apart
-        return apart
-
-    def last_token(self, data: bytes, end: int, last: list[int]) -> int:
-        """The token that ends the encoding of ``data[:end]``, from those of all shorter prefixes."""
-        for size in range(min(self.longest, end), 0, -1):
-            token = self.ranks.get(data[end - size : end])
-            if token is None or size > 1 and self.halves(token) == (-1, -1):
-                continue
-            if size == end or self.stay_apart(last[end - size - 1], token):
-                return token
-        raise ValueError("the vocabulary lacks a byte")
+
+    def extend(self, data: bytes, last: list[int], states: list[int], stop: int) -> None:
+        """Append to ``last`` the token that ends each further prefix of ``data``, up to ``stop`` bytes, and to ``states`` the automaton's state."""
+        go, ending, apart = self._go, self._ending, self._apart
+        state = states[-1] if states else 0
+        for end in range(len(last) + 1, stop + 1):
+            b = data[end - 1]
+            if (to := go.get(state << 8 | b)) is None:
+                to = self._learnt_step(state, b)
+            state = to
+            tokens = ending[state]
+            while tokens is not None:  # just one fits
+                token, size, tokens = tokens
+                if size == end:
+                    if self.reachable(token):
+                        break
+                elif (fits := apart.get(last[end - size - 1] << 20 | token)) or fits is None and self.stay_apart(last[end - size - 1], token):
+                    break
+            else:
+                raise ValueError("the vocabulary lacks a byte")
+            last.append(token)
+            states.append(state)
 
     def encode(self, data: bytes) -> list[int]:
         """Ids of one piece."""
@@ -105,14 +155,13 @@ class Prefixes:
     """A byte string with the last token of each of its prefixes."""
 
     def __init__(self, bpe: PrefixBpe, data: bytes = b""):
-        self.bpe, self.data, self.last = bpe, b"", []
+        self.bpe, self.data, self.last, self.states = bpe, b"", [], []
         self.append(data)
 
     def append(self, data: bytes) -> None:
         """Add bytes at the end; entries so far stay as they are."""
         self.data += data
-        for end in range(len(self.last) + 1, len(self.data) + 1):
-            self.last.append(self.bpe.last_token(self.data, end, self.last))
+        self.bpe.extend(self.data, self.last, self.states, len(self.data))
 
     def replace(self, start: int, end: int, data: bytes) -> int:
         """Put ``data`` in place of ``[start:end]``; returns how many entries were computed.
@@ -120,17 +169,18 @@ class Prefixes:
         An entry depends on as many before it as the longest token has bytes; once so many in a row agree
         with the old ones behind the edit, all that follow do.
         """
-        old, shift = self.last, start + len(data) - end
+        old, kept, shift = self.last, self.states, start + len(data) - end
         self.data = self.data[:start] + data + self.data[end:]
-        self.last = old[:start]
+        self.last, self.states = old[:start], kept[:start]
         same = 0
         for stop in range(start + 1, len(self.data) + 1):
-            self.last.append(self.bpe.last_token(self.data, stop, self.last))
+            self.bpe.extend(self.data, self.last, self.states, stop)
             if stop <= start + len(data):
                 continue
             same = same + 1 if old[stop - shift - 1] == self.last[-1] else 0
             if same >= self.bpe.longest:
                 self.last += old[stop - shift :]
+                self.states += kept[stop - shift :]
                 return stop - start
         return len(self.data) - start
 
@@ -164,12 +214,16 @@ class Coder:
     def __init__(self, bpe: PrefixBpe, pattern: str):
         self.bpe, self.split = bpe, splitter(pattern)
         self.encoded: dict[str, str] = {}
+        self.older: dict[str, str] = {}
         self.decoded: dict[str, bytes] = {}
 
     def _learn(self, piece: str) -> str:
-        if len(self.encoded) >= REMEMBERED:
-            self.encoded.clear()
-            self.decoded.clear()
+        if len(self.encoded) >= REMEMBERED:  # what is still met comes back from the older half
+            self.older, self.encoded = self.encoded, {}
+            self.decoded = {}
+        if (spelt := self.older.get(piece)) is not None:
+            self.encoded[piece] = spelt
+            return spelt
         raw = piece.encode()
         whole = self.bpe.ranks.get(raw)
         ids = self.bpe.encode(raw) if whole is None else [whole]
@@ -189,6 +243,18 @@ class Coder:
         return b"".join([known[p] if p in known else b"".join(tokens[int(i)] for i in p.split()) for p in pieces])
 
 
+_CODERS: dict[int, Coder] = {}
+
+
+def _coder(ranks: dict[bytes, int], pattern: str) -> Coder:
+    """The coder of this Python worker, which keeps what it has learnt from one task to the next."""
+    key = hash((pattern, len(ranks), sum(ranks.values()), b"".join(ranks)))
+    if key not in _CODERS:
+        _CODERS.clear()
+        _CODERS[key] = Coder(PrefixBpe(ranks), pattern)
+    return _CODERS[key]
+
+
 def encode_texts(docs: DataFrame, bpe: PrefixBpe, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """``(id, n_tokens, ids, ids_sha256, decoded_sha256)`` of every whole text of ``docs``; ``ids`` only on demand.
 
@@ -198,7 +264,7 @@ def encode_texts(docs: DataFrame, bpe: PrefixBpe, pattern: str, id_col: str = "d
     shared = bounded_broadcast(docs.sparkSession, (bpe.ranks, pattern), sum(map(len, bpe.ranks)) + 64 * len(bpe.ranks))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(PrefixBpe(shared.value[0]), shared.value[1])
+        coder = _coder(*shared.value)
         for batch in slices(batches):
             n, ids, coded, back = [], [], [], []
             for text in batch.column("text").to_pylist():
