@@ -47,7 +47,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 #: Bytes of text that one numpy pass works on; a longer text is a pass of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -24,6 +24,8 @@ TRAINING_ROWS = 20_000
 #: Languages that a model holds, at most.
 MAX_LANGUAGES = 256
 UNDETERMINED = "und"
+#: Bytes of text whose n-grams are scored at a time; each takes a row of doubles.
+_SLICE = 1 << 20
 _LETTER = regex.compile(r"\p{L}")
 _FOLD = np.arange(0x3000, dtype=np.uint32)
 for _i in range(0x3000):
@@ -100,7 +102,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", bit
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, np.ndarray] = {}
-        for batch in slices(batches):
+        for batch in slices(batches, limit=_SLICE):
             data, offs = text_bytes(batch.column("text"))
             names = batch.column("lang").to_pylist()
             for bucket, of in grams(data, offs, bits):
@@ -127,7 +129,7 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> t
         import pandas as pd
 
         out = []
-        for piece in slices([pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])]):
+        for piece in slices([pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])], limit=_SLICE):
             lang, score = shared.value.scores(piece.column("text")) if shared.value.languages else ([UNDETERMINED] * piece.num_rows, np.zeros(piece.num_rows))
             out.append(pd.DataFrame({"lang": lang, "score": score}))
         return pd.concat(out) if out else pd.DataFrame({"lang": pd.Series(dtype=str), "score": pd.Series(dtype=float)})
@@ -149,7 +151,7 @@ def with_language(docs: DataFrame, model: LanguageModel, text_col: str = "text",
     whole = "text" in keep
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in slices(batches):
+        for piece in slices(batches, limit=_SLICE):
             if shared.value.languages:
                 lang, score = shared.value.scores(piece.column("text"))
             else:
