@@ -15,9 +15,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows that Spark hands a Python worker at a time, unless the session says otherwise: texts are long, and a worker holds a batch several times over.
+ARROW_ROWS = 2500
+_ARROW_ROWS_KEY, _ARROW_ROWS_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package's sources to the executors once a Spark application, as ``--py-files`` would."""
+    """Send this package's sources to the executors once a Spark application, as ``--py-files`` would, and keep Arrow batches small."""
     context = spark.sparkContext
+    if spark.conf.get(_ARROW_ROWS_KEY, _ARROW_ROWS_DEFAULT) == _ARROW_ROWS_DEFAULT:
+        spark.conf.set(_ARROW_ROWS_KEY, str(ARROW_ROWS))
     if getattr(context, "_lakemill_shipped", False):
         return
     here = os.path.dirname(os.path.abspath(__file__))
