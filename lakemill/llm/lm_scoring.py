@@ -1,12 +1,12 @@
 """Language-model scores by a sharded Elias-Fano n-gram trie (operator 8).
 
-An interpolated bigram model: ``p(w | h) = (c(h w) + mu * p(w)) / (c(h) + mu)``. Bigrams are dealt by context into
-shards that grow in number with the corpus. A shard counts the training ones, builds its own trie in
+An interpolated bigram model: ``p(w | h) = (c(h w) + mu * p(w)) / (c(h) + mu)``. Bigrams are dealt by their last word into
+shards that grow in number with the corpus. A shard counts the training ones, builds its own trie (last word first) in
 memory-mapped files, and looks up all bigrams that texts hold, so model and queries meet in one shuffle and
-no task holds the model whole. Contexts that would fill a shard of their own are dealt by the word after them.
+no task holds the model whole. Words that would fill a shard of their own are dealt by the word before them.
 
-As every word is the context of the token after it, a shard also knows the exact training count of each
-word that it scores, which gives the base score on the way.
+So a shard knows the exact training count of each of its words, seldom ones too: its own ``p(w)`` and base score. As every
+word is the context of the token after it, ``c(h) + mu`` is taken off where ``h`` is scored, which no other shard need know.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from .bytewords import mix, slices, span_hashes, sums, text_bytes, word_spans
 from .elias_fano import BigramTrie
 from .scratch import Scratch, bounded_broadcast
 
-#: Words with a probability of their own in ``p(w)``, at most; the others share the mean of theirs.
+#: Words that are dealt over shards by the word before them, at most; their counts are broadcast. Any number is right.
 HEAD = 1 << 18
 #: Tokens of a shard, about.
 SHARD = 2_500_000
@@ -59,7 +59,7 @@ def score_texts(docs: DataFrame, held_out: Column, mu: float = 20.0, alpha: floa
     The model learns from the rows where ``held_out`` is false (null counts as held out). Tokens are the lower-cased (A-Z)
     runs of bytes other than 0x20 and 0x09-0x0D, and one end per text; a null text is empty, which is its end alone.
     ``n_known`` of the tokens were learnt. ``base_score`` sums ``log10((c + alpha) / (N + alpha * (V + 1)))``; ``score`` is the model's
-    log10 probability, from one-byte codes. Ids are longs; null and repeated ones are rows like others. Without a
+    log10 probability, from one-byte codes of ``c(h w) + mu * p(w)``; ``p(w)`` is that of ``base_score``. Ids are longs; null and repeated ones are rows like others. Without a
     row to learn from every count is 0 and both scores rest on ``alpha``. Other columns are ignored; no rows give none.
     """
     spark = docs.sparkSession
@@ -71,27 +71,21 @@ def score_texts(docs: DataFrame, held_out: Column, mu: float = 20.0, alpha: floa
     sizes = rows.agg(F.count(F.lit(1)), F.count_if("train"), F.sum(F.length("text"))).first()
     trained, total = sizes[1], (sizes[2] or 0) / 6 + sizes[0]
     shards = max(1, int(total / SHARD) + 1)
-    least = 1
-    if v > HEAD:  # the smallest count that at most HEAD words reach
-        steps = counts.groupBy("n").agg(F.count(F.lit(1)).alias("k")).where("n > 1").orderBy(F.desc("n")).limit(HEAD).collect()
-        reached = np.cumsum([r["k"] for r in steps])
-        inside = int(np.searchsorted(reached, HEAD, side="right"))
-        least = steps[inside - 1]["n"] if inside else n + 1
-    head = counts.where(F.col("n") >= least).toPandas()  # HEAD rows at most
-    order = np.argsort(head["word"].to_numpy(np.int64).view(np.uint64))
-    words, held = head["word"].to_numpy(np.int64).view(np.uint64)[order], head["n"].to_numpy(np.int64)[order]
     size = n + alpha * (v + 1)
-    rest = (size - float(held.sum()) - alpha * len(held)) / max(1, v + 1 - len(held)) / size
-    hot = held > max(1, total / shards / 8)
-    shared = bounded_broadcast(spark, (words, held, hot), words.nbytes + held.nbytes + hot.nbytes)
+    hot = counts.where(F.col("n") > max(1, n / shards / 8)).orderBy(F.desc("n"), "word").limit(HEAD).toPandas()  # 8 * shards rows at most
+    order = np.argsort(hot["word"].to_numpy(np.int64).view(np.uint64))
+    words, held = hot["word"].to_numpy(np.int64).view(np.uint64)[order], hot["n"].to_numpy(np.int64)[order]
+    shared = bounded_broadcast(spark, (words, held), words.nbytes + held.nbytes)
     scratch.drop("words")
 
-    def lookup(w: np.ndarray, values: np.ndarray, other: float) -> np.ndarray:
-        table = shared.value[0]
-        if not len(table):
-            return np.full(len(w), other)
-        at = np.minimum(np.searchsorted(table, w), len(table) - 1)
-        return np.where(table[at] == w, values[at], other)
+    def spread_count(w: np.ndarray) -> np.ndarray:
+        """Training counts of the words that are dealt over shards, -1 of the others. A text's end always is."""
+        table, n = shared.value
+        out = np.full(len(w), -1, np.int64)
+        if len(table):
+            at = np.minimum(np.searchsorted(table, w), len(table) - 1)
+            out = np.where(table[at] == w, n[at], out)
+        return np.where(w == _END, trained, out)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, k = TaskContext.get().partitionId(), 0
@@ -100,12 +94,11 @@ def score_texts(docs: DataFrame, held_out: Column, mu: float = 20.0, alpha: floa
             doc = np.repeat(np.arange(batch.num_rows, dtype=np.uint32), np.diff(of))
             before = np.concatenate([[_BEGIN], tokens[:-1]]) if len(tokens) else tokens
             before[of[:-1]] = _BEGIN
-            spread = (lookup(before, shared.value[2].astype(float), 0.0) > 0) | (before == _BEGIN)
-            shard = (np.where(spread, mix(before ^ mix(tokens)), mix(before)) % np.uint64(shards)).astype(np.int64)
-            order = np.lexsort((tokens, before, shard))
+            shard = (np.where(spread_count(tokens) >= 0, mix(before ^ mix(tokens)), mix(tokens)) % np.uint64(shards)).astype(np.int64)
+            order = np.lexsort((before, tokens, shard))
             shard, before, tokens, doc = shard[order], before[order], tokens[order], doc[order]
-            new_context = np.concatenate([[True], (shard[1:] != shard[:-1]) | (before[1:] != before[:-1])])
-            new = np.flatnonzero(new_context | np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+            new_word = np.concatenate([[True], (shard[1:] != shard[:-1]) | (tokens[1:] != tokens[:-1])])
+            new = np.flatnonzero(new_word | np.concatenate([[True], before[1:] != before[:-1]]))
             cuts = np.searchsorted(shard, np.arange(shards + 1))
             train = np.packbits(batch.column("train").to_numpy(zero_copy_only=False).astype(bool)).tobytes()
             here = (part << 24) + k
@@ -118,61 +111,60 @@ def score_texts(docs: DataFrame, held_out: Column, mu: float = 20.0, alpha: floa
                 if a == b:
                     continue
                 some = new[np.searchsorted(new, a) : np.searchsorted(new, b)]
-                first = np.flatnonzero(new_context[some])
-                out.append((s, here, before[some[first]].tobytes(), train, np.diff(np.append(first, len(some))).astype(np.uint32).tobytes(), tokens[some].tobytes(), np.diff(np.append(some, b)).astype(np.uint32).tobytes() + doc[a:b].astype(np.uint16 if batch.num_rows <= 1 << 16 else np.uint32).tobytes()))
+                first = np.flatnonzero(new_word[some])
+                out.append((s, here, tokens[some[first]].tobytes(), train, np.diff(np.append(first, len(some))).astype(np.uint32).tobytes(), before[some].tobytes(), np.diff(np.append(some, b)).astype(np.uint32).tobytes() + doc[a:b].astype(np.uint16 if batch.num_rows <= 1 << 16 else np.uint32).tobytes()))
             kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 5)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["shard", "slice", "context", "train", "fan", "word", "docs"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["shard", "slice", "word", "train", "fan", "before", "docs"])
 
-    sent = rows.mapInArrow(send, "shard int, slice long, context binary, train binary, fan binary, word binary, docs binary")
+    sent = rows.mapInArrow(send, "shard int, slice long, word binary, train binary, fan binary, before binary, docs binary")
 
     def look_up(key: tuple, got: pd.DataFrame) -> pd.DataFrame:
         if key[0] < 0:  # the slices' own rows pass through, dealt as evenly as the shards
-            return pd.DataFrame({"slice": got["slice"], "own": True, "a": got["context"], "b": got["train"], "c": got["fan"], "d": got["word"]})
+            return pd.DataFrame({"slice": got["slice"], "own": True, "a": got["word"], "b": got["train"], "c": got["fan"], "d": got["before"]})
         parts = []
         for r in got.itertuples():
-            word = np.frombuffer(r.word, np.uint64)
-            context = np.repeat(np.frombuffer(r.context, np.uint64), np.frombuffer(r.fan, np.uint32))
+            before = np.frombuffer(r.before, np.uint64)
+            word = np.repeat(np.frombuffer(r.word, np.uint64), np.frombuffer(r.fan, np.uint32))
             times = np.frombuffer(r.docs[: 4 * len(word)], np.uint32)
             wide = np.uint32 if (len(r.docs) - 4 * len(word)) == 4 * int(times.sum()) else np.uint16
             doc = np.frombuffer(r.docs[4 * len(word) :], wide)
             train = np.unpackbits(np.frombuffer(r.train, np.uint8))[doc]
-            parts.append((context, word, times, doc, sums(train.astype(np.int64), np.append(0, np.cumsum(times, dtype=np.int64)))))
-        context, word, learnt = (np.concatenate([p[k] for p in parts]) for k in (0, 1, 4))
-        order = np.lexsort((word, context))
-        context, word, learnt = context[order], word[order], learnt[order]
-        new = np.concatenate([[True], (context[1:] != context[:-1]) | (word[1:] != word[:-1])])
+            parts.append((word, before, times, doc, sums(train.astype(np.int64), np.append(0, np.cumsum(times, dtype=np.int64)))))
+        word, before, learnt = (np.concatenate([p[k] for p in parts]) for k in (0, 1, 4))
+        order = np.lexsort((before, word))
+        word, before, learnt = word[order], before[order], learnt[order]
+        new = np.concatenate([[True], (word[1:] != word[:-1]) | (before[1:] != before[:-1])])
         of = np.append(np.flatnonzero(new), len(new))
-        context, word, learnt = context[new], word[new], sums(learnt, of)
-        first = np.concatenate([[True], context[1:] != context[:-1]])
-        own = np.cumsum(first) - 1
-        after = np.bincount(own, learnt)[own]
-        # a context that is dealt over shards has its count from the broadcast table
-        after = np.where(lookup(context, shared.value[2].astype(float), 0.0) > 0, lookup(context, shared.value[1].astype(float), 0.0), np.where(context == _BEGIN, trained, after))
-        p = lookup(word, (shared.value[1] + alpha) / size, rest)
+        word, before, learnt = word[new], before[new], sums(learnt, of)
+        own = np.cumsum(np.concatenate([[True], word[1:] != word[:-1]])) - 1
+        # a word that is dealt over shards has its count from the broadcast table
+        known = spread_count(word)
+        known = np.where(known >= 0, known, np.bincount(own, learnt)[own].astype(np.int64))
+        p = (known + alpha) / size
         seen = learnt > 0
         with tempfile.TemporaryDirectory() as folder:
-            trie = BigramTrie(context[seen], word[seen], np.log10((learnt[seen] + mu * p[seen]) / (after[seen] + mu)), folder)
-            has, log_p = trie.find(context, word)
-        log_p = np.where(has, log_p, np.log10(mu * p / (after + mu)))
+            trie = BigramTrie(word[seen], before[seen], np.log10(learnt[seen] + mu * p[seen]), folder)
+            has, log_p = trie.find(word, before)
+        # the token's own share, without the context's count, which the context's shard takes off: the end is no context
+        log_p = np.where(has, log_p, np.log10(mu * p)) - np.where(word == _END, 0.0, np.log10(known + mu))
+        log_base = np.log10(known + alpha)
         back = np.empty(len(new), np.int64)
         back[order] = np.cumsum(new) - 1
         rows, at = [], 0
-        for r, (con, w, times, doc, _) in zip(got.itertuples(), parts):
+        for r, (w, _, times, doc, _) in zip(got.itertuples(), parts):
             mine = back[at : at + len(w)]
             at += len(w)
             m = int(doc.max()) + 1
             each = np.repeat(mine, times)
-            # of each token that goes before: its own base score (the end, and the begin, are no word)
-            told = (context[each] != _BEGIN).astype(float)
             score = np.bincount(doc, log_p[each], m)
-            base = np.bincount(doc, np.log10(after[each] + alpha) * told, m)
-            known = np.bincount(doc, (after[each] > 0) * told, m)
+            base = np.bincount(doc, log_base[each], m)
+            learnt_of = np.bincount(doc, known[each] > 0, m)
             some = np.flatnonzero(np.bincount(doc, minlength=m))
-            rows.append((r.slice, False, some.astype(np.uint32).tobytes(), score[some].tobytes(), base[some].tobytes(), known[some].astype(np.uint32).tobytes()))
+            rows.append((r.slice, False, some.astype(np.uint32).tobytes(), score[some].tobytes(), base[some].tobytes(), learnt_of[some].astype(np.uint32).tobytes()))
         return pd.DataFrame(rows, columns=["slice", "own", "a", "b", "c", "d"])
 
     partial = sent.groupBy("shard").applyInPandas(look_up, "slice long, own boolean, a binary, b binary, c binary, d binary")
-    end_base, end_known = float(np.log10(trained + alpha)), int(trained > 0)
+    begin = -float(np.log10(trained + mu))  # of the context before the first token
 
     def gather(got: pd.DataFrame) -> pd.DataFrame:
         own = got[got["own"]].iloc[0]
@@ -180,7 +172,7 @@ def score_texts(docs: DataFrame, held_out: Column, mu: float = 20.0, alpha: floa
         m = len(ids)
         train, null = (np.unpackbits(np.frombuffer(own[c], np.uint8))[:m].astype(bool) for c in "bc")
         tokens = np.frombuffer(own["d"], np.int64)
-        score, base, known = np.zeros(m), np.full(m, end_base), np.full(m, end_known, np.int64)
+        score, base, known = np.full(m, begin), np.zeros(m), np.zeros(m, np.int64)
         for r in got[~got["own"]].sort_values("a").itertuples():
             at = np.frombuffer(r.a, np.uint32)
             score[at] += np.frombuffer(r.b, float)

@@ -275,6 +275,14 @@ def test_words_beyond_the_head_share_their_mean(docs, monkeypatch):
     assert all(math.isfinite(r["score"]) and r["score"] < 0 for r in rows)
 
 
+@pytest.mark.parametrize("head, shard", [(500, 2_500_000), (5, 3000)])
+def test_words_beyond_the_head_keep_their_own_probability(docs, head, shard, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "HEAD", head)
+    monkeypatch.setattr(lm_scoring, "SHARD", shard)
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    check_scores(docs, rows, F.col("doc_id") % 3 == 0)
+
+
 def test_scores_of_odd_rows(odd_docs, no_docs):
     got = lm_scoring.score_texts(odd_docs, F.col("doc_id") == 3).collect()
     assert len(got) == odd_docs.count() and {r["doc_id"] for r in got if r["held_out"]} == {3, None}
