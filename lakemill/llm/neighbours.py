@@ -3,8 +3,9 @@
 Vectors are put on the unit sphere of one dimension more, where the largest inner product is the least
 distance (Bachrach et al., 2014). A table cuts that space by ``m`` random projections into slots of width
 ``w`` (Datar et al., 2004). A query visits buckets in the order of the chance that a neighbour lies there, until these
-chances add up to the table's share of ``recall`` (Lv et al., 2007). Candidates of all tables are scored
-exactly, on the vectors as given, and merged.
+chances add up to the table's share of ``recall`` (Lv et al., 2007), for a neighbour as far as the query's own k-th in a sample: the
+k-th of all rows is no farther. Candidates of all tables are scored exactly, on the vectors as given, and merged; a query
+that they leave without ``k`` is scored against all rows.
 """
 
 from __future__ import annotations
@@ -21,10 +22,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from .bytewords import mix
-from .scratch import Scratch
+from .scratch import BROADCAST_BYTES, Scratch, bounded_broadcast, matching
 from .vectors import matrix, usable
 
-#: Vectors that the slots and the neighbours' distance are fitted on, at most.
+#: Vectors that the slots and each query's distance are fitted on, at most.
 SAMPLE = 2000
 #: Vectors that a task scores at a time, about.
 BLOCK = 16_384
@@ -72,11 +73,11 @@ def nearest(table: DataFrame, is_query: Column, k: int = 20, recall: float = 0.9
     """``(query_id, rank, vec_id, score)``: of each query row the ``k`` rows found with the largest inner product.
 
     Nearest first, equal scores by the smaller id. Candidates are all rows with another id, scored in double precision
-    on the vectors as they are; with fewer than ``k`` candidates found, all of them. A null id, and a vector that is null, empty,
+    on the vectors as they are; with fewer than ``k`` other ids, all of them. A null id, and a vector that is null, empty,
     zero or holds a null or non-finite component, takes no part, nor do vectors of another length than most. A repeated id
     counts once, with its best score, and queries once per id with the vector of the smallest bytes. No rows give none.
 
-    ``recall`` is the chance, by the fit on at most ``SAMPLE`` rows, that a visited bucket holds a neighbour as far as the k-th in the sample.
+    ``recall`` is the chance that a visited bucket holds a neighbour as far as the query's k-th among at most ``SAMPLE`` rows.
     """
     spark = table.sparkSession
     scratch = Scratch(spark, "neighbours")
@@ -88,7 +89,7 @@ def nearest(table: DataFrame, is_query: Column, k: int = 20, recall: float = 0.9
         return spark.createDataFrame([], schema)
     size, n = lengths[0]["bytes"], lengths[0]["count"]
     rows = rows.where(F.length("raw") == size).distinct()
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()  # a bounded number of vectors
+    sample = rows.orderBy(F.xxhash64("id"), "id").limit(max(1, min(SAMPLE, BROADCAST_BYTES // (size + 16)))).collect()  # a bounded number of vectors
     x = matrix([r["raw"] for r in sample])
 
     def norms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,13 +110,13 @@ def nearest(table: DataFrame, is_query: Column, k: int = 20, recall: float = 0.9
     def asked(v: np.ndarray) -> np.ndarray:
         return np.concatenate([v / np.sqrt((v * v).sum(axis=1))[:, None], np.zeros((len(v), 1))], axis=1)
 
-    up, some = lifted(x), asked(x[:200])
-    far = np.sqrt(np.maximum(0, 2 - 2 * np.sort(some @ up.T, axis=1)[:, ::-1][:, : k + 1]))[:, -1]
-    spread = max(1e-6, float(np.median(far)))
+    up = lifted(x)
     width = max(1e-6, float(np.std(np.einsum("nd,tdm->ntm", up, axes)))) * 1.35  # about four slots hold nearly all
     shift = rng.uniform(0, width, (tables, m))
     share = 1 - (1 - recall) ** (1 / tables)
     parts = max(1, math.ceil(n / BLOCK))
+    sampled, once = np.unique(np.array([r["id"] for r in sample], np.int64), return_index=True)
+    fitted = bounded_broadcast(spark, (sampled, up[once]), up.nbytes + sampled.nbytes)
 
     def filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,34 +131,55 @@ def nearest(table: DataFrame, is_query: Column, k: int = 20, recall: float = 0.9
     # a bucket's vectors are dealt over all parts, so no bucket is one task's alone; each part holds about BLOCK of a table
     index = index.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)))
 
+    def spreads(v: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Each query's distance to the k-th other id of the sample; the farthest possible with fewer of them."""
+        others, points = fitted.value
+        out = np.full(len(v), 2.0)
+        for a in range(0, len(v), _QUERIES):
+            near = np.where(others[None, :] == own[a : a + _QUERIES, None], -np.inf, v[a : a + _QUERIES] @ points.T)
+            if len(others) >= k:
+                kth = np.partition(near, len(others) - k, axis=1)[:, len(others) - k]
+                out[a : a + _QUERIES] = np.where(kth > -np.inf, np.sqrt(np.maximum(0, 2 - 2 * np.maximum(kth, -1))), 2.0)
+        return np.maximum(1e-6, out)
+
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             v = asked(matrix(batch.column("raw").to_pylist()))
+            far = spreads(v, batch.column("id").to_numpy())
             for t in range(tables):
                 at = v @ axes[t] + shift[t]
-                visits = [bucket_names(probes(p, spread, width, share)).tobytes() for p in at]
+                visits = [bucket_names(probes(p, d, width, share)).tobytes() for p, d in zip(at, far)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), t, np.int32)), batch.column("id"), batch.column("raw"), pa.array(visits, pa.binary())], ["t", "id", "raw", "visits"])
 
     queries = rows.withColumnRenamed("id", id_col).where(is_query).groupBy(F.col(id_col).alias("id")).agg(F.min("raw").alias("raw"))
-    visits = queries.mapInArrow(ask, "t int, id long, raw binary, visits binary").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("part", F.col("part").cast("long"))
+    queries = scratch.table(queries, "queries")
+    visits = scratch.table(queries.mapInArrow(ask, "t int, id long, raw binary, visits binary"), "visits")
 
     def score(key: tuple, have: pd.DataFrame, want: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(have) and len(want):
+            have = have.sort_values("id", ignore_index=True)
             v, ids = matrix(have["raw"].tolist()), have["id"].to_numpy(np.int64)
+            of_id = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))  # a repeated id counts once
             names, of = np.unique(have["bucket"].to_numpy(np.int64), return_inverse=True)
             want = want.sort_values("id", ignore_index=True)
             for a in range(0, len(want), _QUERIES):
                 some = want.iloc[a : a + _QUERIES]
                 q, own = matrix(some["raw"].tolist()), some["id"].to_numpy(np.int64)
-                open_ = np.stack([np.isin(names, np.frombuffer(b, np.int64)) for b in some["visits"]])
+                open_ = np.stack([np.ones(len(names), bool) if b is None else np.isin(names, np.frombuffer(b, np.int64)) for b in some["visits"]])
                 near = np.where(open_[:, of] & (ids[None, :] != own[:, None]), q @ v.T, -np.inf)
-                top = min(k, len(ids))
-                least = np.partition(near, len(ids) - top, axis=1)[:, len(ids) - top]
+                best = near if len(of_id) == len(ids) else np.maximum.reduceat(near, of_id, axis=1)
+                top = min(k, len(of_id))
+                least = np.partition(best, len(of_id) - top, axis=1)[:, len(of_id) - top]
                 i, j = np.nonzero((near >= (least - 1e-9 * (1 + np.abs(least)))[:, None]) & (near > -np.inf))
                 exact = (q[i] * v[j]).sum(axis=1)
+                if len(of_id) < len(ids):
+                    order = np.lexsort((-exact, ids[j], i))
+                    i, j, exact = i[order], j[order], exact[order]
+                    first = np.concatenate([[True], (i[1:] != i[:-1]) | (ids[j[1:]] != ids[j[:-1]])]) if len(i) else np.empty(0, bool)
+                    i, j, exact = i[first], j[first], exact[first]
                 order = np.lexsort((ids[j], -exact, i))
                 i, j, exact = i[order], j[order], exact[order]
                 begin = np.searchsorted(i, i)
@@ -165,7 +187,19 @@ def nearest(table: DataFrame, is_query: Column, k: int = 20, recall: float = 0.9
                 out.append(pd.DataFrame({"query_id": own[i[best]], "vec_id": ids[j[best]], "score": exact[best]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series(dtype=np.int64), "vec_id": pd.Series(dtype=np.int64), "score": pd.Series(dtype=float)})
 
-    found = index.groupBy("t", "part").cogroup(visits.groupBy("t", "part")).applyInPandas(score, "query_id long, vec_id long, score double")
-    merged = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    ranked = merged.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def answers(want: DataFrame, have: DataFrame) -> DataFrame:
+        """The ``k`` best of each query of ``want (t, id, raw, visits)``; it meets each part of ``have``."""
+        cell = ["t", "part"]
+        want = want.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("part", F.col("part").cast("long"))
+        found = have.groupBy(*cell).cogroup(want.groupBy(*cell)).applyInPandas(score, "query_id long, vec_id long, score double")
+        merged = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        ranked = merged.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+        return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    found = scratch.table(answers(visits, index), "found")
+    enough = found.where(F.col("rank") == k).select("query_id")
+    short = scratch.table(matching(queries, "id", enough, "left_anti"), "short")
+    if not short.head(1):
+        return found
+    whole = answers(short.select(F.lit(0).alias("t"), "id", "raw", F.lit(None).cast("binary").alias("visits")), index.where("t = 0"))
+    return matching(found, "query_id", enough).union(whole)

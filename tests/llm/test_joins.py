@@ -201,6 +201,53 @@ def test_nearest(spark, vectors):
     assert {r["vec_id"] for r in few} <= {1, 7}
 
 
+def brute_nearest(rows, queries, k=20):
+    ids = np.array(sorted({i for i, _ in rows}))
+    out = {}
+    for q in queries:
+        own = min((v for i, v in rows if i == q), key=lambda v: np.array(v).tobytes())
+        best = collections.defaultdict(lambda: -math.inf)
+        for (i, _), s in zip(rows, (np.array([v for _, v in rows]) @ np.array(own)).tolist()):
+            best[i] = max(best[i], s)
+        out[q] = sorted((i for i in ids.tolist() if i != q), key=lambda i: (-best[i], i))[:k]
+    return out
+
+
+def found_nearest(df, every, k=20):
+    out = collections.defaultdict(list)
+    for r in sorted(neighbours.nearest(df, F.col("vec_id") % every == 0, k=k).collect(), key=lambda r: r["rank"]):
+        out[r["query_id"]].append(r["vec_id"])
+    return out
+
+
+def test_nearest_outside_of_tight_groups(spark):
+    """Most rows lie in a few tight groups, whose distances tell nothing of the other rows'."""
+    rng = np.random.default_rng(11)
+    centre = rng.normal(size=(6, 64))
+    x = [centre[rng.integers(6)] + rng.normal(0, 0.01, 64) if i % 5 < 3 else rng.normal(size=64) for i in range(4000)]
+    rows = [(i, (v / np.linalg.norm(v)).tolist()) for i, v in enumerate(x)]
+    got = found_nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 13)
+    assert all(len(got[q]) == 20 for q in range(0, 4000, 13))
+    for dense in (True, False):
+        want = brute_nearest(rows, [q for q in range(0, 4000, 13) if (q % 5 < 3) == dense])
+        assert sum(len({*got[q]} & {*some}) for q, some in want.items()) / (20 * len(want)) >= 0.9, dense
+
+
+@pytest.mark.parametrize("n", [1, 2, 15, 21])
+def test_nearest_of_few_rows_is_all_of_them(spark, n):
+    rows = [(i, v.tolist()) for i, v in enumerate(np.random.default_rng(n).normal(size=(n, 24)))]
+    got = found_nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 1)
+    assert {q: got[q] for q in range(n)} == brute_nearest(rows, range(n))
+
+
+def test_nearest_counts_a_repeated_id_once(spark):
+    rng = np.random.default_rng(5)
+    near = rng.normal(size=16)
+    rows = [(0, near.tolist())] + [(1, (3 * near + rng.normal(0, 0.01, 16)).tolist()) for _ in range(60)] + [(i, rng.normal(size=16).tolist()) for i in range(2, 30)]
+    got = found_nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 30)
+    assert len(got[0]) == len(set(got[0])) == 20 and got[0][0] == 1
+
+
 def test_recall_on_the_tables(spark):
     e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     rows = e.orderBy("vec_id").collect()
