@@ -30,6 +30,8 @@ SAMPLE = 2000
 #: Vectors that a task scores at a time, about.
 BLOCK = 16_384
 _QUERIES = 128
+#: Bytes of queries, with the buckets that they visit, that a task holds, about.
+QUERY_BYTES = 32 << 20
 
 
 def _chance(x: np.ndarray) -> np.ndarray:
@@ -188,8 +190,11 @@ def nearest(table: DataFrame, is_query: Column, k: int = 20, recall: float = 0.9
         return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series(dtype=np.int64), "vec_id": pd.Series(dtype=np.int64), "score": pd.Series(dtype=float)})
 
     def answers(want: DataFrame, have: DataFrame) -> DataFrame:
-        """The ``k`` best of each query of ``want (t, id, raw, visits)``; it meets each part of ``have``."""
-        cell = ["t", "part"]
+        """The ``k`` best of each query of ``want (t, id, raw, visits)``; a query block meets each part of ``have``."""
+        load = want.groupBy("t").agg(F.sum(F.length("raw") + F.coalesce(F.length("visits"), F.lit(0))).alias("load")).agg(F.max("load")).first()[0] or 0
+        blocks, cell = int(load / QUERY_BYTES) + 1, ["t", "part", "block"]
+        have = have.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        want = want.withColumn("block", F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(blocks)).cast("int"))
         want = want.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("part", F.col("part").cast("long"))
         found = have.groupBy(*cell).cogroup(want.groupBy(*cell)).applyInPandas(score, "query_id long, vec_id long, score double")
         merged = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))

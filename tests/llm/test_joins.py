@@ -248,6 +248,22 @@ def test_nearest_counts_a_repeated_id_once(spark):
     assert len(got[0]) == len(set(got[0])) == 20 and got[0][0] == 1
 
 
+def test_nearest_deals_queries_into_blocks(vectors, monkeypatch):
+    from pyspark.sql import GroupedData
+
+    df, sizes, real = vectors[0], [], GroupedData.cogroup
+
+    def cogroup(self, other):
+        sizes.append(other.count().agg(F.max("count")).first()[0] or 0)
+        return real(self, other)
+
+    monkeypatch.setattr(GroupedData, "cogroup", cogroup)
+    want = found_nearest(df, 5)
+    monkeypatch.setattr(neighbours, "QUERY_BYTES", 4000, raising=False)
+    assert found_nearest(df, 5) == want
+    assert sizes[0] > 100 and max(sizes[1:]) < 40
+
+
 def test_recall_on_the_tables(spark):
     e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     rows = e.orderBy("vec_id").collect()
