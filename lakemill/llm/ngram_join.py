@@ -43,6 +43,8 @@ _KEYS = np.array([0, 0x7F4A7C159E3779B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93]
 _LISTED = 4_000_000
 #: Groups that share a token, from which they are compared in blocks of so many nodes instead of as pairs.
 LONG, BLOCK = 64, 512
+#: Tokens of the nodes of a block, about.
+BLOCK_TOKENS = 1_000_000
 #: Tokens that one task sorts, about.
 _BUCKET = 2_000_000
 
@@ -247,15 +249,19 @@ def _meet(grouped: DataFrame, percent: int, buckets: int) -> DataFrame:
 
 
 def _compared_in_blocks(members: DataFrame, rows: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
-    """Links ``(a, b)`` that join what links among the nodes of each cluster of ``members (cluster, node)``.
+    """Links ``(a, b)`` that join what links among the nodes of each cluster of ``members (cluster, node, n)``.
 
-    A cluster is cut into blocks of bounded size, and each two of its blocks meet in one group of rows, where a matrix product counts the shared
-    tokens of all pairs; a pair is never a row. Of what links in two blocks one link per node leaves the task.
+    A cluster is cut into blocks of about ``BLOCK`` nodes and ``BLOCK_TOKENS`` tokens at most, and each two of its blocks meet in one group of rows of
+    their own, where a matrix product counts the shared tokens of all pairs; a pair is never a row. Clusters of one block share groups of about a
+    block's size. Of what links in two blocks one link per node leaves the task.
     """
-    dealt = scratch.table(members.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "blocks")
-    dealt = members.join(dealt, "cluster").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    blocks = F.ceil(F.greatest(F.col("nodes") / BLOCK, F.col("tokens") / BLOCK_TOKENS)).cast("int")
+    dealt = scratch.table(members.groupBy("cluster").agg(F.count(F.lit(1)).alias("nodes"), F.sum("n").alias("tokens")).withColumn("blocks", blocks), "blocks")
+    small = dealt.where("blocks = 1").agg(F.sum("nodes"), F.sum("tokens")).first()
+    bins = max(1, int((small[0] or 0) / BLOCK), int((small[1] or 0) / BLOCK_TOKENS))
+    dealt = members.select("cluster", "node").join(dealt.select("cluster", "blocks"), "cluster").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     sets = _node_sets(rows, members.select("node"), words).join(dealt, "node")
-    sets = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cluster", "node", "tokens", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+    sets = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cluster", "node", "tokens", "blocks", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         cells = [one_cell(got) for _, got in rows.groupby(["cluster", "x", "y"]) if len(got) > 1]
@@ -281,8 +287,8 @@ def _compared_in_blocks(members: DataFrame, rows: DataFrame, words: int, percent
         root = least_linked(len(n), i, j)
         return pd.DataFrame({"a": node, "b": node[root]})[root != np.arange(len(n))]
 
-    bins = max(1, int(members.count() / BLOCK))
-    return sets.withColumn("bin", F.pmod(F.xxhash64("cluster", "x", "y"), F.lit(bins))).groupBy("bin").applyInPandas(compare, "a long, b long")
+    cell = F.xxhash64("cluster", "x", "y")  # two blocks are a group of rows of their own, however many there are
+    return sets.withColumn("bin", F.when(F.col("blocks") > 1, cell).otherwise(F.pmod(cell, F.lit(bins)))).drop("blocks").groupBy("bin").applyInPandas(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -315,15 +321,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, id_col:
     groups = scratch.table(connected_components(links, scratch, "groups"), "groups")
 
     slack = (100 - percent) * F.col("n") - (100 + percent) * F.col("under")
-    grouped = nodes.join(groups, "node", "left").select("node", F.coalesce("component", "node").alias("group"), F.when(F.col("component").isNull(), F.col("n")).otherwise(0).alias("size"), slack.alias("slack"), "rare", "sketch")
-    met = scratch.table(_meet(grouped.drop("node"), percent, buckets), "met")
+    grouped = nodes.join(groups, "node", "left").select("node", "n", F.coalesce("component", "node").alias("group"), F.when(F.col("component").isNull(), F.col("n")).otherwise(0).alias("size"), slack.alias("slack"), "rare", "sketch")
+    met = scratch.table(_meet(grouped.drop("node", "n"), percent, buckets), "met")
     opened = met.where("not hub").select(F.col("g").alias("a"), F.col("h").alias("b"))
     possible = scratch.table(_sketch_bound(opened, nodes, percent, scratch, "opened"), "possible")
     more = scratch.table(_linked(possible, rows, words, percent, scratch, "possible"), "more")
     clusters = connected_components(met.where("hub").select(F.col("g").alias("a"), F.col("h").alias("b")), scratch, "clusters").select(F.col("node").alias("group"), F.col("component").alias("cluster"))
     every = links.union(more)
     if clusters.head(1):
-        inside = grouped.select("node", "group").join(clusters, "group").select("cluster", "node")
+        inside = grouped.select("node", "n", "group").join(clusters, "group").select("cluster", "node", "n")
         every = every.union(scratch.table(_compared_in_blocks(scratch.table(inside, "clusters"), rows, words, percent, scratch), "joined"))
     names = nodes.select("high", "low", "node")
     alike = ids.where("doc_id is not null and n > 0").join(names, ["high", "low"])

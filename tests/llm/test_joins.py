@@ -99,6 +99,37 @@ def test_large_group_of_near_copies_around_the_bound(spark):
     check_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
 
 
+def group_sizes(monkeypatch, schema):
+    """The rows of the largest group of each ``applyInPandas`` with this schema, as they come."""
+    from pyspark.sql import GroupedData
+
+    sizes, real = [], GroupedData.applyInPandas
+
+    def apply(self, f, out):
+        if out == schema:
+            sizes.append(self.count().agg(F.max("count")).first()[0])
+        return real(self, f, out)
+
+    monkeypatch.setattr(GroupedData, "applyInPandas", apply)
+    return sizes
+
+
+@pytest.mark.parametrize("tokens", [1_000_000, 1000])
+def test_large_cluster_is_compared_in_bounded_groups(spark, tokens, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 20 if tokens > 1000 else 512)
+    monkeypatch.setattr(ngram_join, "BLOCK_TOKENS", tokens, raising=False)
+    rng = np.random.default_rng(9)
+    base, rows = [f"w{k}" for k in range(50)], []
+    for i in range(300):
+        w = list(base)
+        for k in rng.choice(50, rng.integers(0, 4), replace=False):
+            w[k] = f"x{i}-{k}"
+        rows.append((i, " ".join(w)))
+    sizes = group_sizes(monkeypatch, "a long, b long")
+    check_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert len(sizes) == 1 and 20 < sizes[0] <= 100
+
+
 # URL filters
 
 
