@@ -55,7 +55,8 @@ def near_duplicate_vectors(table: DataFrame, cosine: float = 0.95, recall: float
     rows = scratch.table(named, "rows")
     alike = rows.where("raw is not null").groupBy("high", "low", F.length("raw").alias("bytes"))
     nodes = scratch.table(alike.agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("raw").alias("raw")), "nodes")
-    bits, tables = table_sizes(nodes.count(), cosine, recall)
+    n = nodes.count()
+    bits, tables = table_sizes(n, cosine, recall)
     weights = 1 << np.arange(bits, dtype=np.int64)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,9 +78,11 @@ def near_duplicate_vectors(table: DataFrame, cosine: float = 0.95, recall: float
     many = F.broadcast(many) if many.limit(_HOT + 1).count() <= _HOT else many
     dealt = spread.join(many, ["bytes", "t", "bucket"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("node", "copies", "signs", "raw", "t", "own", "bucket", "bytes", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
-    bins = max(1, int((hot.agg(F.sum("size")).first()[0] or 0) / _BIN))
-    dealt = dealt.withColumn("bin", F.pmod(F.xxhash64("t", "bucket", "bytes", "x", "y"), F.lit(bins)))
+    dealt = dealt.select("node", "copies", "signs", "raw", "t", "own", "bucket", "bytes", "blocks", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+    large = hot.where(F.col("size") > BLOCK).agg(F.sum("size")).first()[0] or 0
+    bins = max(1, int((n * tables - large) / _BIN))
+    cell = F.xxhash64("t", "bucket", "bytes", "x", "y")  # two blocks of a large bucket are a group of rows of their own
+    dealt = dealt.withColumn("bin", F.when(F.col("blocks") > 1, cell).otherwise(F.pmod(cell, F.lit(bins)))).drop("blocks")
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["t", "bucket", "bytes", "x", "y"], ignore_index=True)

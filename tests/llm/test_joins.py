@@ -232,6 +232,18 @@ def test_nearest(spark, vectors):
     assert {r["vec_id"] for r in few} <= {1, 7}
 
 
+def test_large_bucket_is_compared_in_bounded_groups(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 20)
+    monkeypatch.setattr(embedding_dedup, "_BIN", 80)
+    rng = np.random.default_rng(4)
+    centre = rng.normal(size=16)
+    rows = [(i, (centre + rng.normal(0, 0.01, 16) if i < 300 else rng.normal(size=16)).tolist()) for i in range(400)]
+    sizes = group_sizes(monkeypatch, "a long, b long, links long")
+    got = {r["vec_id"]: r for r in embedding_dedup.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert all(got[i]["n_links"] == 299 and got[i]["component_id"] == 0 for i in range(300))
+    assert len(sizes) == 1 and 20 < sizes[0] <= 200
+
+
 def brute_nearest(rows, queries, k=20):
     ids = np.array(sorted({i for i, _ in rows}))
     out = {}
