@@ -1,77 +1,84 @@
-"""Elias-Fano coding of monotone numbers, and a two-level n-gram trie of such sequences in memory-mapped files."""
+"""Elias-Fano coding of monotone numbers, and a two-level n-gram trie of such sequences.
+
+Any number of a sequence is read by itself: its high part by a select on a bit set with a count every 64 bits, its low part from
+packed words. All reads are of arrays of places at a time. A trie is one string of bytes, which a task maps into memory and reads in place.
+"""
 
 from __future__ import annotations
 
-import os
+import mmap
 
 import numpy as np
 
-_SAMPLED = 4096
+_ONE, _63 = np.uint64(1), np.uint64(63)
 
 
-def _pack(values: np.ndarray, bits: int) -> np.ndarray:
-    if not bits:
-        return np.empty(0, np.uint8)
-    spread = (values[:, None] >> np.arange(bits, dtype=np.uint64)) & np.uint64(1)
-    return np.packbits(spread.astype(np.uint8).ravel(), bitorder="little")
+def _firsts(values: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins."""
+    return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.empty(0, np.int64)
 
 
-def _unpack(packed: np.ndarray, bits: int, a: int, b: int) -> np.ndarray:
-    if not bits:
-        return np.zeros(b - a, np.uint64)
-    first = a * bits // 8
-    flags = np.unpackbits(packed[first : -(-b * bits // 8)], bitorder="little")[a * bits - 8 * first :][: (b - a) * bits]
-    return flags.reshape(b - a, bits).astype(np.uint64) @ (np.uint64(1) << np.arange(bits, dtype=np.uint64))
+def _pack(values: np.ndarray, bits: int) -> np.ndarray:
+    """Numbers of ``bits`` bits end to end in 64-bit words, and a word to spare."""
+    out = np.zeros(len(values) * bits // 64 + 2, np.uint64)
+    if bits and len(values):
+        at = np.arange(len(values), dtype=np.uint64) * np.uint64(bits)
+        word, shift = (at >> np.uint64(6)).astype(np.int64), at & _63
+        first = _firsts(word)
+        out[word[first]] = np.bitwise_or.reduceat(values << shift, first)
+        over = np.flatnonzero(shift + np.uint64(bits) > np.uint64(64))  # a word takes at most one number's rest
+        out[word[over] + 1] |= values[over] >> (np.uint64(64) - shift[over])
+    return out
 
 
 class EliasFano:
-    """A non-decreasing sequence of unsigned 64-bit numbers in about ``2 + log2(range / n)`` bits each.
+    """A non-decreasing sequence of unsigned 64-bit numbers in about ``2 + log2(range / n)`` bits each, and a half for the counts."""
 
-    Low bits are packed; the rest is a bit set with a one per number, ``_SAMPLED`` of them between two known places.
-    """
+    def __init__(self, n: int, bits: int, low: np.ndarray, high: np.ndarray):
+        self.n, self.bits, self.low, self.high = n, bits, low, high
+        self.before = np.zeros(len(high) + 1, np.int64)
+        np.cumsum(np.bitwise_count(high), out=self.before[1:])
 
-    def __init__(self, values: np.ndarray):
+    @classmethod
+    def of(cls, values: np.ndarray) -> EliasFano:
         values = values.astype(np.uint64)
-        self.n = len(values)
-        span = int(values[-1]) + 1 if self.n else 1
-        self.bits = max(0, (span // max(self.n, 1)).bit_length() - 1)
-        self.low = np.concatenate([np.empty(0, np.uint8), *(_pack(values[k : k + (1 << 16)] & np.uint64((1 << self.bits) - 1), self.bits) for k in range(0, self.n, 1 << 16))])
-        ones = (values >> np.uint64(self.bits)).astype(np.int64) + np.arange(self.n)
-        flags = np.zeros(int(ones[-1]) + 1 if self.n else 0, np.uint8)
-        flags[ones] = 1
-        self.high = np.packbits(flags, bitorder="little")
-        self.samples = ones[::_SAMPLED].copy()
-
-    @property
-    def nbytes(self) -> int:
-        return self.low.nbytes + self.high.nbytes + self.samples.nbytes
-
-    def mapped(self, path: str) -> EliasFano:
-        """The same, with its bits in files that are mapped into memory."""
-        for name in ("low", "high"):
-            bits = getattr(self, name)
-            if len(bits):
-                bits.tofile(f"{path}.{name}")
-                setattr(self, name, np.memmap(f"{path}.{name}", np.uint8, "r"))
-        return self
-
-    def slice(self, a: int, b: int) -> np.ndarray:
-        """Numbers a to b - 1."""
-        if b <= a:
-            return np.empty(0, np.uint64)
-        k = a // _SAMPLED
-        begin = int(self.samples[k])
-        end = int(self.samples[-(-b // _SAMPLED)]) if -(-b // _SAMPLED) < len(self.samples) else 8 * len(self.high)
-        flags = np.unpackbits(self.high[begin // 8 : -(-end // 8)], bitorder="little")[begin % 8 :]
-        ones = np.flatnonzero(flags)[a - k * _SAMPLED : b - k * _SAMPLED] + begin
-        return (ones - np.arange(a, b)).astype(np.uint64) << np.uint64(self.bits) | _unpack(self.low, self.bits, a, b)
+        n = len(values)
+        span = int(values[-1]) + 1 if n else 1
+        bits = max(0, (span // max(n, 1)).bit_length() - 1)
+        ones = (values >> np.uint64(bits)) + np.arange(n, dtype=np.uint64)
+        high = np.zeros(int(ones[-1]) // 64 + 1 if n else 0, np.uint64)
+        if n:
+            word = (ones >> np.uint64(6)).astype(np.int64)
+            first = _firsts(word)
+            high[word[first]] = np.bitwise_or.reduceat(_ONE << (ones & _63), first)
+        return cls(n, bits, _pack(values & np.uint64((1 << bits) - 1), bits), high)
+
+    def get(self, at: np.ndarray) -> np.ndarray:
+        """The numbers at these places."""
+        word = np.searchsorted(self.before, at, side="right") - 1
+        rest, bits = at - self.before[word], self.high[word]
+        place = np.zeros(len(at), np.int64)
+        for half in (32, 16, 8, 4, 2, 1):  # the word's one with ``rest`` ones before it
+            ones = np.bitwise_count(bits & np.uint64((1 << half) - 1)).astype(np.int64)
+            up = rest >= ones
+            rest = rest - ones * up
+            place += half * up
+            bits = np.where(up, bits >> np.uint64(half), bits)
+        out = (word * 64 + place - at).astype(np.uint64) << np.uint64(self.bits)
+        if self.bits:
+            bit = at.astype(np.uint64) * np.uint64(self.bits)
+            word, shift = (bit >> np.uint64(6)).astype(np.int64), bit & _63
+            low = self.low[word] >> shift
+            low |= np.where(shift + np.uint64(self.bits) > np.uint64(64), self.low[word + 1] << ((np.uint64(64) - shift) & _63), np.uint64(0))
+            out |= low & np.uint64((1 << self.bits) - 1)
+        return out
 
     def successors(self, wanted: np.ndarray, block: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
-        """For ascending ``wanted`` the place of the first number not less, and whether it is equal."""
+        """For ascending ``wanted`` the place of the first number not less, and whether it is equal; reads the whole sequence once, a block at a time."""
         at, equal = np.full(len(wanted), self.n, np.int64), np.zeros(len(wanted), bool)
         done = 0
         for a in range(0, self.n, block):
-            values = self.slice(a, min(self.n, a + block))
+            values = self.get(np.arange(a, min(self.n, a + block)))
             end = int(np.searchsorted(wanted, values[-1], side="right"))
             if end > done:
                 found = np.searchsorted(values, wanted[done:end])
@@ -80,6 +87,21 @@ class EliasFano:
                 done = end
         return at, equal
 
+    def successors_within(self, begin: np.ndarray, end: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each wanted number the place of the first one not less between its own two places, by halving, and whether it is equal."""
+        low, high = begin.copy(), end.copy()
+        live = np.flatnonzero(low < high)
+        while len(live):
+            middle = (low[live] + high[live]) >> 1
+            less = self.get(middle) < wanted[live]
+            low[live[less]] = middle[less] + 1
+            high[live[~less]] = middle[~less]
+            live = live[low[live] < high[live]]
+        equal = np.zeros(len(wanted), bool)
+        inside = np.flatnonzero(low < end)
+        equal[inside] = self.get(low[inside]) == wanted[inside]
+        return low, equal
+
 
 def quantised(values: np.ndarray, levels: int = 256) -> tuple[np.ndarray, np.ndarray]:
     """One-byte codes, and the mean of the values of each code."""
@@ -92,39 +114,64 @@ def quantised(values: np.ndarray, levels: int = 256) -> tuple[np.ndarray, np.nda
 
 
 class BigramTrie:
-    """Contexts, pointers to their successors, successors relative to their context, and coded probabilities.
+    """Contexts with their counts, pointers to their successors, successors relative to their context, and coded probabilities.
 
-    A successor is stored as ``context number * vocabulary + word number``, which grows along the level, so a word
-    is looked for only among its context's own successors.
+    The levels are monotone: contexts and the vocabulary by value, counts and pointers as running sums, and a successor as
+    ``context number * vocabulary + word number``. A word is looked for between its context's pointer and the next one, nowhere else.
     """
 
-    def __init__(self, context: np.ndarray, word: np.ndarray, log_p: np.ndarray, folder: str):
-        """All three by ascending (context, word), without repeats."""
-        first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(context) else np.empty(0, np.int64)
+    _LEVELS = ("contexts", "sums", "words", "pointers", "successors")
+
+    def __init__(self, contexts: EliasFano, sums: EliasFano, words: EliasFano, pointers: EliasFano, successors: EliasFano, codes: np.ndarray, means: np.ndarray):
+        self.contexts, self.sums, self.words, self.pointers, self.successors, self.codes, self.means = contexts, sums, words, pointers, successors, codes, means
+
+    @classmethod
+    def of(cls, context: np.ndarray, word: np.ndarray, value: np.ndarray, counts: np.ndarray) -> BigramTrie:
+        """The first three by ascending (context, word), without repeats; ``counts`` has a number per distinct context."""
+        first = _firsts(context)
         vocabulary = np.unique(word)
-        number = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(context))))
-        self.size = max(1, len(vocabulary))
-        key = number.astype(np.uint64) * np.uint64(self.size) + np.searchsorted(vocabulary, word).astype(np.uint64)
-        self.contexts = EliasFano(context[first]).mapped(os.path.join(folder, "contexts"))
-        self.words = EliasFano(vocabulary).mapped(os.path.join(folder, "words"))
-        self.pointers = EliasFano(np.append(first, len(context))).mapped(os.path.join(folder, "pointers"))
-        self.successors = EliasFano(key).mapped(os.path.join(folder, "successors"))
-        self.codes, self.means = quantised(log_p)
-        if len(self.codes):
-            self.codes.tofile(os.path.join(folder, "codes"))
-            self.codes = np.memmap(os.path.join(folder, "codes"), np.uint8, "r")
-
-    def find(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For queries by ascending (context, word): whether the trie has them, and their logarithm."""
+        number = np.repeat(np.arange(len(first), dtype=np.uint64), np.diff(np.append(first, len(context))))
+        key = number * np.uint64(max(1, len(vocabulary))) + np.searchsorted(vocabulary, word).astype(np.uint64)
+        sums = np.append(0, np.cumsum(counts, dtype=np.int64))
+        return cls(*(EliasFano.of(x) for x in (context[first], sums, vocabulary, np.append(first, len(context)), key)), *quantised(value))
+
+    def to_bytes(self) -> bytes:
+        levels = [getattr(self, k) for k in self._LEVELS]
+        arrays = [x for level in levels for x in (level.low, level.high)] + [self.means, self.codes]
+        head = [x for level in levels for x in (level.n, level.bits)] + [len(x) for x in arrays]
+        return b"".join([np.array(head, np.int64).tobytes(), *(x.tobytes() for x in arrays)])
+
+    @classmethod
+    def mapped(cls, raw: bytes) -> BigramTrie:
+        """A trie whose levels are read in place from an anonymous memory map: a cluster's shared folder is no path of the machine."""
+        held = mmap.mmap(-1, len(raw))
+        held.write(raw)
+        size = 2 * len(cls._LEVELS)
+        head = np.frombuffer(held, np.int64, 2 * size + 2).tolist()
+        arrays, at = [], 8 * len(head)
+        for k, n in enumerate(head[size:]):
+            kind = np.uint64 if k < size else np.float64 if k == size else np.uint8
+            arrays.append(np.frombuffer(held, kind, n, at) if n else np.empty(0, kind))
+            at += arrays[-1].nbytes
+        return cls(*(EliasFano(head[2 * i], head[2 * i + 1], arrays[2 * i], arrays[2 * i + 1]) for i in range(len(cls._LEVELS))), arrays[-1], arrays[-2])
+
+    def find(self, context: np.ndarray, word: np.ndarray, step: int = 1 << 18) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For queries by ascending (context, word): the context's count, whether it has the word, and the word's value."""
+        first = _firsts(context)
+        at, known = self.contexts.successors(context[first])
+        of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(context))))
+        counts = np.zeros(len(first), np.int64)
+        counts[known] = (self.sums.get(at[known] + 1) - self.sums.get(at[known])).astype(np.int64)
+        begin, end = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
+        begin[known], end[known] = (self.pointers.get(at[known] + k).astype(np.int64) for k in (0, 1))
+        names, again = np.unique(word, return_inverse=True)
+        number, held = self.words.successors(names)
         has, out = np.zeros(len(context), bool), np.zeros(len(context))
-        if not self.successors.n:
-            return has, out
-        c, known = self.contexts.successors(context)
-        order = np.argsort(word, kind="stable")
-        w, held = np.empty(len(word), np.int64), np.empty(len(word), bool)
-        w[order], held[order] = self.words.successors(word[order])
-        ask = np.flatnonzero(known & held)
-        at, equal = self.successors.successors(c[ask].astype(np.uint64) * np.uint64(self.size) + w[ask].astype(np.uint64))
-        hit = ask[equal]
-        has[hit], out[hit] = True, self.means[self.codes[at[equal]]]
-        return has, out
+        ask = np.flatnonzero(known[of] & held[again])
+        for a in range(0, len(ask), step):
+            some = ask[a : a + step]
+            c = of[some]
+            key = at[c].astype(np.uint64) * np.uint64(max(1, self.words.n)) + number[again[some]].astype(np.uint64)
+            place, equal = self.successors.successors_within(begin[c], end[c], key)
+            has[some[equal]], out[some[equal]] = True, self.means[self.codes[place[equal]]]
+        return counts[of], has, out

@@ -323,30 +323,55 @@ def test_recall_on_the_tables(spark):
 # Language model
 
 
-@pytest.mark.parametrize("values", [[], [0], [5, 5, 9], list(range(0, 100_000, 7)), [0, 2**63, 2**64 - 1]])
+@pytest.mark.parametrize("values", [[], [0], [5, 5, 9], list(range(0, 100_000, 7)), [0, 2**63, 2**64 - 1], [3] * 700 + [2**40] * 3])
 def test_elias_fano(values):
-    code = elias_fano.EliasFano(np.array(values, np.uint64))
-    assert code.slice(0, len(values)).tolist() == values
-    for a in range(0, len(values), max(1, len(values) // 7)):
-        assert code.slice(a, min(len(values), a + 5000)).tolist() == values[a : a + 5000]
+    code = elias_fano.EliasFano.of(np.array(values, np.uint64))
+    assert code.get(np.arange(len(values))).tolist() == values
+    some = np.arange(0, len(values), 3)[::-1]
+    assert code.get(some).tolist() == [values[k] for k in some]
     wanted = np.unique(np.array([0, 4, 5, 6, 9, 50_001, *values[::3], 2**64 - 1], np.uint64))
     at, equal = code.successors(wanted, block=64)
     assert at.tolist() == np.searchsorted(np.array(values, np.uint64), wanted).tolist() and equal.tolist() == [int(w) in set(values) for w in wanted]
+    begin, end = np.full(len(wanted), len(values) // 3), np.full(len(wanted), len(values) * 2 // 3)
+    at, equal = code.successors_within(begin, end, wanted)
+    part = values[len(values) // 3 : len(values) * 2 // 3]
+    assert (at - begin).tolist() == np.searchsorted(np.array(part, np.uint64), wanted).tolist() and equal.tolist() == [int(w) in set(part) for w in wanted]
 
 
-def test_trie(tmp_path):
+def a_trie():
     rng = np.random.default_rng(2)
     pairs = np.unique(rng.integers(0, 300, (5000, 2)), axis=0).astype(np.uint64)
-    trie = elias_fano.BigramTrie(pairs[:, 0], pairs[:, 1], -np.arange(len(pairs)) / 7.0, str(tmp_path))
+    contexts = np.unique(pairs[:, 0])
+    trie = elias_fano.BigramTrie.of(pairs[:, 0], pairs[:, 1], -np.arange(len(pairs)) / 7.0, contexts * 3)
     every = np.stack(np.meshgrid(np.arange(310), np.arange(310), indexing="ij"), axis=-1).reshape(-1, 2).astype(np.uint64)
-    has, log_p = trie.find(every[:, 0], every[:, 1])
+    return pairs, set(contexts.tolist()), trie, every
+
+
+def test_trie():
+    pairs, contexts, trie, every = a_trie()
+    trie = elias_fano.BigramTrie.mapped(trie.to_bytes())
+    counts, has, value = trie.find(every[:, 0], every[:, 1], step=1000)
     number = {tuple(p): k for k, p in enumerate(pairs.tolist())}
     assert has.tolist() == [tuple(q) in number for q in every.tolist()]
-    for q, h, p in zip(every.tolist(), has, log_p):
+    assert counts.tolist() == [3 * q[0] if q[0] in contexts else 0 for q in every.tolist()]
+    for q, h, p in zip(every.tolist(), has, value):
         assert not h or abs(p + number[tuple(q)] / 7.0) <= len(pairs) / 7 / 256 + 1e-9
+    empty = elias_fano.BigramTrie.mapped(elias_fano.BigramTrie.of(*[np.empty(0, np.uint64)] * 2, np.empty(0), np.empty(0, np.int64)).to_bytes())
+    assert not empty.find(every[:, 0], every[:, 1])[1].any()
+
 
+def test_trie_searches_by_its_pointers():
+    pairs, _, trie, every = a_trie()
+    pointers = trie.pointers.get(np.arange(trie.pointers.n)).astype(np.int64)
+    cut = pointers.copy()
+    cut[5:] = pointers[5]  # the contexts after the fifth have no place left to look in
+    trie.pointers = elias_fano.EliasFano.of(cut)
+    _, has, _ = trie.find(every[:, 0], every[:, 1])
+    assert {tuple(q) for q in every[has].tolist()} == {tuple(p) for p in pairs[: pointers[5]].tolist()}
 
-def check_scores(df, rows, held, shard=None, mu=20.0):
+
+def check_scores(docs, rows, held, mu=20.0, df=None):
+    df = docs if df is None else df
     got = {r["doc_id"]: r for r in lm_scoring.score_texts(df, held, mu=mu).collect()}
     tokens = {i: [*plain(t), None] for i, t in rows}
     learnt = [w for i, w in tokens.items() if not got[i]["held_out"]]
@@ -375,12 +400,6 @@ def test_scores(docs, shard, monkeypatch):
     assert {i: r["held_out"] for i, r in got.items()} == {i: zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in rows}
 
 
-def test_words_beyond_the_head_share_their_mean(docs, monkeypatch):
-    monkeypatch.setattr(lm_scoring, "HEAD", 500)
-    rows = lm_scoring.score_texts(docs, F.lit(False)).collect()
-    assert all(math.isfinite(r["score"]) and r["score"] < 0 for r in rows)
-
-
 @pytest.mark.parametrize("head, shard", [(500, 2_500_000), (5, 3000)])
 def test_words_beyond_the_head_keep_their_own_probability(docs, head, shard, monkeypatch):
     monkeypatch.setattr(lm_scoring, "HEAD", head)
@@ -396,3 +415,19 @@ def test_scores_of_odd_rows(odd_docs, no_docs):
     none = lm_scoring.score_texts(odd_docs, F.lit(True)).collect()
     assert all(r["n_known"] == 0 and r["train_tokens"] == 0 and math.isfinite(r["score"]) for r in none)
     assert lm_scoring.score_texts(no_docs, F.lit(False)).count() == 0
+
+
+def test_a_kept_model_scores_other_texts_in_cuts(docs, monkeypatch):
+    """Levels are read from the table that they were written to; a shard's queries may be cut."""
+    monkeypatch.setattr(lm_scoring, "SHARD", 4000)
+    model = lm_scoring.train(docs)
+    assert model.tries.count() == model.dealing.shards > 3
+    want = {r["doc_id"]: r["score"] for r in model.score(docs).collect()}
+    monkeypatch.setattr(lm_scoring, "SHARD", 700)
+    assert {r["doc_id"]: r["score"] for r in model.score(docs).collect()} == pytest.approx(want)
+
+
+def test_more_words_than_the_head_at_its_size(spark):
+    """300 000 distinct words: each keeps the probability of its own count."""
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(3000)) + " common words") for i in range(100)] + [(100, "w5x7 w5x7 unseen common"), (101, "")]
+    check_scores(None, rows, F.col("doc_id") >= 100, df=spark.createDataFrame(rows, "doc_id long, text string"))
