@@ -214,7 +214,7 @@ def test_near_duplicate_vectors(vectors, monkeypatch):
 def test_nearest(spark, vectors):
     df, rows = vectors
     got = neighbours.nearest(df, F.col("vec_id") % 5 == 0, k=20).collect()
-    ok = {i: np.array(v) for i, v in rows if fine(i, v) and len(v) == 16}
+    ok = {i: np.array(v) for i, v in rows if fine(i, v)}
     found = collections.defaultdict(list)
     for r in sorted(got, key=lambda r: (r["query_id"], r["rank"])):
         found[r["query_id"]].append((r["vec_id"], r["score"]))
@@ -224,8 +224,10 @@ def test_nearest(spark, vectors):
         assert [x for x, _ in some] == [x for x, _ in sorted(some, key=lambda x: (-x[1], x[0]))] and len(some) <= 20 and q not in dict(some)
         for x, s in some:
             assert s == pytest.approx(float(ok[q] @ ok[x]), rel=1e-12)
-        want = sorted((-(ok[q] @ v), i) for i, v in ok.items() if i != q)[:20]
-        hit, total = hit + len({i for _, i in want} & set(dict(some))), total + 20
+        want = sorted((-(ok[q] @ v), i) for i, v in ok.items() if i != q and len(v) == len(ok[q]))[:20]
+        if len(ok[q]) == 2:  # three other rows of this length
+            assert [i for _, i in want] == [x for x, _ in some] and len(some) == 3
+        hit, total = hit + len({i for _, i in want} & set(dict(some))), total + len(want)
     assert hit / total >= 0.9
     assert neighbours.nearest(df.limit(0), F.col("vec_id") % 5 == 0).count() == 0
     few = neighbours.nearest(df.where("vec_id IN (1, 5, 7)"), F.col("vec_id") == 5).collect()
@@ -283,6 +285,44 @@ def test_nearest_of_few_rows_is_all_of_them(spark, n):
     assert {q: got[q] for q in range(n)} == brute_nearest(rows, range(n))
 
 
+@pytest.mark.parametrize("kind", ["uniform", "mixed"])
+def test_share_of_the_rows_that_visits_open(kind):
+    """Without Spark: buckets and visits of the tables open well under a half of unstructured rows, the worst case, and few of grouped ones."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(20_000, 64))
+    if kind == "mixed":
+        x = rng.normal(size=(200, 64))[rng.integers(0, 200, 20_000)] + 0.3 * x
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    ids = np.arange(len(x))
+    tables = neighbours.Tables.fit(ids[::5], x[::5], 1.0, len(x), 20, 6)
+    code = tables.buckets(x)
+    asked = ids[::250]
+    q = tables.asked(x[asked])
+    _, there = tables.expected(q, asked)
+    opened, scored, hit = 0, 0, 0
+    for i, own in enumerate(asked):
+        found = np.array([np.isin(code[t], some) for t, some in enumerate(tables.visits(q[i], float(there[i]), 0.93))])
+        opened, scored = opened + found.any(axis=0).mean() / len(asked), scored + found.sum() / len(x) / len(asked)
+        near = x @ x[own]
+        near[own] = -9
+        hit += found.any(axis=0)[np.argsort(-near)[:20]].sum() / 20 / len(asked)
+    assert hit >= 0.9 and opened < (0.48 if kind == "uniform" else 0.1) and scored < (0.6 if kind == "uniform" else 0.2), (hit, opened, scored)
+
+
+def test_nearest_of_a_large_bucket_and_several_lengths(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK", 60)
+    rng = np.random.default_rng(8)
+    centre = rng.normal(size=12)
+    rows = [(i, (centre + rng.normal(0, 0.001, 12)).tolist() if i < 300 else rng.normal(size=12).tolist() if i < 500 else rng.normal(size=5).tolist() if i < 600 else rng.normal(size=3).tolist()) for i in range(620)]
+    got = found_nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 10)
+    assert all(len(got[q]) == (20 if q < 600 else 19) for q in range(0, 620, 10))
+    hit = 0
+    for q in range(0, 620, 10):
+        same = [(i, v) for i, v in rows if len(v) == len(rows[q][1])]
+        hit += len({*got[q]} & {*brute_nearest(same, [q])[q]}) / len(got[q])
+    assert hit / 62 >= 0.9
+
+
 def test_nearest_counts_a_repeated_id_once(spark):
     rng = np.random.default_rng(5)
     near = rng.normal(size=16)
