@@ -35,7 +35,8 @@ _QUERIES = 128
 QUERY_BYTES = 32 << 20
 #: Pairs that a task holds before it keeps only the best of each query.
 _PENDING = 1 << 20
-_SLOTS = 4
+#: Rows within the expected distance of so many times ``k`` leave the groups. A query for which they turn out to be fewer than ``k`` is scored against all rows.
+_WIDE = 3
 _FOUND = "query_id long, vec_id long, score double"
 
 
@@ -63,14 +64,14 @@ def probes(chance: np.ndarray, share: float) -> np.ndarray:
     """Codes of the likeliest combinations of slots that have ``share`` of the chances together, from each projection's chances by slot.
 
     Either half of the projections has its combinations by cost, the negative logarithm of their chance; the cost up to which sums of two
-    are visited is found by halving. Combinations under a hundred-thousandth of the likeliest are left out of a half.
+    are visited is found by halving. Combinations under exp(-10) of the likeliest are left out of a half.
     """
     cost = -np.log(np.maximum(chance, 1e-12))
     m = len(cost)
-    (a, code_a), (b, code_b) = _combinations(cost[: m // 2], 0, 11.5), _combinations(cost[m // 2 :], m // 2, 11.5)
+    (a, code_a), (b, code_b) = _combinations(cost[: m // 2], 0, 10.0), _combinations(cost[m // 2 :], m // 2, 10.0)
     p, gathered = np.exp(-a), np.append(0, np.cumsum(np.exp(-b)))
     low, high = a[0] + b[0], a[-1] + b[-1]
-    for _ in range(24):
+    for _ in range(16):
         middle = (low + high) / 2
         if p @ gathered[np.searchsorted(b, middle - a, side="right")] >= share:
             high = middle
@@ -102,7 +103,7 @@ class Tables:
         out.points = out.lifted(out.points)
         placed = np.einsum("nd,tdm->tmn", out.points, axes)
         width = np.maximum(2.5 * placed.std(axis=2), 1e-9)  # two slots hold nearly all, two more the rest
-        out.edges = np.median(placed, axis=2)[:, :, None] + width[:, :, None] * np.array([-1, 0, 1])
+        out.edges = np.median(placed, axis=2)[:, :, None] + width[:, :, None] * np.array([-1, 0, 1])  # floors of (place - shift) / width, the outer ones open
         return out
 
     @property
@@ -125,7 +126,7 @@ class Tables:
         return out
 
     def expected(self, q: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of asked queries the inner product to their k-th of the sample, and the one expected of their k-th of all rows; -inf with fewer in the sample.
+        """Of asked queries the inner product expected of their ``_WIDE * k``-th of all rows, no less than of their k-th of the sample, and of their k-th; -inf with fewer in the sample.
 
         Near a query the number of rows within a distance goes with a power of it, which the sample's k nearest tell (Levina and Bickel, 2004).
         """
@@ -137,9 +138,10 @@ class Tables:
             best = -np.sort(-np.partition(near, near.shape[1] - self.k, axis=1)[:, near.shape[1] - self.k :], axis=1)
             far = np.sqrt(np.maximum(2 - 2 * best, 1e-12))
             power = max(self.k - 1, 1) / np.maximum(np.log(far[:, -1:] / far).sum(axis=1), 1e-9)
-            shrunk = far[:, -1] * (len(self.ids) / max(self.rows, len(self.ids))) ** (1 / np.clip(power, 1, 500))
+            share, power = len(self.ids) / max(self.rows, len(self.ids)), 1 / np.clip(power, 1, 500)
+            shrunk, wide = far[:, -1] * share**power, far[:, -1] * min(1.0, _WIDE * share) ** power
             fits = best[:, -1] > -np.inf
-            least[a : a + _QUERIES][fits], there[a : a + _QUERIES][fits] = best[fits, -1], (1 - shrunk * shrunk / 2)[fits]
+            least[a : a + _QUERIES][fits], there[a : a + _QUERIES][fits] = (1 - wide * wide / 2 - 1e-9)[fits], (1 - shrunk * shrunk / 2)[fits]
         return least, there
 
     def visits(self, q: np.ndarray, there: float, recall: float) -> list[np.ndarray]:
