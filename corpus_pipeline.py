@@ -22,7 +22,7 @@ LANGUAGE_SCORE = 0.5
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language: those without a letter, and those of no clear language, go."""
     ship(spark)
-    language, score = language_id.identify(docs, language_id.fit(docs))
+    language, score = language_id.identify(docs, language_id.fit(docs, id_col="doc_id"))
     return docs.where((language != language_id.UNDETERMINED) & (score >= LANGUAGE_SCORE))
 
 
