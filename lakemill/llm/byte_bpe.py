@@ -228,9 +228,8 @@ class Coder:
         whole = self.bpe.ranks.get(raw)
         ids = self.bpe.encode(raw) if whole is None else [whole]
         spelt = " ".join(map(str, ids))
-        self.decoded[spelt] = self.bpe.decode(ids)
-        if len(piece) <= 64:
-            self.encoded[piece] = spelt
+        if len(piece) <= 64:  # a longer one hardly comes again: neither table keeps it
+            self.encoded[piece], self.decoded[spelt] = spelt, raw if whole is not None else self.bpe.decode(ids)
         return spelt
 
     def encode(self, text: str) -> list[str]:

@@ -11,21 +11,20 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import slices, sums, text_bytes
-from .scratch import bounded_broadcast
+from .scratch import BROADCAST_BYTES, bounded_broadcast, sampled
 
-#: Labelled rows that a model is fitted on, at most (about: rows are taken by a hash of their text).
+#: Labelled rows that a model is fitted on, at most (about: rows are taken by a hash of their text and id).
 TRAINING_ROWS = 20_000
-#: Languages that a model holds, at most.
-MAX_LANGUAGES = 256
 UNDETERMINED = "und"
-#: Bytes of text whose n-grams are scored at a time; each takes a row of doubles.
-_SLICE = 1 << 20
+#: Bytes of text whose n-grams are scored at a time, and numbers that their rows of the matrix take at a time.
+_SLICE, _CELLS = 1 << 20, 1 << 22
 _LETTER = regex.compile(r"\p{L}")
 _FOLD = np.arange(0x3000, dtype=np.uint32)
 for _i in range(0x3000):
@@ -60,7 +59,7 @@ def grams(data: np.ndarray, offs: np.ndarray, bits: int) -> Iterator[tuple[np.nd
 @dataclass
 class LanguageModel:
     languages: list[str]
-    log_p: np.ndarray  # buckets x languages
+    log_p: np.ndarray  # buckets x languages, single precision
     prior: np.ndarray
     bits: int
     #: Evidence counts in proportion to the root of the number of n-grams, as neighbouring ones are dependent.
@@ -70,8 +69,10 @@ class LanguageModel:
         """Language and its probability of each text; ``und`` and 0 without a letter."""
         data, offs = text_bytes(column)
         total, n = np.zeros((len(column), len(self.languages))), np.zeros(len(column))
+        step = max(1024, _CELLS // max(1, len(self.languages)))
         for bucket, of in grams(data, offs, self.bits):
-            total += sums(self.log_p[bucket], of)
+            for a in range(0, len(bucket), step):  # however long a text is and however many languages there are
+                total += sums(self.log_p[bucket[a : a + step]].astype(float), np.clip(of, a, a + step) - a)
             n += np.diff(of)
         n = np.maximum(n, 1)
         logit = total / n[:, None] * (self.evidence * np.sqrt(n))[:, None] + self.prior
@@ -83,40 +84,48 @@ class LanguageModel:
         return [self.languages[k] if ok else UNDETERMINED for k, ok in zip(best.tolist(), letters)], np.where(letters, p[np.arange(len(p)), best], 0.0) if len(p) else np.empty(0)
 
 
-def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", bits: int = 16, rows: int = TRAINING_ROWS, alpha: float = 0.5) -> LanguageModel:
+def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", bits: int = 16, rows: int = TRAINING_ROWS, alpha: float = 0.5, id_col: str | None = None) -> LanguageModel:
     """Count n-grams by language over ``labelled``, or over a sample of about ``rows`` rows of it.
 
-    The sample is those rows whose text's hash is under a bound, so it is the same each time. Null and empty
-    texts and null languages teach nothing. Without a labelled row the model holds no language.
+    The sample is those rows whose text's hash, with that of ``id_col`` if there is one, is under a bound, so it is the same each time. Null and empty
+    texts and null languages teach nothing. Without a labelled row the model holds no language; one with more languages than may be
+    broadcast (``4 << bits`` bytes each of ``BROADCAST_BYTES``) is refused.
     """
-    known = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    sizes = labelled.where(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).cast("string").alias("lang")).count().limit(MAX_LANGUAGES + 1).collect()
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    known = labelled.where(F.col(lang_col).isNotNull() & (F.length(F.col(text_col).cast("string")) > 0))
+    known = known.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), (F.col(id_col) if id_col else F.lit(0)).alias("id"))
+    most = BROADCAST_BYTES // (4 << bits)
+    sizes = known.groupBy("lang").count().limit(most + 1).collect()
+    if len(sizes) > most:
+        raise ValueError(f"more than {most} languages of {4 << bits} bytes each are more than may be broadcast")
     languages = sorted(r["lang"] for r in sizes)
     n = sum(r["count"] for r in sizes)
     if not n:
-        return LanguageModel([], np.zeros((1 << bits, 0)), np.zeros(0), bits)
-    if n > rows:
-        known = known.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int((1 << 20) * rows / n))
+        return LanguageModel([], np.zeros((1 << bits, 0), np.float32), np.zeros(0), bits)
+    known = sampled(known, ["text", "id"], rows, n)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, np.ndarray] = {}
         for batch in slices(batches, limit=_SLICE):
             data, offs = text_bytes(batch.column("text"))
-            names = batch.column("lang").to_pylist()
+            names = np.array(batch.column("lang").to_pylist(), object)
             for bucket, of in grams(data, offs, bits):
-                for lang in set(names):
-                    mine = np.repeat([x == lang for x in names], np.diff(of))
-                    seen[lang] = seen.get(lang, 0) + np.bincount(bucket[mine], minlength=1 << bits)
+                of_gram = np.repeat(names, np.diff(of))
+                for lang in set(names.tolist()):
+                    seen[lang] = seen.get(lang, 0) + np.bincount(bucket[of_gram == lang], minlength=1 << bits)
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array([x.astype(np.int64).tobytes() for x in seen.values()], pa.binary())], ["lang", "counts"])
 
-    found = known.repartition(6).mapInArrow(count, "lang string, counts binary").collect()  # of fixed size: 6 tasks, a language's buckets
-    table = np.full((1 << bits, len(languages)), alpha)
+    def add(own: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"lang": [own["lang"].iloc[0]], "counts": [sum(np.frombuffer(c, np.int64) for c in own["counts"]).tobytes()]})
+
+    counted = known.select("lang", "text").repartition(6).mapInArrow(count, "lang string, counts binary")
+    found = counted.groupBy("lang").applyInPandas(add, "lang string, counts binary").collect()  # of fixed size: a language's buckets
+    log_p = np.empty((1 << bits, len(languages)), np.float32)
+    log_p[:] = np.log(1 / (1 << bits))
     for r in found:
-        table[:, languages.index(r["lang"])] += np.frombuffer(r["counts"], np.int64)
+        own = np.frombuffer(r["counts"], np.int64) + alpha
+        log_p[:, languages.index(r["lang"])] = np.log(own / own.sum())
     prior = np.array([next(r["count"] for r in sizes if r["lang"] == x) for x in languages], float)
-    return LanguageModel(languages, np.log(table / table.sum(axis=0)), np.log(prior / n), bits)
+    return LanguageModel(languages, log_p, np.log(prior / n), bits)
 
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> tuple[Column, Column]:
@@ -126,8 +135,6 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> t
 
     @F.pandas_udf("lang string, score double")
     def predict(texts):  # noqa: ANN001, ANN202
-        import pandas as pd
-
         out = []
         for piece in slices([pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])], limit=_SLICE):
             lang, score = shared.value.scores(piece.column("text")) if shared.value.languages else ([UNDETERMINED] * piece.num_rows, np.zeros(piece.num_rows))

@@ -17,12 +17,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import slices, span_hashes, sums, text_bytes, word_spans
-from .scratch import Scratch, bounded_broadcast
+from .scratch import BROADCAST_BYTES, Scratch, bounded_broadcast, sampled
 
 #: Labelled documents that the classifier is fitted on, at most (about: they are taken by a hash of the id).
 TRAINING_ROWS = 20_000
-#: Sites that are broadcast, at most; more are joined by a shuffle.
-BROADCAST_SITES = 500_000
 #: A document without a label counts at its site as so much of one, with the classifier's probability.
 UNLABELLED = 0.25
 
@@ -55,7 +53,7 @@ def features(column: pa.Array) -> np.ndarray:
     pair = words.copy()
     if len(words) > 1:
         same[1:] = (words[1:] == words[:-1]) & inner[1:]
-        pair[1:] = words[:-1] * np.uint64(0x9E3779B97F4A7C15) + words[1:]
+        pair[1:] = np.where(inner[1:], words[:-1] * np.uint64(0x9E3779B97F4A7C15), np.uint64(0)) + words[1:]  # a text's first word has none before it
     last = _KINDS[data[ends - 1]] if len(ends) else np.empty(0, np.uint8)
     first = _KINDS[data[starts]] if len(starts) else np.empty(0, np.uint8)
     told = np.stack([
@@ -108,8 +106,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, id_col: s
     """Fit on labelled documents, or on about ``rows`` of them: those whose id's hash is under a bound, the same each time."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.avg(F.col(label_col)).alias("y"))
     n = known.count()
-    if n > rows:
-        known = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int((1 << 20) * rows / n))
+    known = sampled(known, ["id"], rows, n)
     known = F.broadcast(known) if rows <= 100_000 else known  # about `rows` pairs of numbers
     some = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(known, "id").where("text is not null")
 
@@ -163,6 +160,9 @@ def judge(docs: DataFrame, labels: DataFrame, classifier: Classifier | None = No
     evidence is 0. Labels may repeat (their mean counts), be null or name absent documents (then they don't). Rows
     with a null id have no label; repeated ids are rows like others. No rows give none.
 
+    ``documents`` has no paths: by default the column ``lang`` stands for the level below the host, its source. A document's own label
+    is one of those that its site's share is made of.
+
     Texts are read twice at most, for the fit and for the evidence; only ids, sites and numbers are shuffled.
     """
     spark = docs.sparkSession
@@ -181,7 +181,7 @@ def judge(docs: DataFrame, labels: DataFrame, classifier: Classifier | None = No
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.avg(F.col(label_col).cast("double")).alias("y"))
     p = 1 / (1 + F.exp(-(F.col("evidence") + classifier.prior)))
     sites = scratch.table(site_shares(told.join(known, "id", "left").withColumn("p", p).select("host", "path", "y", "p")), "sites")
-    few = sites.limit(BROADCAST_SITES + 1).count() <= BROADCAST_SITES
+    few = (sites.agg(F.sum(64 + F.octet_length("host") + F.octet_length("path"))).first()[0] or 0) <= BROADCAST_BYTES  # more are joined by a shuffle
     joined = told.join(F.broadcast(sites) if few else sites, ["host", "path"])
     score = 1 / (1 + F.exp(-(F.col("evidence") + _logit(F.col("path_share")))))
     return joined.withColumn("score", score).select(F.col("id").alias(id_col), "evidence", "host_share", "path_share", "score", (F.col("score") >= threshold).alias("keep"))

@@ -122,7 +122,7 @@ FROM fitting WHERE nth = 1
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learnt from those whose remainder is not 2."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    model = language_id.fit(docs.where(remainder("doc_id", 4) != 2))
+    model = language_id.fit(docs.where(remainder("doc_id", 4) != 2), id_col="doc_id")
     out = language_id.with_language(docs, model)
     return out.select("doc_id", F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 

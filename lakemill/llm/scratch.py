@@ -18,10 +18,12 @@ BROADCAST_BYTES = 64 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is configured."""
+    """The folder that driver and executors share; one of our own only where none is configured and driver and tasks are one machine's."""
     for conf in (spark.conf, spark.sparkContext.getConf()):
         if base := conf.get("spark.checkpoint.dir", None):
             return base
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     base = "file://" + tempfile.mkdtemp(prefix="lakemill-")
     spark.conf.set("spark.checkpoint.dir", base)
     return base
@@ -59,7 +61,14 @@ def bounded_broadcast(spark: SparkSession, value, size: int):
     return spark.sparkContext.broadcast(value)
 
 
-#: Ids that are broadcast to prune a large table, at most; more are joined by shuffles.
+def sampled(rows: DataFrame, columns: list[str], wanted: int, n: int) -> DataFrame:
+    """About ``wanted`` of the ``n`` rows, or all if there are no more: those under a bound of 63 bits of their hash, the same each time."""
+    if n <= wanted:
+        return rows
+    return rows.where(F.xxhash64(*columns).bitwiseAND((1 << 63) - 1) < max(1, (wanted << 63) // n))
+
+
+#: Ids that are broadcast to prune a large table, at most; more are joined by shuffles. Of strings, as many as take 16 bytes each.
 PRUNED_IDS = 4_000_000
 
 
@@ -69,5 +78,8 @@ def matching(table: DataFrame, column: str, ids: DataFrame, how: str = "left_sem
     Up to ``PRUNED_IDS`` ids are broadcast, so the table isn't shuffled; null is never among them.
     """
     ids = ids.toDF("_id")
-    few = ids.limit(PRUNED_IDS + 1).count() <= PRUNED_IDS
+    if ids.schema["_id"].dataType.simpleString() == "string":
+        few = (ids.agg(F.sum(16 + F.octet_length("_id"))).first()[0] or 0) <= 16 * PRUNED_IDS
+    else:
+        few = ids.limit(PRUNED_IDS + 1).count() <= PRUNED_IDS
     return table.join(F.broadcast(ids) if few else ids, F.col(column) == F.col("_id"), how)

@@ -21,6 +21,8 @@ from .bytewords import slices, span_hashes, sums, text_bytes, word_spans
 from .scratch import bounded_broadcast
 
 _FIRST, _NEXT = 0, 1
+#: Words of more bytes than this are few and read one at a time.
+LONG = 256
 
 
 class LongestMatch:
@@ -60,6 +62,10 @@ class LongestMatch:
         order = np.argsort(keys)
         self.keys, self.children = keys[order], np.array(list(go.values()), np.int32)[order]
         self.fail, self.pops = np.array(fail, np.int32), np.array(pops, np.int32)
+        self._lists: tuple | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_lists": None}
 
     @property
     def nbytes(self) -> int:
@@ -73,6 +79,12 @@ class LongestMatch:
     def lengths(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Pieces of each word ``data[start:end]``; -1 where it is unknown."""
         n = ends - starts
+        if n.max(initial=0) > LONG:
+            out, short = np.empty(len(n), np.int64), n <= LONG
+            out[short] = self.lengths(data, starts[short], ends[short])
+            for i in np.flatnonzero(~short).tolist():
+                out[i] = self._length(data[starts[i] : ends[i]].tobytes())
+            return out
         order = np.argsort(-n, kind="stable")
         longest = n[order]
         state, count = np.full(len(n), _FIRST, np.int32), np.zeros(len(n), np.int64)
@@ -99,6 +111,27 @@ class LongestMatch:
         return np.where(state == _NEXT, count, -1)
 
 
+    def _length(self, word: bytes) -> int:
+        """The same for one word, byte by byte."""
+        if self._lists is None:
+            self._lists = dict(zip(self.keys.tolist(), self.children.tolist())), self.fail.tolist(), self.pops.tolist()
+        go, fail, pops = self._lists
+        state, count = _FIRST, 0
+        for b in word:
+            while (to := go.get(state << 8 | b)) is None:
+                count += pops[state]
+                state = fail[state]
+                if state < 0:
+                    return -1
+            state = to
+        while state != _NEXT:
+            count += pops[state]
+            state = fail[state]
+            if state < 0:
+                return -1
+        return count
+
+
 def pieces_of_model(path: str) -> tuple[list[bytes], list[bytes]]:
     """The pieces of a SentencePiece model that begin a word (marked U+2581) and those that go on."""
     import sentencepiece

@@ -167,6 +167,17 @@ def test_urls(spark, joined, monkeypatch):
     assert url_filter.judge(pages.limit(0), rules).count() == 0
 
 
+def test_rules_without_a_token_over_the_bound(spark, monkeypatch):
+    """They run in blocks, by Python's patterns; the longest host and path rule still wins."""
+    rules = [url_filter.Rule(rf"^[^/]*\.x{{{k}}}(?P<end>/|$)", "block", None, ()) for k in range(1, 9)] + [url_filter.Rule(r"^(?=[^/]*%)", "block", "%", ()), url_filter.site_rule("allow", "a.xx/p")]
+    urls = ["http://a.xx/p/1", "http://a.xx/q", "http://a.xxxxxxxxx/", "http://%.org/", "http://b.xxx", None, "http://a.xx/q"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    want = sorted(map(tuple, url_filter.judge(pages, rules).collect()))
+    assert [r[4] for r in want] == ["allow", "block", "allow", "block", "block", "allow", "block"]
+    monkeypatch.setattr(url_filter, "BROADCAST_BYTES", 300)
+    assert sorted(map(tuple, url_filter.judge(pages, rules).collect())) == want
+
+
 def test_urls_in_sql(spark):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()

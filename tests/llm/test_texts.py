@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lakemill.llm import byte_bpe, bytewords, language_id, packing, quality, token_counts
 from lakemill.llm.queries import tokenizer_file
+from lakemill.llm.scratch import sampled
 
 P = pytest.importorskip("public_tokenizers")
 
@@ -63,6 +64,16 @@ def test_longest_match(seed):
     assert got.tolist() == [greedy(w, initial, following) for w in words]
 
 
+def test_long_words():
+    rng = random.Random(9)
+    initial, following = {b"ab", b"a", b"abcab"}, {b"a", b"b", b"c", b"bca", b"cabc"}
+    machine = token_counts.LongestMatch(initial, following)
+    words = [b"a" + bytes(rng.choice(b"abc") for _ in range(n)) for n in (3, 254, 255, 256, 257, 5000)] + [b"a" * 300 + b"x", b"x" * 400, b"ab" * 5_000_000]
+    ends = np.cumsum([len(w) for w in words])
+    got = machine.lengths(np.frombuffer(b"".join(words), np.uint8), ends - [len(w) for w in words], ends)
+    assert got.tolist()[:-1] == [greedy(w, initial, following) for w in words[:-1]] and got[-1] == 1 + 2 * 4_999_999
+
+
 def test_token_counts(odd_docs, no_docs):
     initial, following = token_counts.pieces_of_model(P.path("piece_bpe_32k.model"))
     machine = token_counts.LongestMatch(initial, following)
@@ -100,6 +111,17 @@ def test_pieces_as_the_library(bpe, library):
         assert ids == library.encode_ordinary(text) and coder.decode(pieces) == bpe.decode(ids) == text.encode()
 
 
+def test_long_pieces_are_not_remembered(bpe):
+    coder = byte_bpe.Coder(bpe, P.PATTERN)
+    for i in range(100_000):
+        piece = f"{'x' * 64}{''.join(chr(97 + int(d)) for d in str(i))}"
+        coded = coder.encode(piece) if i % 2000 == 0 else [coder._learn(piece)] if i % 500 == 0 else None
+        assert coded is None or coder.decode(coded) == piece.encode()
+    assert len(coder.decoded) == len(coder.encoded) == 0
+    coder.encode("short words again")
+    assert len(coder.decoded) == len(coder.encoded) == 3
+
+
 def test_append_and_edit(bpe):
     rng = random.Random(4)
     text = byte_bpe.Prefixes(bpe, b"there is a longer piece of text here " * 12)
@@ -226,9 +248,56 @@ def test_language_of_odd_rows(odd_docs, no_docs):
     assert language_id.with_language(no_docs, model).count() == 0
 
 
+def test_many_languages_and_null_texts(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(i, f"{letters[i % 26]}{letters[i // 26]}" * 20, f"l{i}") for i in range(200)] + [(900, None, "xx"), (901, "", "yy")]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), id_col="doc_id")
+    assert len(model.languages) == 200 and not {"xx", "yy"} & set(model.languages)
+    import pyarrow as pa
+
+    assert model.scores(pa.array([t for _, t, _ in rows[:200]]))[0] == [x for _, _, x in rows[:200]]
+    with pytest.raises(ValueError, match="broadcast"):
+        language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), bits=20)
+
+
+def test_samples_of_any_number_of_rows(spark):
+    rows = spark.range(20_000).selectExpr("id", "'same' AS text")
+    assert 700 < sampled(rows, ["text", "id"], 1000, 20_000).count() < 1300
+    assert sampled(rows, ["text", "id"], 30_000, 20_000).count() == 20_000
+    # one row in five million, and so on up to 100 TB of rows: the bound never becomes nothing
+    for n in (10**11, 10**15, 10**24):
+        sampled(rows, ["text", "id"], 20_000, n).count()
+    assert "< 1)" not in sampled(rows, ["id"], 20_000, 10**11)._jdf.queryExecution().optimizedPlan().toString()
+
+
 # Quality
 
 
+def test_quality_brute_force(spark):
+    """Evidence and score of every document from its features, one text at a time, and the site's shares."""
+    import pyarrow as pa
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    classifier = quality.fit(docs, labels)
+    known = {r["doc_id"]: float(r["quality"]) for r in labels.collect() if r["quality"] is not None}
+    rows = docs.collect()
+    fitted = [r for r in rows if r["doc_id"] in known and r["text"] is not None]
+    x = np.concatenate([quality.features(pa.array([r["text"]])) for r in sorted(fitted, key=lambda r: r["doc_id"])])
+    y = np.array([known[r["doc_id"]] for r in sorted(fitted, key=lambda r: r["doc_id"])])
+    z = np.concatenate([np.ones((len(x), 1)), np.clip((x - x.mean(axis=0)) / (x.std(axis=0) + 1e-6), -20, 20)], axis=1)
+    slope = z.T @ (y - 1 / (1 + np.exp(-np.clip(z @ classifier.weights, -30, 30)))) - np.array([1e-6, *[2.0] * x.shape[1]]) * classifier.weights
+    assert np.abs(slope).max() < 1e-3  # no better weights under the penalised likelihood
+    shares = {(r["host"], r["path"]): r["path_share"] for r in quality.site_shares(spark.createDataFrame(
+        [(r["source"] or "", r["lang"] or "", known.get(r["doc_id"]), float(1 / (1 + np.exp(-(classifier.evidence(pa.array([r["text"]]))[0] + classifier.prior))))) for r in rows], "host string, path string, y double, p double")).collect()}
+    got = {r["doc_id"]: r for r in quality.judge(docs, labels).collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        own = got[r["doc_id"]]
+        evidence, share = float(classifier.evidence(pa.array([r["text"]]))[0]), shares[r["source"] or "", r["lang"] or ""]
+        score = 1 / (1 + np.exp(-(evidence + np.log(share / (1 - share)))))
+        assert own["evidence"] == pytest.approx(evidence, abs=1e-9) and own["score"] == pytest.approx(score, abs=1e-9) and own["keep"] == (own["score"] >= 0.5)
+
+
 def test_quality_held_out(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     got = quality.judge(docs, labels.where("doc_id % 2 = 0"))
