@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components, least_linked
 from .scratch import Scratch
-from .vectors import matrix, usable
+from .vectors import kind_of, matrix, usable
 
 #: Vectors of one bucket that are held against each other at a time.
 BLOCK = 2048
@@ -30,8 +30,8 @@ _HOT = 200_000
 
 
 def table_sizes(n: int, cosine: float, recall: float) -> tuple[int, int]:
-    """Bits and tables: buckets of about 16 unlike vectors, and a pair at ``cosine`` met with probability ``recall``."""
-    bits = min(48, max(8, math.ceil(math.log2(max(n, 2) / 16))))
+    """Bits and tables: buckets of about 256 unlike vectors, and a pair at ``cosine`` met with probability ``recall``."""
+    bits = min(48, max(8, math.ceil(math.log2(max(n, 2) / 256))))
     same = (1 - math.acos(cosine) / math.pi) ** bits
     return bits, math.ceil(math.log(1 - recall) / math.log(1 - same))
 
@@ -51,27 +51,29 @@ def near_duplicate_vectors(table: DataFrame, cosine: float = 0.95, recall: float
     of one name. Vectors of unlike lengths link with none of the others. Other columns are ignored; no rows give none.
     """
     scratch = Scratch(table.sparkSession, "embedding-dedup")
-    named = usable(table, id_col, vector_col).withColumns({"high": F.xxhash64("raw"), "low": F.xxhash64(F.lit(7), "raw")})
+    kind = kind_of(table, vector_col)
+    named = usable(table, id_col, vector_col, kind).withColumns({"high": F.xxhash64("raw"), "low": F.xxhash64(F.lit(7), "raw")})
     rows = scratch.table(named, "rows")
     alike = rows.where("raw is not null").groupBy("high", "low", F.length("raw").alias("bytes"))
     nodes = scratch.table(alike.agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("raw").alias("raw")), "nodes")
     n = nodes.count()
     bits, tables = table_sizes(n, cosine, recall)
-    weights = 1 << np.arange(bits, dtype=np.int64)
+    weights, size = 1 << np.arange(bits, dtype=np.int64), np.dtype(kind).itemsize
+    code = np.uint8 if bits <= 8 else np.uint16 if bits <= 16 else np.uint32 if bits <= 32 else np.uint64
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = batch.column("raw").to_pylist()
-            where = np.array([len(r) // 8 for r in raw])
+            where = np.array([len(r) // size for r in raw])
             signs = np.empty((len(raw), tables), np.int64)
             for dims in np.unique(where).tolist():
                 at = np.flatnonzero(where == dims)
-                up = (matrix([raw[i] for i in at]) @ _planes(dims, bits * tables) >= 0).reshape(len(at), tables, bits)
+                up = (matrix([raw[i] for i in at], kind) @ _planes(dims, bits * tables) >= 0).reshape(len(at), tables, bits)
                 signs[at] = up @ weights
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("copies"), pa.array(signs.tolist(), pa.list_(pa.int64())), batch.column("raw")], ["node", "copies", "signs", "raw"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("copies"), pa.array(signs.tolist(), pa.list_(pa.int64())), pa.array([row.tobytes() for row in signs.astype(code)], pa.binary()), batch.column("raw")], ["node", "copies", "buckets", "signs", "raw"])
 
-    signed = nodes.select("node", "copies", "raw").mapInArrow(hashed, "node long, copies long, signs array<long>, raw binary")
-    spread = signed.select("node", "copies", "signs", "raw", F.length("raw").alias("bytes"), F.posexplode("signs").alias("t", "bucket"))
+    signed = nodes.select("node", "copies", "raw").mapInArrow(hashed, "node long, copies long, buckets array<long>, signs binary, raw binary")
+    spread = signed.select("node", "copies", "signs", "raw", F.length("raw").alias("bytes"), F.posexplode("buckets").alias("t", "bucket"))
     hot = scratch.table(spread.groupBy("bytes", "t", "bucket").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1), "sizes")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     many = hot.where(F.col("size") > BLOCK).select("bytes", "t", "bucket", blocks.alias("blocks"))
@@ -94,11 +96,11 @@ def near_duplicate_vectors(table: DataFrame, cosine: float = 0.95, recall: float
         for a, b in zip(cuts[:-1], cuts[1:]):
             if b - a < 2:
                 continue
-            v = matrix(raw[a:b])
+            v = matrix(raw[a:b], kind)
             near = v @ v.T
-            size = np.sqrt(np.einsum("ij,ij->i", v, v))
-            near /= size[:, None]
-            near /= size[None, :]
+            norm = np.sqrt(np.einsum("ij,ij->i", v, v))
+            near /= norm[:, None]
+            near /= norm[None, :]
             i, j = np.nonzero(np.triu(near >= cosine, 1))
             if cell[a, 3] != cell[a, 4]:  # two blocks: only what lies across
                 across = own[a + i] != own[a + j]
@@ -108,7 +110,7 @@ def near_duplicate_vectors(table: DataFrame, cosine: float = 0.95, recall: float
             root = least_linked(b - a, i, j)
             least = np.full(b - a, np.iinfo(np.int64).max)
             np.minimum.at(least, root, node[a:b])
-            signs = np.stack(rows["signs"].iloc[a:b].to_numpy())[:, : cell[a, 0]]
+            signs = np.frombuffer(b"".join(rows["signs"].iloc[a:b]), code).reshape(b - a, -1)[:, : cell[a, 0]]
             new = ~(signs[i] == signs[j]).any(axis=1)
             links = np.bincount(i[new], copies[a + j[new]], b - a) + np.bincount(j[new], copies[a + i[new]], b - a)
             at = np.unique(np.concatenate([i, j]))

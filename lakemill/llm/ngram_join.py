@@ -20,6 +20,7 @@ collision inside two documents' sets, about 10**-14 a pair.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -46,7 +47,7 @@ LONG, BLOCK = 64, 512
 #: Tokens of the nodes of a block, about.
 BLOCK_TOKENS = 1_000_000
 #: Tokens that one task sorts, about.
-_BUCKET = 2_000_000
+_BUCKET = 1_000_000
 
 
 def _sets(batch: pa.RecordBatch, words: int) -> list[np.ndarray]:
@@ -68,9 +69,11 @@ def _at_most(run_ids: np.ndarray, most: int) -> np.ndarray:
     return np.arange(len(run_ids)) - begin < most
 
 
-def _buckets(tokens: np.ndarray, n: int) -> np.ndarray:
-    """Where each bucket of equal shares of the hash range begins among sorted tokens."""
-    return np.searchsorted(tokens, np.array([(k << 64) // n for k in range(n)], np.uint64))
+def _buckets(tokens: np.ndarray, n: int) -> list[tuple[int, int, int]]:
+    """``(bucket, begin, end)`` of the buckets, equal shares of the hash range, that sorted tokens fall into."""
+    bucket = (tokens >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)
+    begin = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(tokens) else np.empty(0, np.int64)
+    return list(zip(bucket[begin].tolist(), begin.tolist(), [*begin[1:].tolist(), len(tokens)]))
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -88,9 +91,8 @@ def frequent_tokens(rows: DataFrame, words: int, buckets: int) -> DataFrame:
             all_sets = [s[: np.searchsorted(s, _COUNTED)] for s in _sets(batch, words)]
             tokens = np.sort(np.concatenate([np.empty(0, np.uint64), *all_sets]))
             tokens = tokens[_at_most(tokens, FREQUENT + 1)]
-            cuts = [*_buckets(tokens, buckets), len(tokens)]
-            some = [k for k in range(buckets) if cuts[k + 1] > cuts[k]]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([tokens[cuts[k] : cuts[k + 1]].tobytes() for k in some], pa.binary())], ["bucket", "tokens"])
+            cuts = _buckets(tokens, buckets)
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in cuts], pa.int32()), pa.array([tokens[a:b].tobytes() for _, a, b in cuts], pa.binary())], ["bucket", "tokens"])
 
     def count(rows: pd.DataFrame) -> pd.DataFrame:
         tokens, held = np.unique(np.frombuffer(b"".join(rows["tokens"]), np.uint64), return_counts=True)
@@ -194,13 +196,10 @@ def _meet(grouped: DataFrame, percent: int, buckets: int) -> DataFrame:
             place |= (within & (tokens < _BOUNDED)).astype(np.uint32) << np.uint32(31)
             order = np.argsort(tokens, kind="stable")
             tokens, place = tokens[order], place[order]
-            cuts = [*_buckets(tokens, buckets), len(tokens)]
             out = []
-            for k in range(buckets):
-                a, b = cuts[k], cuts[k + 1]
-                if b > a:
-                    used, new = np.unique(place[a:b] & np.uint32(0x7FFFFFFF), return_inverse=True)
-                    out.append((k, tokens[a:b].tobytes(), (new.astype(np.uint32) | (place[a:b] & np.uint32(1 << 31))).tobytes(), np.stack([group[used], size[used], slack[used]]).astype(np.int64).tobytes(), len(used)))
+            for k, a, b in _buckets(tokens, buckets):
+                used, new = np.unique(place[a:b] & np.uint32(0x7FFFFFFF), return_inverse=True)
+                out.append((k, tokens[a:b].tobytes(), (new.astype(np.uint32) | (place[a:b] & np.uint32(1 << 31))).tobytes(), np.stack([group[used], size[used], slack[used]]).astype(np.int64).tobytes(), len(used)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int32()))], ["bucket", "tokens", "places", "groups", "n"])
 
@@ -251,20 +250,39 @@ def _meet(grouped: DataFrame, percent: int, buckets: int) -> DataFrame:
 def _compared_in_blocks(members: DataFrame, rows: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
     """Links ``(a, b)`` that join what links among the nodes of each cluster of ``members (cluster, node, n)``.
 
-    A cluster is cut into blocks of about ``BLOCK`` nodes and ``BLOCK_TOKENS`` tokens at most, and each two of its blocks meet in one group of rows of
-    their own, where a matrix product counts the shared tokens of all pairs; a pair is never a row. Clusters of one block share groups of about a
+    A cluster is cut into blocks of about ``BLOCK`` nodes and ``BLOCK_TOKENS`` tokens at most, and two blocks meet in one group of rows of
+    their own, where a matrix product counts the shared tokens of all pairs; a pair is never a row. Blocks hold sets of like sizes: linked ones
+    are of the same class of sizes or of two that follow each other, so no other blocks of a large cluster meet. Clusters of one block share groups of about a
     block's size. Of what links in two blocks one link per node leaves the task.
     """
     blocks = F.ceil(F.greatest(F.col("nodes") / BLOCK, F.col("tokens") / BLOCK_TOKENS)).cast("int")
-    dealt = scratch.table(members.groupBy("cluster").agg(F.count(F.lit(1)).alias("nodes"), F.sum("n").alias("tokens")).withColumn("blocks", blocks), "blocks")
-    small = dealt.where("blocks = 1").agg(F.sum("nodes"), F.sum("tokens")).first()
+    sums = F.count(F.lit(1)).alias("nodes"), F.sum("n").alias("tokens")
+    classes = members.select("cluster", "node", "n", F.floor(F.log(F.col("n").cast("double")) / math.log(100 / min(percent, 99)) + 1e-9).cast("int").alias("class"))
+    dealt = scratch.table(classes.groupBy("cluster", "class").agg(*sums), "blocks")
+    whole = dealt.groupBy("cluster").agg(F.sum("nodes").alias("nodes"), F.sum("tokens").alias("tokens")).withColumn("blocks", blocks)
+    small = whole.where("blocks = 1").agg(F.sum("nodes"), F.sum("tokens")).first()
     bins = max(1, int((small[0] or 0) / BLOCK), int((small[1] or 0) / BLOCK_TOKENS))
-    dealt = members.select("cluster", "node").join(dealt.select("cluster", "blocks"), "cluster").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    sets = _node_sets(rows, members.select("node"), words).join(dealt, "node")
-    sets = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cluster", "node", "tokens", "blocks", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+    of_class = dealt.withColumn("own_blocks", blocks).drop("nodes", "tokens")
+    of_class = of_class.join(whole.where("blocks > 1").select("cluster", F.lit(True).alias("large")), "cluster", "left").withColumn("large", F.coalesce("large", F.lit(False)))
+    told = of_class.where("large").select("cluster", F.explode(F.array(F.col("class") - 1, F.col("class") + 1)).alias("class"), F.col("class").alias("next"), F.col("own_blocks").alias("n"))
+    told = told.groupBy("cluster", "class").agg(F.max(F.when(F.col("next") < F.col("class"), F.col("n"))).alias("lower"), F.max(F.when(F.col("next") > F.col("class"), F.col("n"))).alias("upper"))
+    plan = of_class.join(told, ["cluster", "class"], "left")
+    own = F.when(F.col("large"), F.pmod(F.xxhash64("node"), F.col("own_blocks"))).otherwise(0).cast("int")
+    placed = classes.select("cluster", "node", "class").join(plan, ["cluster", "class"]).withColumn("own", own)
+    each = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    cell = lambda kind, x, y: F.struct(kind.cast("int").alias("kind"), x.cast("int").alias("x"), y.cast("int").alias("y"))
+    at, mine = F.col("class") * 2, F.col("own")
+    # twice a class: its own blocks; twice a class and one: its blocks against those of the next class
+    cells = F.concat(
+        F.transform(each(F.col("own_blocks")), lambda k: cell(at, F.least(mine, k), F.greatest(mine, k))),
+        F.transform(each(F.coalesce("upper", F.lit(0))), lambda k: cell(at + 1, mine, k)),
+        F.transform(each(F.coalesce("lower", F.lit(0))), lambda k: cell(at - 1, k, mine)),
+    )
+    placed = placed.select("cluster", "node", "large", F.explode(F.when(F.col("large"), cells).otherwise(F.array(cell(F.lit(0), F.lit(0), F.lit(0))))).alias("cell"))
+    sets = _node_sets(rows, members.select("node"), words).join(placed, "node").select("cluster", "node", "tokens", "large", "cell.kind", "cell.x", "cell.y")
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        cells = [one_cell(got) for _, got in rows.groupby(["cluster", "x", "y"]) if len(got) > 1]
+        cells = [one_cell(got) for _, got in rows.groupby(["cluster", "kind", "x", "y"]) if len(got) > 1]
         return pd.concat(cells) if cells else pd.DataFrame({"a": pd.Series(dtype=np.int64), "b": pd.Series(dtype=np.int64)})
 
     def one_cell(got: pd.DataFrame) -> pd.DataFrame:
@@ -287,8 +305,8 @@ def _compared_in_blocks(members: DataFrame, rows: DataFrame, words: int, percent
         root = least_linked(len(n), i, j)
         return pd.DataFrame({"a": node, "b": node[root]})[root != np.arange(len(n))]
 
-    cell = F.xxhash64("cluster", "x", "y")  # two blocks are a group of rows of their own, however many there are
-    return sets.withColumn("bin", F.when(F.col("blocks") > 1, cell).otherwise(F.pmod(cell, F.lit(bins)))).drop("blocks").groupBy("bin").applyInPandas(compare, "a long, b long")
+    name = F.xxhash64("cluster", "kind", "x", "y")  # two blocks are a group of rows of their own, however many there are
+    return sets.withColumn("bin", F.when(F.col("large"), name).otherwise(F.pmod(name, F.lit(bins)))).drop("large").groupBy("bin").applyInPandas(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -334,7 +352,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, id_col:
     names = nodes.select("high", "low", "node")
     alike = ids.where("doc_id is not null and n > 0").join(names, ["high", "low"])
     # a repeated id may stand for several sets: its row links them
-    repeated = alike.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("a", "b")
+    repeated = alike.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("doc_id", "a")
+    repeated = alike.join(repeated, "doc_id").where("node <> a").select("a", F.col("node").alias("b")).distinct()
     components = connected_components(every.union(repeated), scratch)
     out = ids.join(names, ["high", "low"], "left").join(components, "node", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id")).alias("component_id")).withColumnRenamed("doc_id", id_col)

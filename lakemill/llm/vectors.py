@@ -10,8 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def usable(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """``(id, raw)`` of every row; ``raw`` are the vector's doubles, null where it takes no part in comparisons.
+def kind_of(table: DataFrame, vector_col: str) -> str:
+    """The numpy type that holds the vectors' components as they are: single precision where the column has it."""
+    return "<f4" if table.schema[vector_col].dataType.simpleString() == "array<float>" else "<f8"
+
+
+def usable(table: DataFrame, id_col: str, vector_col: str, kind: str = "<f8") -> DataFrame:
+    """``(id, raw)`` of every row; ``raw`` are the vector's numbers, null where it takes no part in comparisons.
 
     That is: a null id, or a vector that is null, empty, zero, or holds a null or non-finite component. -0.0 counts as 0.0.
     """
@@ -24,7 +29,7 @@ def usable(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
         for batch in batches:
             column = batch.column("v")
             offs = column.offsets.to_numpy()
-            values = column.values.to_numpy(zero_copy_only=False).astype("<f8") + 0.0
+            values = column.values.to_numpy(zero_copy_only=False).astype(kind) + np.dtype(kind).type(0)
             ok = column.is_valid().to_numpy(zero_copy_only=False)
             raw = [values[a:b].tobytes() if valid else None for a, b, valid in zip(offs[:-1].tolist(), offs[1:].tolist(), ok.tolist())]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(raw, pa.binary())], ["id", "raw"])
@@ -32,6 +37,6 @@ def usable(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.mapInArrow(pack, "id long, raw binary")
 
 
-def matrix(raw: list[bytes]) -> np.ndarray:
-    """Vectors of one length as rows."""
-    return np.frombuffer(b"".join(raw), "<f8").reshape(len(raw), -1)
+def matrix(raw: list[bytes], kind: str = "<f8") -> np.ndarray:
+    """Vectors of one length as rows of doubles."""
+    return np.frombuffer(b"".join(raw), kind).astype(float, copy=False).reshape(len(raw), -1)

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lakemill.llm import elias_fano, embedding_dedup, lm_scoring, neighbours, ngram_join, url_filter
+from lakemill.llm import components, elias_fano, embedding_dedup, lm_scoring, neighbours, ngram_join, url_filter
 from lakemill.llm.components import connected_components
 from lakemill.llm.queries import ORACLES, QUERIES, SITE_RULES
 from lakemill.llm.scratch import Scratch
@@ -38,6 +38,15 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long"), Scratch(spark, "test")).count() == 0
 
 
+def test_components_of_a_large_star(spark, monkeypatch):
+    """Centres of many edges are broadcast: no task's join gets all of them."""
+    monkeypatch.setattr(components, "HEAVY", 20)
+    links = [(0, i) for i in range(1, 300)] + [(9999, i) for i in range(300, 600)] + [(299, 300), (700, 701), (701, 702), (599, 650)]
+    want = classes({n for e in links for n in e}, links)
+    got = connected_components(spark.createDataFrame(links, "a long, b long"), Scratch(spark, "test"))
+    assert {r["node"]: r["component"] for r in got.collect()} == want
+
+
 # Near duplicates
 
 
@@ -82,6 +91,11 @@ def test_near_duplicates_of_odd_rows(odd_docs, no_docs):
     assert ngram_join.near_duplicates(no_docs).count() == 0
 
 
+def test_an_id_with_unlike_texts_joins_all_of_their_classes(spark):
+    text = lambda c: " ".join(f"{c}{k}" for k in range(30))
+    check_near_duplicates(spark.createDataFrame([(5, text("a")), (5, text("b")), (5, text("c")), (1, text("a")), (2, text("b")), (3, text("c")), (7, text("d"))], "doc_id long, text string"))
+
+
 def test_large_group_of_near_copies_around_the_bound(spark):
     """Edits that put pairs on both sides of 0.75, a passage in many documents, and very short texts."""
     rng = np.random.default_rng(7)
@@ -222,6 +236,27 @@ def test_near_duplicate_vectors(vectors, monkeypatch):
     assert embedding_dedup.near_duplicate_vectors(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_recall_of_planted_near_copies(spark, kind):
+    """Pairs just over 0.95 among unlike vectors, at the registered recall."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(4000, 64))
+    for i in range(0, 1200, 2):  # near copies at cosines from 0.95 to 0.97
+        u = x[i] / np.linalg.norm(x[i])
+        side = rng.normal(size=64)
+        side -= side @ u * u
+        c = rng.uniform(0.9501, 0.97)
+        x[i + 1] = c * u + math.sqrt(1 - c * c) * side / np.linalg.norm(side)
+    x = x.astype(np.float32).astype(float)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], f"vec_id long, embedding array<{kind}>")
+    n = np.linalg.norm(x, axis=1)
+    links = {(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(x @ x.T / n[:, None] / n[None, :] >= 0.95, 1)))}
+    assert len(links) == 600
+    got = {r["vec_id"]: r for r in embedding_dedup.near_duplicate_vectors(df).collect()}
+    found = {(i, j) for i, j in links if got[i]["n_links"] and got[j]["component_id"] == got[i]["component_id"]}
+    assert len(found) >= 0.97 * len(links) and sum(r["n_links"] for r in got.values()) == 2 * len(found)
+
+
 def test_nearest(spark, vectors):
     df, rows = vectors
     got = neighbours.nearest(df, F.col("vec_id") % 5 == 0, k=20).collect()
