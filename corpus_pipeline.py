@@ -34,7 +34,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies, the one with the smallest id, and one row of each id."""
+    """One document of each class of near copies, the one with the smallest id; rows of one id with the same text count once, those with other texts stay."""
     ship(spark)
     classes = Scratch(spark, "near-duplicate-stage").table(ngram_join.near_duplicates(docs), "classes")
     copies = classes.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
@@ -42,7 +42,9 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     repeated = classes.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if not repeated.head(1):
         return kept
-    return matching(kept, "doc_id", repeated, "left_anti").union(matching(kept, "doc_id", repeated).dropDuplicates(["doc_id"]))
+    rows = F.struct(*(c for c in docs.columns))  # the least of equal texts' rows, the same at each try
+    once = matching(kept, "doc_id", repeated).groupBy("doc_id", F.xxhash64("text").alias("_name"), F.xxhash64(F.lit(7), "text").alias("_other")).agg(F.min(rows).alias("row")).select("row.*")
+    return matching(kept, "doc_id", repeated, "left_anti").union(once)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
