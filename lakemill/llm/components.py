@@ -1,6 +1,6 @@
 """Connected components by alternating large-star and small-star steps (Kiveris et al., 2014).
 
-Each step is one grouped aggregation and one join, in which the centres of large stars are broadcast; every node only ever points at a smaller one, and the
+Each step is one grouped aggregation and one join, in which the edges of one node are dealt over several tasks; every node only ever points at a smaller one, and the
 steps stop when a pass changes nothing. No link, label or component reaches the driver: it sees one
 count and one checksum a pass. Each pass is written to the shared folder, which cuts the lineage.
 """
@@ -14,29 +14,27 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 
 
-#: Edges of one node from which they are joined by a broadcast of such nodes, at least, and how many such nodes there may be.
-HEAVY, HEAVY_NODES = 256, 100_000
+#: Tasks over which the edges of one node are dealt, at least; Spark splits what is still uneven when it joins.
+SALTS = 8
 
 
-def _with_least(edges: DataFrame, key: str, heavy: int) -> DataFrame:
+def _with_least(edges: DataFrame, key: str) -> DataFrame:
     """``edges (a, b)``, a > b, with ``m``: the smallest node that ``key`` is linked to among smaller ones, itself if there is none.
 
-    Nodes of more than ``heavy`` edges are broadcast, so a star's centre is no task's alone.
+    The edges of a node are dealt by their other end, and the node's smallest goes to each share, so a star's centre is no task's alone.
     """
-    least = edges.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "_node")
-    centres = edges.groupBy(F.col(key).alias("_centre")).count().where(F.col("count") > heavy)
-    centres = centres.join(least, F.col("_centre") == F.col("_node"), "left").select("_centre", F.coalesce("m", "_centre").alias("_least"))
-    told = edges.join(F.broadcast(centres), F.col(key) == F.col("_centre"), "left")  # HEAVY_NODES rows at most
-    light = told.where("_centre is null").select("a", "b").join(least, F.col(key) == F.col("_node"), "left")
-    return told.where("_centre is not null").select("a", "b", F.col("_least").alias("m")).union(light.select("a", "b", F.coalesce("m", key).alias("m")))
+    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    least = least.select(F.col("a").alias("_node"), "m", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    told = edges.withColumn("_of", F.pmod(F.xxhash64("a" if key == "b" else "b"), F.lit(SALTS)).cast("int"))
+    return told.join(least, (F.col(key) == F.col("_node")) & (F.col("_of") == F.col("_salt")), "left").select("a", "b", F.coalesce("m", key).alias("m"))
 
 
-def _pass(edges: DataFrame, n: int) -> DataFrame:
-    """A large-star and a small-star step over ``n`` edges: every larger neighbour of a node, then every smaller one, points at the node's smallest."""
-    heavy = max(HEAVY, n // HEAVY_NODES)
-    large = _with_least(edges, "b", heavy).select("a", F.col("m").alias("b")).distinct()
-    small = _with_least(large, "a", heavy)
-    return small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+def _pass(edges: DataFrame) -> DataFrame:
+    """A large-star and a small-star step: every larger neighbour of a node, then every smaller one, points at the node's smallest."""
+    large = _with_least(edges, "b").select("a", F.col("m").alias("b")).distinct()
+    small = _with_least(large, "a")
+    pairs = F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b"))))
+    return small.select(pairs.alias("e")).select("e.*").where("a <> b").distinct()
 
 
 def connected_components(edges: DataFrame, scratch: Scratch, name: str = "cc", passes: int = 50) -> DataFrame:
@@ -46,16 +44,16 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str = "cc", p
     logarithm of a component's size; ``passes`` only guards against a fault and raises.
     """
     now = scratch.table(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-0")
-    mark, n = None, now.count()
+    mark = None
     for i in range(1, passes + 1):
-        new = scratch.table(_pass(now, n), f"{name}-{i}")
+        new = scratch.table(_pass(now), f"{name}-{i}")
         found = new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         scratch.drop(f"{name}-{i - 1}")
         now = new
         if tuple(found) == mark:
             out = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
             return out.union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
-        mark, n = tuple(found), found[0]
+        mark = tuple(found)
     raise RuntimeError(f"components did not settle in {passes} passes")
 
 

@@ -38,10 +38,19 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long"), Scratch(spark, "test")).count() == 0
 
 
-def test_components_of_a_large_star(spark, monkeypatch):
-    """Centres of many edges are broadcast: no task's join gets all of them."""
-    monkeypatch.setattr(components, "HEAVY", 20)
-    links = [(0, i) for i in range(1, 300)] + [(9999, i) for i in range(300, 600)] + [(299, 300), (700, 701), (701, 702), (599, 650)]
+@pytest.mark.parametrize("key", ["a", "b"])
+def test_edges_of_one_node_are_dealt_over_tasks(spark, key):
+    """A star's centre, at either end, is joined in several partitions, none of which holds most of its edges."""
+    links = [(i, 0) if key == "b" else (9999, i) for i in range(1, 900)]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        told = components._with_least(spark.createDataFrame(links, "a long, b long").repartition(2), key)
+        sizes = [r["count"] for r in told.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum(sizes) == 899 and max(sizes) <= 600
     want = classes({n for e in links for n in e}, links)
     got = connected_components(spark.createDataFrame(links, "a long, b long"), Scratch(spark, "test"))
     assert {r["node"]: r["component"] for r in got.collect()} == want
