@@ -46,6 +46,8 @@ _LISTED = 4_000_000
 LONG, BLOCK = 64, 512
 #: Tokens of the nodes of a block, about.
 BLOCK_TOKENS = 1_000_000
+#: Shares that the pairs of one node are dealt over.
+_SHARES = 16
 #: Tokens that one task sorts, about.
 _BUCKET = 1_000_000
 
@@ -154,15 +156,24 @@ def _node_sets(rows: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
     return matching(rows, "doc_id", nodes).mapInArrow(sets, "node long, tokens array<long>")
 
 
+def _with_both(pairs: DataFrame, info: DataFrame) -> DataFrame:
+    """``pairs (a, b)`` with the columns of ``info (node, ...)`` of either end, named by it.
+
+    Many pairs may have one ``b``, the first of a group: they are dealt by ``a``, and what ``b`` has goes once to each share that holds one of its pairs.
+    """
+    left, right = (info.select(*(F.col(c).alias(k if c == "node" else f"{c}_{k}") for c in info.columns)) for k in "ab")
+    dealt = pairs.select("a", "b", F.pmod(F.xxhash64("a"), F.lit(_SHARES)).cast("int").alias("share"))
+    return dealt.join(left, "a").join(right.join(dealt.select("b", "share").distinct(), "b"), ["b", "share"]).drop("share")
+
+
 def _linked(pairs: DataFrame, rows: DataFrame, words: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
     """The pairs ``(a, b)`` of nodes whose sets link; sets are built anew for the nodes in question."""
     nodes = scratch.table(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), f"{name}-nodes")
 
     found = _node_sets(rows, nodes, words)
-    left, right = (found.select(F.col("node").alias(c), F.col("tokens").alias(f"tokens_{c}")) for c in "ab")
     both = F.size(F.array_intersect("tokens_a", "tokens_b"))
     either = F.size("tokens_a") + F.size("tokens_b") - both
-    return pairs.select("a", "b").join(left, "a").join(right, "b").where((both > 0) & (100 * both >= percent * either)).select("a", "b").distinct()
+    return _with_both(pairs, found).where((both > 0) & (100 * both >= percent * either)).select("a", "b").distinct()
 
 
 def _sketch_bound(pairs: DataFrame, nodes: DataFrame, percent: int, scratch: Scratch, name: str) -> DataFrame:
@@ -170,9 +181,8 @@ def _sketch_bound(pairs: DataFrame, nodes: DataFrame, percent: int, scratch: Scr
     some = scratch.table(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), f"{name}-nodes")
     low = F.concat(F.slice("sketch", F.lit(1), F.col("under")), "late")  # all tokens under the bound
     info = matching(nodes, "node", some).select("node", "n", low.alias("low"))
-    left, right = (info.select(*(F.col(c).alias(k if c == "node" else f"{c}_{k}") for c in info.columns)) for k in "ab")
     apart = F.size("low_a") + F.size("low_b") - 2 * F.size(F.array_intersect("low_a", "low_b"))
-    sized = pairs.join(left, "a").join(right, "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+    sized = _with_both(pairs, info).where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
     return sized.where((100 + percent) * apart <= (100 - percent) * (F.col("n_a") + F.col("n_b"))).select("a", "b")
 
 
