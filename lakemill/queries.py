@@ -209,11 +209,11 @@ _quantiles("s_quantiles", "lineitem", "l_extendedprice")
 _quantiles("s_quantiles_ties", "lineitem", "l_quantity")
 add(
     "s_hist",
-    lambda t: rounded(statistics.histogram(t("events"), "value", 20), 2, "lower", "upper", "center"),
+    lambda t: statistics.histogram(t("events"), "value", 20),
     """WITH e AS (SELECT min(value) AS a, max(value) AS b FROM events),
     c AS (SELECT least(floor((value - a) / (b - a) * 20), 19)::INT AS bucket, count(*) AS n FROM events, e WHERE value IS NOT NULL GROUP BY 1)
-    SELECT g.bucket::INT AS bucket, round(round(a + (b - a) * g.bucket / 20, 6), 2) AS lower, round(round(a + (b - a) * (g.bucket + 1) / 20, 6), 2) AS upper,
-    round(round((a + (b - a) * g.bucket / 20 + a + (b - a) * (g.bucket + 1) / 20) / 2, 6), 2) AS center, coalesce(n, 0) AS count
+    SELECT g.bucket::INT AS bucket, round(a + (b - a) * g.bucket / 20, 6) AS lower, round(a + (b - a) * (g.bucket + 1) / 20, 6) AS upper,
+    round((a + (b - a) * g.bucket / 20 + a + (b - a) * (g.bucket + 1) / 20) / 2, 6) AS center, coalesce(n, 0) AS count
     FROM range(20) AS g(bucket) CROSS JOIN e LEFT JOIN c ON c.bucket = g.bucket""",
 )
 _FOUR = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
@@ -293,7 +293,7 @@ def _csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     folder = shared_folder(spark, "csv")
     rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", F.to_date("o_orderdate").alias("o_orderdate"), F.round("o_totalprice", 2).alias("o_totalprice"))
-    rows.orderBy("o_orderkey").coalesce(1).write.csv(f"{folder}/raw.csv", header=True)
+    rows.orderBy("o_orderkey").write.csv(f"{folder}/raw.csv", header=True)
     csv_source.ingest_csv(spark, f"{folder}/raw.csv", f"{folder}/typed")
     return spark.read.parquet(f"{folder}/typed")
 

@@ -8,6 +8,7 @@ import io
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,20 +52,46 @@ def read_header(raw: bytes) -> list[str]:
     return normalise_header(next(csv.reader(io.StringIO(text), skipinitialspace=True), []))
 
 
+def _first_file(spark: SparkSession, path: str):  # noqa: ANN202
+    """File system and first file of a path, which may be a folder or a pattern."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    told = sorted((s for s in (fs.globStatus(where) or [])), key=lambda s: s.getPath().toString())
+    for s in told:
+        inner = sorted(fs.listStatus(s.getPath()), key=lambda x: x.getPath().toString()) if s.isDirectory() else [s]
+        for f in inner:
+            if f.isFile() and not f.getPath().getName().startswith(("_", ".")) and (f.getLen() or len(inner) == 1):
+                return fs, f.getPath()
+    raise ValueError(f"no file at {path}")
+
+
 def _head(spark: SparkSession, path: str) -> bytes:
-    """The first bytes, by Spark's readers, which reach any store."""
-    line = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 4 * _HEAD).alias("head")).orderBy("head").first()
-    return bytes(line["head"]) if line else b""
+    """The first bytes of the first file, read as a stream from any store that Hadoop reaches."""
+    fs, first = _first_file(spark, path)
+    stream = fs.open(first)
+    try:
+        return bytes(stream.readNBytes(4 * _HEAD))
+    finally:
+        stream.close()
+
+
+def _breaks_in_quotes(spark: SparkSession, path: str) -> bool:
+    """Whether some line has an odd number of quotes, so that a quoted cell may go on in the next line."""
+    quotes = F.length("value") - F.length(F.regexp_replace("value", '"', ""))
+    return bool(spark.read.text(path).where(F.col("value").contains('"') & (quotes % 2 == 1)).head(1))
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """All cells as text; an empty cell is null. Quotes and line breaks in quotes are read."""
+    """All cells as text; an empty cell is null. Quotes and line breaks in quotes are read.
+
+    Files are cut into splits; only where a line shows a line break in quotes is a file read by one task.
+    """
     head = _head(spark, path)
     names = read_header(head)
     if not names or names == [""]:
         raise ValueError("CSV file is empty or has no data rows")
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    return spark.read.csv(path, schema=schema, header=True, multiLine=True, escape='"', ignoreLeadingWhiteSpace=True, nullValue="", encoding=detect_encoding(head), enforceSchema=True)
+    return spark.read.csv(path, schema=schema, header=True, multiLine=_breaks_in_quotes(spark, path), escape='"', ignoreLeadingWhiteSpace=True, nullValue="", encoding=detect_encoding(head), enforceSchema=True)
 
 
 def infer_types(rows: DataFrame) -> dict[str, str]:
@@ -84,40 +111,56 @@ def row_errors(types: dict[str, str]) -> Column:
     return F.filter(F.array(*told), lambda e: e.isNotNull())
 
 
-def with_row_ids(df: DataFrame, row_id: str = ROW_ID) -> DataFrame:
-    """Dense row numbers from 1 in partition order: places within partitions, and each partition's first number from a small count table."""
-    told = df.withColumn("_p", F.spark_partition_id()).withColumn("_k", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
-    counts = sorted((r["_p"], r["n"]) for r in told.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).collect())
-    first, at = [], 1
-    for p, n in counts:
-        first.append((p, at))
-        at += n
-    offsets = df.sparkSession.createDataFrame(first, "_p int, _first long")
-    return told.join(F.broadcast(offsets), "_p").select((F.col("_first") + F.col("_k")).alias(row_id), *(F.col(f"`{c}`") for c in df.columns))  # a row per partition
+_FILE, _AT, _NO = "_file", "_at", "_no"
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """Rows of a file scan with where they come from: their file, their split's first byte, and ascending numbers within the task."""
+    return rows.select("*", F.col("_metadata.file_path").alias(_FILE), F.col("_metadata.file_block_start").alias(_AT), F.monotonically_increasing_id().alias(_NO))
+
+
+def _first_numbers(placed: DataFrame) -> DataFrame:
+    """``(file, at, shift)``: what to add to a split's row numbers so that all rows are numbered from 1 in the order of files and places."""
+    splits = placed.groupBy(_FILE, _AT).agg(F.count(F.lit(1)).alias("n"), F.min(_NO).alias("first"))
+    before = F.sum("n").over(Window.orderBy(_FILE, _AT).rowsBetween(Window.unboundedPreceding, -1))  # a row per split
+    return splits.select(_FILE, _AT, (F.coalesce(before, F.lit(0)) + 1 - F.col("first")).alias("shift"))
 
 
 def ingest_csv(spark: SparkSession, path: str, target: str, validate_rows: int = VALIDATED_ROWS) -> dict[str, str]:
-    """Write a typed Parquet dataset under ``target`` and return its types; nothing is left there if rows are invalid.
+    """Write a typed Parquet dataset under ``target`` and return its types; nothing is left there if rows are invalid. An existing target is refused.
 
-    Whole numbers below 2**53 become longs, other numbers doubles. The first ``validate_rows`` rows have to parse.
+    Whole numbers below 2**53 become longs, other numbers doubles. The first ``validate_rows`` rows have to parse. Rows are numbered
+    from 1 in the order of files and lines. The CSV is parsed once, into a staged table of texts that all other steps read.
     """
-    rows = read_csv(spark, path)
-    types = infer_types(rows)
-    if not types:
-        raise ValueError("CSV file is empty or has no data rows")
-    wrong = rows.limit(validate_rows).select(F.explode(row_errors(types)).alias("e")).limit(10).collect()
-    if wrong:
-        raise ValueError("; ".join(r["e"] for r in wrong))
-    cleaned = rows.select(*(clean(F.col(f"`{c}`"), t).alias(c) for c, t in types.items()))
-    numbers = [c for c, t in types.items() if t == NUMERIC]
-    if numbers:
-        whole = cleaned.agg(*(F.bool_and((F.col(f"`{c}`") == F.floor(f"`{c}`")) & (F.abs(f"`{c}`") <= 2**53)).alias(c) for c in numbers)).first()
-        cleaned = cleaned.select(*(F.col(f"`{c}`").cast("long").alias(c) if c in numbers and whole[c] else F.col(f"`{c}`") for c in types))
-    staged = f"{target.rstrip('/')}-{uuid.uuid4().hex}"
-    with_row_ids(cleaned).write.parquet(staged)
     path_of = spark._jvm.org.apache.hadoop.fs.Path
-    fs = path_of(staged).getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.rename(path_of(staged), path_of(target)):
-        fs.delete(path_of(staged), True)
+    fs = path_of(target).getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(path_of(target)):
         raise ValueError(f"{target} exists")
+    parsed, staged = (f"{target.rstrip('/')}-{kind}-{uuid.uuid4().hex}" for kind in ("parsed", "staged"))
+    try:
+        raw = read_csv(spark, path)
+        _placed(raw).write.parquet(parsed)
+        told = spark.read.parquet(parsed)
+        order = [_FILE, _AT, _NO]
+        first = told.orderBy(*order).limit(max(INFERENCE_ROWS, validate_rows)).select(*(F.col(f"`{c}`") for c in raw.columns)).cache()  # a top-k of each task
+        types = infer_types(first)
+        if not types:
+            raise ValueError("CSV file is empty or has no data rows")
+        wrong = first.limit(validate_rows).select(F.explode(row_errors(types)).alias("e")).limit(10).collect()
+        first.unpersist()
+        if wrong:
+            raise ValueError("; ".join(r["e"] for r in wrong))
+        values = {c: clean(F.col(f"`{c}`"), t) for c, t in types.items()}
+        numbers = [c for c, t in types.items() if t == NUMERIC]
+        if numbers:
+            whole = told.agg(*(F.bool_and((values[c] == F.floor(values[c])) & (F.abs(values[c]) <= 2**53)).alias(f"w{i}") for i, c in enumerate(numbers))).first()
+            values |= {c: values[c].cast("long") for i, c in enumerate(numbers) if whole[i]}
+        numbered = told.join(_first_numbers(told), [_FILE, _AT])
+        numbered.select((F.col(_NO) + F.col("shift")).alias(ROW_ID), *(v.alias(c) for c, v in values.items())).write.parquet(staged)
+        fs.mkdirs(path_of(target).getParent())
+        if fs.exists(path_of(target)) or not fs.rename(path_of(staged), path_of(target)):
+            raise ValueError(f"{target} exists")
+    finally:
+        for folder in (parsed, staged):
+            fs.delete(path_of(folder), True)
     return types

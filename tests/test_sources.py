@@ -83,6 +83,39 @@ def test_catalog(spark, tmp_path):
         catalog.ingest_csv("x.txt", "no")
 
 
+def test_second_catalog_on_one_root(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("n\n1\n2\n")
+    (tmp_path / "b.csv").write_text("n\n7\n8\n9\n")
+    root = f"file://{tmp_path}/sets"
+    first = Catalog(spark, root).ingest_csv(f"file://{tmp_path}/a.csv", "a")
+    other = Catalog(spark, root)
+    second = other.ingest_csv(f"file://{tmp_path}/b.csv", "b")
+    assert [r["n"] for r in other.frame(second.id, 1).orderBy("n").collect()] == [7, 8, 9]
+    assert [r["n"] for r in other.frame(first.id, 1).orderBy("n").collect()] == [1, 2] and second.id != first.id
+    assert [r["name"] for r in Catalog(spark, root).datasets(1).collect()] == ["b", "a"] and other.info(first.id, 1) == first
+    with pytest.raises(ValueError, match="exists"):
+        csv_source.ingest_csv(spark, f"file://{tmp_path}/b.csv", first.path)
+    assert other.frame(first.id, 1).count() == 2
+    (tmp_path / "c.csv").write_text("n\n" + "1\n" * 9 + "x\n")
+    with pytest.raises(ValueError, match="cannot parse"):
+        other.ingest_csv(f"file://{tmp_path}/c.csv", "c")
+    assert other.datasets(1).count() == 2 and sorted(p.name for p in (tmp_path / "sets").iterdir()) == ["1-1", "1-2", "_catalog"]
+
+
+def test_row_numbers_follow_files_and_lines(spark, tmp_path):
+    (tmp_path / "many.csv").mkdir()
+    for k in range(3):
+        (tmp_path / "many.csv" / f"part-{k}.csv").write_text("n,t\n" + "".join(f"{k * 40_000 + i},{'x' * (3 - k)}\n" for i in range(40_000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")
+    try:
+        _, df = csv_source.ingest_csv(spark, f"file://{tmp_path}/many.csv", f"file://{tmp_path}/typed"), spark.read.parquet(f"file://{tmp_path}/typed")
+        assert df.count() == 120_000 and df.where("_row_id <> n + 1").count() == 0
+        assert csv_source.read_csv(spark, f"file://{tmp_path}/many.csv").rdd.getNumPartitions() > 3
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_export(people):
     text = export.export(people, "csv", [{"column": "age", "operator": ">", "value": 29}])
     assert text.splitlines()[0] == "_row_id,name,age,city,score,joined" and len(text.splitlines()) == 3

@@ -27,6 +27,27 @@ def test_exact_quantiles_are_numpys(spark, kind):
     assert statistics.exact_quantiles(df, "x", shares) == pytest.approx([float(np.percentile(values, 100 * p)) for p in shares], rel=1e-12)
 
 
+@pytest.mark.parametrize("values, want", [([1.0, 2.0, float("inf")], 2.0), ([float("inf")] * 3, float("inf")), ([float("-inf"), 1.0, 5.0], 1.0), ([float("-inf"), float("inf"), 3.0, float("nan")], 3.0), ([1.0, float("nan"), 3.0, None], 2.0), ([float("nan")], None), ([5e-324, 1e-323, 5e-324], 5e-324), ([-1.7e308, 1.7e308, 0.0], 0.0)])
+def test_infinite_and_odd_values(spark, values, want):
+    df = numbers(spark, values)
+    assert statistics.exact_quantiles(df, "x", [0.5]) == [want] and statistics.basic_stats(df, "x").first()["median"] == want
+    statistics.quantiles(df, "x").collect(), statistics.histogram(df, "x", 4).collect()
+    assert statistics.outliers(df, "x").where("isnan(value)").count() == 0
+    low, high = statistics.exact_quantiles(df, "x", [0, 1])
+    kept = [v for v in values if v is not None and v == v]
+    assert (low, high) == ((min(kept), max(kept)) if kept else (None, None))
+
+
+def test_outliers_beyond_infinite_values(spark):
+    rows = statistics.outliers(numbers(spark, [1.0, 2.0, 3.0, 2.0, 1.0, 2.0, float("inf")]), "x").collect()
+    assert [(r["_row_id"], r["value"]) for r in rows] == [(6, float("inf"))]
+
+
+def test_statistics_in_one_row(hundred):
+    row = statistics.statistics(hundred, "x").first()
+    assert row["median"] == 50.5 and row["p75"] == 75.25 and row["count"] == 100
+
+
 def test_basic_stats(spark):
     got = statistics.basic_stats(numbers(spark, [float(i) for i in range(1, 11)]), "x").first()
     assert (got["count"], got["mean"], got["median"], got["min"], got["max"]) == (10, 5.5, 5.5, 1, 10)
