@@ -45,7 +45,7 @@ _LISTED = 4_000_000
 #: Groups that share a token, from which they are compared in blocks of so many nodes instead of as pairs.
 LONG, BLOCK = 64, 512
 #: Tokens of the nodes of a block, about.
-BLOCK_TOKENS = 1_000_000
+BLOCK_TOKENS = 500_000
 #: Shares that the pairs of one node are dealt over.
 _SHARES = 16
 #: Tokens that one task sorts, about.
@@ -89,7 +89,7 @@ def frequent_tokens(rows: DataFrame, words: int, buckets: int) -> DataFrame:
     """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, limit=8 << 20):
+        for batch in slices(batches, limit=4 << 20):
             all_sets = [s[: np.searchsorted(s, _COUNTED)] for s in _sets(batch, words)]
             tokens = np.sort(np.concatenate([np.empty(0, np.uint64), *all_sets]))
             tokens = tokens[_at_most(tokens, FREQUENT + 1)]
