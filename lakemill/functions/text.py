@@ -39,17 +39,30 @@ def places(tokens: Column, forms: list[str], most: int = 255, last: int = 16383)
     return F.slice(F.transform(at, lambda p: F.least(p, F.lit(last))), 1, most)
 
 
-def forms_of(tokens: DataFrame, wanted: list[str]) -> dict[str, list[str]]:
-    """Of each wanted word the words of ``tokens`` (one array column) with its stem, itself among them.
+#: A place before which no word goes on, and one after which none does.
+EDGE_BEFORE, EDGE_AFTER = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 
-    Stems are made of distinct words, a batch at a time; only those that share a wanted stem reach the driver.
-    """
-    stems = sorted({stem(w) for w in wanted})
+
+def stemmed(words: Column) -> Column:
+    """English stems of a column of words, a batch at a time."""
 
     @F.pandas_udf("string")
-    def stemmed(words):  # noqa: ANN001, ANN202
+    def run(words):  # noqa: ANN001, ANN202
         return words.map(stem)
 
-    vocabulary = tokens.select(F.explode(tokens.columns[0]).alias("word")).distinct()
-    found = vocabulary.withColumn("stem", stemmed("word")).where(F.col("stem").isin(stems)).collect()
+    return run(words)
+
+
+def forms_of(texts: DataFrame, wanted: list[str]) -> dict[str, list[str]]:
+    """Of each wanted word the words of ``texts`` (one lower-case column) with its stem, itself among them.
+
+    A word and its stem begin with the same letter, and with the same three where the stem has more than four: only distinct words that begin so are
+    stemmed, a batch at a time, and only those that share a wanted stem reach the driver.
+    """
+    stems = sorted({stem(w) for w in wanted})
+    starts = sorted({s[:3] if len(s) > 4 else s[:1] for s in stems})
+    pattern = f"({EDGE_BEFORE}(?:{'|'.join(starts)})[\\p{{L}}\\p{{N}}]*)"
+    text = texts.columns[0]
+    vocabulary = texts.select(F.explode(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(1))).alias("word")).distinct()
+    found = vocabulary.withColumn("stem", stemmed(F.col("word"))).where(F.col("stem").isin(stems)).collect()
     return {w: sorted({w, *(r["word"] for r in found if r["stem"] == stem(w))}) for w in wanted}

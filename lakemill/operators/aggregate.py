@@ -78,3 +78,12 @@ def series(df: DataFrame, date_column: str, metric: str | Metric, unit: str = "m
     day = typed_column(date_column, types) if types[date_column] == DATE else F.try_to_timestamp(F.col(date_column)).cast("date")
     rows = apply_filters(df, filters, logic).where(day.isNotNull())
     return rows.groupBy(F.date_trunc(unit, day).alias("period")).agg(metric_column(parsed, types).alias("value")).orderBy("period")
+
+
+def summarise(df: DataFrame, metrics: list[str | Metric], group_by: list[str] | None = None, date_column: str | None = None, unit: str = "month", filters: Any = None, sort_by: str | None = None, sort_dir: str = "DESC", limit: int | None = 500, logic: str | None = None) -> DataFrame:
+    """One call for both: with a ``date_column`` the :func:`series` of the one metric, else the :func:`aggregate` by ``group_by``."""
+    if date_column is None:
+        return aggregate(df, group_by or [], metrics, filters, sort_by, sort_dir, limit, logic)
+    if group_by or len(metrics) != 1:
+        raise ValueError("a series has one metric and no groups")
+    return series(df, date_column, metrics[0], unit, filters, logic)

@@ -12,6 +12,10 @@ from ..types import ROW_ID, column_types, safe_name, typed_column
 from .filters import apply_filters
 
 
+#: Rows of a page, at most.
+PAGE_ROWS = 100
+
+
 @dataclass(frozen=True)
 class Page:
     total: int
@@ -36,7 +40,9 @@ def sorted_page(df: DataFrame, filters: Any = None, sort_by: str | None = None,
 
 
 def query(df: DataFrame, filters: Any = None, sort_by: str | None = None, sort_dir: str = "ASC", page: int = 1, page_size: int = 20, row_id: str = ROW_ID, logic: str | None = None) -> Page:
-    """The page with the number of all rows that pass; beyond the last row no second job runs."""
+    """The page, of 1 to 100 rows, with the number of all rows that pass; beyond the last row no second job runs."""
+    if not 1 <= page_size <= PAGE_ROWS:
+        raise ValueError(f"a page has 1 to {PAGE_ROWS} rows")
     total = apply_filters(df, filters, logic).count()
     rows = sorted_page(df, filters, sort_by, sort_dir, page, page_size, row_id, logic)
     if total <= (page - 1) * page_size:

@@ -11,8 +11,9 @@ from .functions.text import STOP_WORDS
 from .operators import aggregate as agg
 from .operators import paging, profile, search, statistics, timeseries
 from .operators.filters import apply_filters
-from .session import table
+from .session import shared_folder, table
 from .sources import csv_source, export
+from .sources.catalog import Catalog
 from .streaming.incremental import windowed_counts
 from .types import DATE, TEXT
 
@@ -247,7 +248,7 @@ _NONE: frozenset[str] = frozenset()
 
 
 def _found(name: str, text: str, condition: str) -> None:
-    add(name, lambda t: search.search(t("documents"), text, ["text"], "doc_id", _NONE).select("doc_id"), f"SELECT doc_id FROM {_WORDS} WHERE {condition}")
+    add(name, lambda t: search.matching_rows(t("documents"), text, ["text"], _NONE, stems=False).select("doc_id"), f"SELECT doc_id FROM {_WORDS} WHERE {condition}")
 
 
 _found("g_term", "clown", "list_contains(w, 'clown')")
@@ -256,17 +257,17 @@ _found("g_or", "clown OR bleed", "list_contains(w, 'clown') OR list_contains(w,
 _found("g_not", "the -was", "list_contains(w, 'the') AND NOT list_contains(w, 'was')")
 _found("g_phrase", '"the on"', "contains(' ' || array_to_string(w, ' ') || ' ', ' the on ')")
 _found("g_phrase_not", 'the -"of the"', "list_contains(w, 'the') AND NOT contains(' ' || array_to_string(w, ' ') || ' ', ' of the ')")
-add("g_stop_words", lambda t: search.search(t("documents"), "the und of", ["text"], "doc_id", STOP_WORDS).select("doc_id"), f"SELECT doc_id FROM {_WORDS} WHERE list_contains(w, 'und')")
-add("g_multi_col", lambda t: search.search(t("part"), "red economy", ["p_name", "p_type"], "p_partkey", _NONE).select("p_partkey"), f"SELECT p_partkey FROM {_PART_WORDS} WHERE list_contains(w, 'red') AND list_contains(w, 'economy')")
+add("g_stop_words", lambda t: search.matching_rows(t("documents"), "the und of", ["text"], STOP_WORDS, stems=False).select("doc_id"), f"SELECT doc_id FROM {_WORDS} WHERE list_contains(w, 'und')")
+add("g_multi_col", lambda t: search.matching_rows(t("part"), "red economy", ["p_name", "p_type"], _NONE, stems=False).select("p_partkey"), f"SELECT p_partkey FROM {_PART_WORDS} WHERE list_contains(w, 'red') AND list_contains(w, 'economy')")
 add(
     "g_ranked",
-    lambda t: search.search(t("documents"), "und", ["text"], "doc_id", _NONE).select("doc_id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(50),
+    lambda t: search.search(t("documents"), "und", ["text"], "doc_id", _NONE, stems=False).select("doc_id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(50),
     f"""SELECT doc_id, round(s / (s + 1), 6) AS score FROM (SELECT doc_id, list_sum([0.1 / (j * j) for j in range(1, least(n, 255) + 1)]) / 1.64493406685 AS s FROM
     (SELECT doc_id, len([x for x in w if x = 'und']) AS n FROM {_WORDS}) WHERE n > 0) ORDER BY round(s / (s + 1), 6) DESC, doc_id LIMIT 50""",
 )
 add(
     "g_ranked_and",
-    lambda t: search.search(t("part"), "red economy", ["p_name", "p_type"], "p_partkey", _NONE).select("p_partkey", F.round("score", 6).alias("score")),
+    lambda t: search.search(t("part"), "red economy", ["p_name", "p_type"], "p_partkey", _NONE, stems=False).select("p_partkey", F.round("score", 6).alias("score")),
     f"""WITH placed AS (SELECT p_partkey, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM {_PART_WORDS}),
     pairs AS (SELECT a.p_partkey, greatest(abs(a.p - b.p), 1)::DOUBLE AS d FROM placed a JOIN placed b USING (p_partkey) WHERE a.word = 'red' AND b.word = 'economy'),
     s AS (SELECT p_partkey, 1 - product(1 - sqrt(0.01 * CASE WHEN d > 100 THEN 1e-30 ELSE 1 / (1.005 + 0.05 * exp(d / 1.5 - 2)) END)) AS s FROM pairs GROUP BY p_partkey)
@@ -278,7 +279,102 @@ add(
     "SELECT term, p_partkey, count(*) AS n FROM (SELECT p_partkey, unnest([w for w in regexp_split_to_array(lower(p_name), '[^\\p{L}\\p{N}]+') if w <> '']) AS term FROM part) GROUP BY ALL",
 )
 
-# Export, ingest, streams
+_ON_FORMS = "'^on(e|es|ed|ing|ingly|edly)$'"
+_STEMS_RANKED = f"""SELECT doc_id, round(s / (s + 1), 6) AS score FROM (SELECT doc_id, list_sum([0.1 / (j * j) for j in range(1, least(n, 255) + 1)]) / 1.64493406685 AS s FROM
+    (SELECT doc_id, len([x for x in w if regexp_matches(x, {_ON_FORMS})]) AS n FROM {_WORDS}) WHERE n > 0)"""
+add("g_stems", lambda t: search.matching_rows(t("documents"), "oning", ["text"]).select("doc_id"), f"SELECT doc_id FROM {_WORDS} WHERE len([x for x in w if regexp_matches(x, {_ON_FORMS})]) > 0")
+add("g_stems_phrase", lambda t: search.matching_rows(t("part"), '"blue bolts"', ["p_name", "p_type"]).select("p_partkey"), f"SELECT p_partkey FROM {_PART_WORDS} WHERE contains(' ' || array_to_string(w, ' ') || ' ', ' blue bolt ')")
+add("g_stems_ranked", lambda t: search.search(t("documents"), "oned", ["text"], "doc_id").select("doc_id", F.round("score", 6).alias("score")), _STEMS_RANKED)
+
+
+def _indexed(name: str, of: str, columns: list[str], key: str, text: str, sql: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        index = search.SearchIndex(spark, shared_folder(spark, "search-index")).build(table(spark, sf_dir, of), columns, key)
+        return index.search(text).select(F.col("row_id").alias(key), F.round("score", 6).alias("score"))
+
+    QUERIES[name], ORACLES[name] = run, sql
+
+
+_indexed("g_index_ranked", "documents", ["text"], "doc_id", "oning", _STEMS_RANKED)
+_indexed("g_index_and", "part", ["p_name", "p_type"], "p_partkey", "red economy", ORACLES["g_ranked_and"])
+
+# Export, ingest, catalog, streams
+
+
+def _raw_csv(spark: SparkSession, text: str) -> str:
+    """A folder with one CSV file of this text."""
+    folder = f"{shared_folder(spark, 'csv')}/raw.csv"
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(folder)
+    return folder
+
+
+def _csv_case(name: str, text: str, sql: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = _raw_csv(spark, text)
+        csv_source.ingest_csv(spark, path, f"{path}.typed")
+        return spark.read.parquet(f"{path}.typed")
+
+    QUERIES[name], ORACLES[name] = run, sql
+
+
+_csv_case("i_headers", " n ,n,t\n1,2,x\n3,,y", "SELECT * FROM (VALUES (1::BIGINT, 1::BIGINT, 2::BIGINT, 'x'), (2, 3, NULL, 'y')) AS v(_row_id, n, n_1, t)")
+_csv_case("i_quotes", 'a,b\n"x, y","say ""hi"""\n"two\nlines",z', """SELECT * FROM (VALUES (1::BIGINT, 'x, y', 'say "hi"'), (2, 'two' || chr(10) || 'lines', 'z')) AS v(_row_id, a, b)""")
+_csv_case("i_dates_and_numbers", 'd,n\n15/01/2024,"1,234.5"\n2024-01-16,1e3', "SELECT * FROM (VALUES (1::BIGINT, DATE '2024-01-15', 1234.5::DOUBLE), (2, DATE '2024-01-16', 1000)) AS v(_row_id, d, n)")
+
+
+def _row_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("k"), F.col("c_name").alias("n"))
+    return rows.select("k", F.explode(csv_source.row_errors({"k": "numeric", "n": "numeric"})).alias("error"))
+
+
+QUERIES["i_row_errors"] = _row_errors
+ORACLES["i_row_errors"] = "SELECT CAST(c_custkey AS VARCHAR) AS k, '''n'': cannot parse ''' || c_name || ''' as numeric' AS error FROM customer"
+
+
+def _exported(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    text = export.export(rows, kind, [_one("n_nationkey", "<", 5)], row_id="n_nationkey")
+    return spark.createDataFrame([(text,)], "text string")
+
+
+QUERIES["o_csv_text"] = lambda spark, sf_dir: _exported(spark, sf_dir, "csv").select(F.explode(F.split(F.translate("text", "\r", ""), "\n")).alias("line")).where("line <> ''")
+ORACLES["o_csv_text"] = "SELECT 'n_nationkey,n_name' AS line UNION ALL SELECT n_nationkey || ',' || n_name FROM nation WHERE n_nationkey < 5"
+QUERIES["o_json_text"] = lambda spark, sf_dir: _exported(spark, sf_dir, "json").select(F.explode(F.from_json("text", "array<struct<n_nationkey: bigint, n_name: string>>")).alias("r")).select("r.*")
+ORACLES["o_json_text"] = "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name FROM nation WHERE n_nationkey < 5"
+
+
+def _catalogued(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = shared_folder(spark, "catalog")
+    for of in ("orders", "part", "nation"):
+        Catalog(spark, root).register_parquet(f"{sf_dir}/{of}.parquet", of, owner=1 if of != "nation" else 2)
+    return Catalog(spark, root).datasets(1).select("id", "name", "row_count")
+
+
+QUERIES["c_datasets"] = _catalogued
+ORACLES["c_datasets"] = "SELECT 1::BIGINT AS id, 'orders' AS name, (SELECT count(*) FROM orders) AS row_count UNION ALL SELECT 2, 'part', (SELECT count(*) FROM part)"
+
+
+def _catalogued_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = Catalog(spark, shared_folder(spark, "catalog")).register_parquet(f"{sf_dir}/part.parquet", "part")
+    return spark.createDataFrame([(c["name"], c["type"], c["name"] in found.text_columns) for c in found.schema["columns"]], "name string, type string, searched boolean")
+
+
+QUERIES["c_columns"] = _catalogued_columns
+ORACLES["c_columns"] = "SELECT column_name AS name, CASE WHEN data_type = 'VARCHAR' THEN 'text' ELSE 'numeric' END AS type, data_type = 'VARCHAR' AS searched FROM information_schema.columns WHERE table_name = 'part'"
+
+
+def _page_with_total(t: Callable[[str], DataFrame]) -> DataFrame:
+    page = paging.query(t("orders").select(*_ORDER_COLUMNS), [_one("o_orderstatus", "=", "P")], "o_totalprice", "DESC", 1, 10, "o_orderkey")
+    return page.rows.withColumn("total", F.lit(page.total).cast("long"))
+
+
+add("q_page_with_total", _page_with_total, "SELECT o_orderkey, o_orderstatus, o_totalprice, (SELECT count(*) FROM orders WHERE o_orderstatus = 'P') AS total FROM orders WHERE o_orderstatus = 'P' ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 10")
+add(
+    "s_all",
+    lambda t: statistics.statistics(t("lineitem"), "l_quantity").select("count", "median", "min", "max", "p25", "p75", "p99"),
+    "SELECT count(l_quantity) AS count, median(l_quantity)::DOUBLE AS median, min(l_quantity)::DOUBLE AS min, max(l_quantity)::DOUBLE AS max, quantile_cont(l_quantity, 0.25)::DOUBLE AS p25, quantile_cont(l_quantity, 0.75)::DOUBLE AS p75, quantile_cont(l_quantity, 0.99)::DOUBLE AS p99 FROM lineitem",
+)
+add("a_summary", lambda t: rounded(agg.summarise(t("orders"), ["SUM(o_totalprice)"], date_column="o_orderdate", unit="year"), 2, "value"), "SELECT date_trunc('year', CAST(o_orderdate AS TIMESTAMP)) AS period, round(sum(o_totalprice), 2) AS value FROM orders GROUP BY 1")
 
 add("o_export_flat", lambda t: export.export_rows(t("nation"), [_one("n_regionkey", "=", 1)], row_id="n_nationkey"), "SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_regionkey = 1")
 add(
@@ -289,8 +385,6 @@ add(
 
 
 def _csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .session import shared_folder
-
     folder = shared_folder(spark, "csv")
     rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", F.to_date("o_orderdate").alias("o_orderdate"), F.round("o_totalprice", 2).alias("o_totalprice"))
     rows.orderBy("o_orderkey").write.csv(f"{folder}/raw.csv", header=True)

@@ -2,7 +2,7 @@ import pytest
 
 from lakemill.functions.stemmer import stem
 from lakemill.operators.filters import apply_filters
-from lakemill.operators.search import inverted_index, parse_query, search, search_page
+from lakemill.operators.search import SearchIndex, inverted_index, parse_query, search, search_page
 from lakemill.plans.operations import ResultCache, layout_advice, params_key, plan_facts, timed
 from lakemill.streaming.incremental import stream_csv, windowed_counts
 
@@ -48,7 +48,7 @@ def test_search_by_stems(spark):
     df = spark.createDataFrame([(1, "running shoes"), (2, "she runs home"), (3, "a runner")], "_row_id long, body string")
     assert sorted(r["_row_id"] for r in search(df, "run", stems=True).collect()) == [1, 2]
     assert [r["_row_id"] for r in search(df, '"runs shoe"', stems=True).collect()] == [1]
-    assert search(df, "run").count() == 0
+    assert search(df, "run", stems=False).count() == 0
 
 
 def test_index(texts):
@@ -56,6 +56,25 @@ def test_index(texts):
     assert rows["quick", 2] == [1, 2] and ("fox", 4) not in rows
 
 
+@pytest.mark.parametrize("query", ["quick", "quick fox", '"brown fox"', '"quick the fox"', "rabbit or bread", "quick -fox", "-fox", "the", "fox AND brown", '"quick quick"', "breads"])
+def test_search_by_an_index_is_that_of_the_texts(spark, texts, tmp_path, query):
+    index = SearchIndex(spark, f"file://{tmp_path}/index").build(texts, ["body"])
+    want = [(r["_row_id"], pytest.approx(r["score"])) for r in search(texts, query).collect()]
+    got = [(r["row_id"], r["score"]) for r in index.search(query).collect()]
+    assert got == want
+
+
+def test_index_is_built_once_and_dropped(spark, texts, tmp_path):
+    index = SearchIndex(spark, f"file://{tmp_path}/index")
+    with pytest.raises(LookupError):
+        index.search("fox")
+    assert not index.exists and index.build(texts, ["body"]).exists
+    index.build(texts.limit(0), ["body"])  # complete: kept
+    assert index.search("fox").count() == 3
+    assert index.drop() and not index.exists and not index.drop()
+    assert index.build(texts.limit(0), ["body"]).search("fox").count() == 0
+
+
 def test_pushed_filter(spark, tmp_path, people):
     people.write.parquet(f"file://{tmp_path}/p")
     facts = plan_facts(apply_filters(spark.read.parquet(f"file://{tmp_path}/p"), [{"column": "age", "operator": ">", "value": 3}]))
