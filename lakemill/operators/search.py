@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.stemmer import stem
-from ..functions.text import EDGE_AFTER, EDGE_BEFORE, STOP_WORDS, forms_of, joined, places, stemmed, words
+from ..functions.text import EDGE_AFTER, STOP_WORDS, forms_of, joined, places, stemmed, words
 from ..types import ROW_ID, TEXT, UnknownColumn, column_types, safe_name
 from .paging import PAGE_ROWS, Page
 
@@ -57,6 +57,11 @@ def query_words(query: Query) -> list[str]:
     return list(dict.fromkeys(w for b in query.branches for _, p in b for w in p if w))
 
 
+def _starting(forms: list[str]) -> str:
+    """Any of the words where no word goes on before it; the literal comes first, so that few places are looked at."""
+    return "(?:" + "|".join(rf"{w}(?<![\p{{L}}\p{{N}}]{w})" for w in forms) + ")"
+
+
 def _phrase(text: Column, phrase: list[str], forms: dict[str, list[str]]) -> Column:
     """Whether the words, in any of their forms, follow one another in a lower-case text; an empty one, a stop word, stands for any."""
     each = [forms.get(w, [w]) if w else None for w in phrase]
@@ -65,8 +70,8 @@ def _phrase(text: Column, phrase: list[str], forms: dict[str, list[str]]) -> Col
     while each and each[-1] is None:
         each.pop()
     gap = r"[^\p{L}\p{N}]+"
-    pattern = gap.join(r"[\p{L}\p{N}]+" if f is None else "(?:" + "|".join(f) + ")" for f in each)
-    fits = text.rlike(EDGE_BEFORE + pattern + EDGE_AFTER)
+    pattern = gap.join(r"[\p{L}\p{N}]+" if f is None else "(?:" + "|".join(f) + ")" for f in each[1:])
+    fits = text.rlike(_starting(each[0]) + (gap + pattern if pattern else "") + EDGE_AFTER)
     for f in each:  # plain substrings first: most texts lack them
         if f is not None:
             fits = reduce(or_, (F.contains(text, F.lit(w)) for w in f)) & fits
@@ -85,7 +90,7 @@ _SQUARES = list(accumulate(1.0 / (j * j) for j in range(1, 256)))
 
 def _often(text: Column, forms: list[str]) -> Column:
     """``sum(0.1 / j**2)`` over a term's occurrences in a lower-case text, up to 255 of them."""
-    n = F.regexp_count(text, F.lit(f"{EDGE_BEFORE}(?:{'|'.join(forms)}){EDGE_AFTER}"))
+    n = F.regexp_count(text, F.lit(_starting(forms) + EDGE_AFTER))
     return F.when(n > 0, 0.1 * F.element_at(F.array(*map(F.lit, _SQUARES)), F.least(n, F.lit(255)))).otherwise(0.0)
 
 
