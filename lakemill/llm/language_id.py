@@ -107,11 +107,11 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", bit
         seen: dict[str, np.ndarray] = {}
         for batch in slices(batches, limit=_SLICE):
             data, offs = text_bytes(batch.column("text"))
-            names = np.array(batch.column("lang").to_pylist(), object)
+            names, code = np.unique(np.array(batch.column("lang").to_pylist(), object), return_inverse=True)
             for bucket, of in grams(data, offs, bits):
-                of_gram = np.repeat(names, np.diff(of))
-                for lang in set(names.tolist()):
-                    seen[lang] = seen.get(lang, 0) + np.bincount(bucket[of_gram == lang], minlength=1 << bits)
+                of_gram = np.repeat(code, np.diff(of))
+                for k, lang in enumerate(names.tolist()):
+                    seen[lang] = seen.get(lang, 0) + np.bincount(bucket[of_gram == k], minlength=1 << bits)
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array([x.astype(np.int64).tobytes() for x in seen.values()], pa.binary())], ["lang", "counts"])
 
     def add(own: pd.DataFrame) -> pd.DataFrame:
