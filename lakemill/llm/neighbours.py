@@ -126,21 +126,27 @@ class Tables:
         return out
 
     def expected(self, q: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of asked queries the inner product expected of their ``_WIDE * k``-th of all rows, no less than of their k-th of the sample, and of their k-th; -inf with fewer in the sample.
+        """Of asked queries the inner product expected of their ``_WIDE * k``-th of all rows and of their k-th; -inf with fewer than k in the sample.
 
-        Near a query the number of rows within a distance goes with a power of it, which the sample's k nearest tell (Levina and Bickel, 2004).
+        Near a query the number of rows within a distance goes with a power of it, which the sample's k nearest tell (Levina and Bickel, 2004). A
+        sample of a third of the rows or more holds a row of about the first distance itself, or too few rows for any limit (-inf).
         """
         least, there = np.full(len(q), -np.inf), np.full(len(q), -np.inf)
+        share = len(self.ids) / max(self.rows, len(self.ids))
+        deep = max(self.k, math.ceil(_WIDE * self.k * share))
         for a in range(0, len(q), _QUERIES):
             near = np.where(self.ids[None, :] == own[a : a + _QUERIES, None], -np.inf, q[a : a + _QUERIES] @ self.points.T)
             if near.shape[1] < self.k:
                 continue
-            best = -np.sort(-np.partition(near, near.shape[1] - self.k, axis=1)[:, near.shape[1] - self.k :], axis=1)
-            far = np.sqrt(np.maximum(2 - 2 * best, 1e-12))
+            some = min(deep, near.shape[1])
+            best = -np.sort(-np.partition(near, near.shape[1] - some, axis=1)[:, near.shape[1] - some :], axis=1)
+            far = np.sqrt(np.maximum(2 - 2 * best[:, : self.k], 1e-12))
             power = max(self.k - 1, 1) / np.maximum(np.log(far[:, -1:] / far).sum(axis=1), 1e-9)
-            share, power = len(self.ids) / max(self.rows, len(self.ids)), 1 / np.clip(power, 1, 500)
-            shrunk, wide = far[:, -1] * share**power, far[:, -1] * min(1.0, _WIDE * share) ** power
-            fits = best[:, -1] > -np.inf
+            power = 1 / np.clip(power, 1, 500)
+            shrunk, wide = far[:, -1] * share**power, far[:, -1] * (_WIDE * share) ** power
+            if deep > self.k:
+                wide = np.sqrt(np.maximum(2 - 2 * best[:, -1], 1e-12)) if some == deep else np.full(len(best), np.inf)
+            fits = best[:, self.k - 1] > -np.inf
             least[a : a + _QUERIES][fits], there[a : a + _QUERIES][fits] = (1 - wide * wide / 2 - 1e-9)[fits], (1 - shrunk * shrunk / 2)[fits]
         return least, there
 
