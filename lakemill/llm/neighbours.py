@@ -125,13 +125,17 @@ class Tables:
             out[t] = slot.sum(axis=2) @ (1 << 2 * np.arange(axes.shape[1], dtype=np.int64))
         return out
 
-    def expected(self, q: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def expected(self, q: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, ...]:
         """Of asked queries the inner product expected of their ``_WIDE * k``-th of all rows and of their k-th; -inf with fewer than k in the sample.
 
+        Also the mean of the k nearest of the sample without its part along the query, and the root mean square distance from both parts: vectors
+        of unlike lengths all have a large last component, which no query has.
+
         Near a query the number of rows within a distance goes with a power of it, which the sample's k nearest tell (Levina and Bickel, 2004). A
         sample of a third of the rows or more holds a row of about the first distance itself, or too few rows for any limit (-inf).
         """
         least, there = np.full(len(q), -np.inf), np.full(len(q), -np.inf)
+        drift, spread = np.zeros_like(q), np.ones(len(q))
         share = len(self.ids) / max(self.rows, len(self.ids))
         deep = max(self.k, math.ceil(_WIDE * self.k * share))
         for a in range(0, len(q), _QUERIES):
@@ -139,7 +143,9 @@ class Tables:
             if near.shape[1] < self.k:
                 continue
             some = min(deep, near.shape[1])
-            best = -np.sort(-np.partition(near, near.shape[1] - some, axis=1)[:, near.shape[1] - some :], axis=1)
+            at = np.argpartition(near, near.shape[1] - some, axis=1)[:, near.shape[1] - some :]
+            at = np.take_along_axis(at, np.argsort(-np.take_along_axis(near, at, axis=1), axis=1), axis=1)
+            best = np.take_along_axis(near, at, axis=1)
             far = np.sqrt(np.maximum(2 - 2 * best[:, : self.k], 1e-12))
             power = max(self.k - 1, 1) / np.maximum(np.log(far[:, -1:] / far).sum(axis=1), 1e-9)
             power = 1 / np.clip(power, 1, 500)
@@ -148,18 +154,23 @@ class Tables:
                 wide = np.sqrt(np.maximum(2 - 2 * best[:, -1], 1e-12)) if some == deep else np.full(len(best), np.inf)
             fits = best[:, self.k - 1] > -np.inf
             least[a : a + _QUERIES][fits], there[a : a + _QUERIES][fits] = (1 - wide * wide / 2 - 1e-9)[fits], (1 - shrunk * shrunk / 2)[fits]
-        return least, there
-
-    def visits(self, q: np.ndarray, there: float, recall: float) -> list[np.ndarray]:
+            mean = self.points[at[:, : self.k]].mean(axis=1)
+            along = np.where(fits[:, None], best[:, : self.k], 0)
+            mean -= along.mean(axis=1)[:, None] * q[a : a + _QUERIES]
+            left = 1 - (along * along).mean(axis=1) - (mean * mean).sum(axis=1)
+            drift[a : a + _QUERIES], spread[a : a + _QUERIES] = mean, np.sqrt(np.maximum(left * (1 + 2 / self.k), 1e-6))
+        return least, there, drift, spread
+
+    def visits(self, q: np.ndarray, there: float, drift: np.ndarray, spread: float, recall: float) -> list[np.ndarray]:
         """The buckets that one asked query visits in each table, for a neighbour at the inner product ``there``.
 
-        On a projection such a neighbour lies normally about ``there`` times the query's place, with variance ``1 - there ** 2``.
+        On a projection such a neighbour lies normally about the place of ``there * q + drift``, with the deviation ``spread``.
         """
         share = 1 - (1 - recall) ** (1 / len(self.axes))
-        spread = math.sqrt(max(1 - there * there, 1e-6))
+        mean = there * q + drift
         out = []
         for axes, edges in zip(self.axes, self.edges):
-            below = _normal((edges - there * (q @ axes)[:, None]) / spread)
+            below = _normal((edges - (mean @ axes)[:, None]) / spread)
             out.append(probes(np.diff(below, axis=1, prepend=0, append=1), share))
         return out
 
@@ -298,11 +309,11 @@ def _indexed(rows: DataFrame, queries: DataFrame, n: int, k: int, recall: float,
             raw, ids = batch.column("raw").to_pylist(), batch.column("id").to_numpy()
             v = matrix(raw)
             q = shared.value.asked(v)
-            least, there = shared.value.expected(q, ids)
+            least, there, drift, spread = shared.value.expected(q, ids)
             least = least * np.sqrt((v * v).sum(axis=1)) * longest  # of the vectors as they are
             out = []
             for i in np.flatnonzero(there > -np.inf).tolist():
-                for t, code in enumerate(shared.value.visits(q[i], float(there[i]), recall)):
+                for t, code in enumerate(shared.value.visits(q[i], float(there[i]), drift[i], float(spread[i]), recall)):
                     part, subs = place(t, code)
                     for hit in np.flatnonzero(subs).tolist():
                         out += [(t, int(part[hit]), s, ids[i], raw[i], least[i], code[hit : hit + 1].tobytes()) for s in range(subs[hit])]

@@ -353,10 +353,10 @@ def test_share_of_the_rows_that_visits_open(kind):
     code = tables.buckets(x)
     asked = ids[::250]
     q = tables.asked(x[asked])
-    _, there = tables.expected(q, asked)
+    _, there, drift, spread = tables.expected(q, asked)
     opened, scored, hit = 0, 0, 0
     for i, own in enumerate(asked):
-        found = np.array([np.isin(code[t], some) for t, some in enumerate(tables.visits(q[i], float(there[i]), 0.93))])
+        found = np.array([np.isin(code[t], some) for t, some in enumerate(tables.visits(q[i], float(there[i]), drift[i], float(spread[i]), 0.93))])
         opened, scored = opened + found.any(axis=0).mean() / len(asked), scored + found.sum() / len(x) / len(asked)
         near = x @ x[own]
         near[own] = -9
