@@ -336,7 +336,7 @@ def _indexed(rows: DataFrame, queries: DataFrame, n: int, k: int, recall: float,
     return _answers(scratch.table(want, f"{name}-visits"), have, k, scratch, name)
 
 
-def nearest(table: DataFrame, is_query: Column, k: int = 20, recall: float = 0.93, tables: int = 6, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(table: DataFrame, is_query: Column, k: int = 20, recall: float = 0.94, tables: int = 6, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``(query_id, rank, vec_id, score)``: of each query row the ``k`` rows found with the largest inner product.
 
     Nearest first, equal scores by the smaller id. Candidates are all rows with another id and a vector of the query's length, scored in double precision
