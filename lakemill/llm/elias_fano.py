@@ -11,6 +11,8 @@ import mmap
 import numpy as np
 
 _ONE, _63 = np.uint64(1), np.uint64(63)
+#: Numbers that are coded at a time.
+_BLOCK = 1 << 16
 
 
 def _firsts(values: np.ndarray) -> np.ndarray:
@@ -19,15 +21,16 @@ def _firsts(values: np.ndarray) -> np.ndarray:
 
 
 def _pack(values: np.ndarray, bits: int) -> np.ndarray:
-    """Numbers of ``bits`` bits end to end in 64-bit words, and a word to spare."""
+    """The lowest ``bits`` bits of numbers end to end in 64-bit words, and a word to spare."""
     out = np.zeros(len(values) * bits // 64 + 2, np.uint64)
-    if bits and len(values):
-        at = np.arange(len(values), dtype=np.uint64) * np.uint64(bits)
+    for a in range(0, len(values) if bits else 0, _BLOCK):
+        some = values[a : a + _BLOCK] & np.uint64((1 << bits) - 1)
+        at = np.arange(a, a + len(some), dtype=np.uint64) * np.uint64(bits)
         word, shift = (at >> np.uint64(6)).astype(np.int64), at & _63
         first = _firsts(word)
-        out[word[first]] = np.bitwise_or.reduceat(values << shift, first)
+        out[word[first]] |= np.bitwise_or.reduceat(some << shift, first)
         over = np.flatnonzero(shift + np.uint64(bits) > np.uint64(64))  # a word takes at most one number's rest
-        out[word[over] + 1] |= values[over] >> (np.uint64(64) - shift[over])
+        out[word[over] + 1] |= some[over] >> (np.uint64(64) - shift[over])
     return out
 
 
@@ -41,17 +44,18 @@ class EliasFano:
 
     @classmethod
     def of(cls, values: np.ndarray) -> EliasFano:
-        values = values.astype(np.uint64)
+        values = values.astype(np.uint64, copy=False)
         n = len(values)
         span = int(values[-1]) + 1 if n else 1
         bits = max(0, (span // max(n, 1)).bit_length() - 1)
-        ones = (values >> np.uint64(bits)) + np.arange(n, dtype=np.uint64)
-        high = np.zeros(int(ones[-1]) // 64 + 1 if n else 0, np.uint64)
-        if n:
+        high = np.zeros(((int(values[-1]) >> bits) + n - 1) // 64 + 1 if n else 0, np.uint64)
+        for a in range(0, n, _BLOCK):
+            some = values[a : a + _BLOCK]
+            ones = (some >> np.uint64(bits)) + np.arange(a, a + len(some), dtype=np.uint64)
             word = (ones >> np.uint64(6)).astype(np.int64)
             first = _firsts(word)
-            high[word[first]] = np.bitwise_or.reduceat(_ONE << (ones & _63), first)
-        return cls(n, bits, _pack(values & np.uint64((1 << bits) - 1), bits), high)
+            high[word[first]] |= np.bitwise_or.reduceat(_ONE << (ones & _63), first)
+        return cls(n, bits, _pack(values, bits), high)
 
     def get(self, at: np.ndarray) -> np.ndarray:
         """The numbers at these places."""
@@ -73,7 +77,7 @@ class EliasFano:
             out |= low & np.uint64((1 << self.bits) - 1)
         return out
 
-    def successors(self, wanted: np.ndarray, block: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
+    def successors(self, wanted: np.ndarray, block: int = _BLOCK) -> tuple[np.ndarray, np.ndarray]:
         """For ascending ``wanted`` the place of the first number not less, and whether it is equal; reads the whole sequence once, a block at a time."""
         at, equal = np.full(len(wanted), self.n, np.int64), np.zeros(len(wanted), bool)
         done = 0
@@ -130,8 +134,9 @@ class BigramTrie:
         """The first three by ascending (context, word), without repeats; ``counts`` has a number per distinct context."""
         first = _firsts(context)
         vocabulary = np.unique(word)
-        number = np.repeat(np.arange(len(first), dtype=np.uint64), np.diff(np.append(first, len(context))))
-        key = number * np.uint64(max(1, len(vocabulary))) + np.searchsorted(vocabulary, word).astype(np.uint64)
+        key = np.repeat(np.arange(len(first), dtype=np.uint64) * np.uint64(max(1, len(vocabulary))), np.diff(np.append(first, len(context))))
+        for a in range(0, len(word), _BLOCK):
+            key[a : a + _BLOCK] += np.searchsorted(vocabulary, word[a : a + _BLOCK]).astype(np.uint64)
         sums = np.append(0, np.cumsum(counts, dtype=np.int64))
         return cls(*(EliasFano.of(x) for x in (context[first], sums, vocabulary, np.append(first, len(context)), key)), *quantised(value))
 

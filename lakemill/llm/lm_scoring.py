@@ -33,6 +33,8 @@ HEAD = BROADCAST_BYTES // 32
 SHARD = 2_500_000
 #: Bytes of text that a task sorts at a time.
 _SLICE = 8 << 20
+#: Tokens that are dealt at a time.
+_STEP = 1 << 18
 _BEGIN, _END = np.uint64(0x1B873593CC9E2D51), np.uint64(0x85EBCA6BC2B2AE35)
 #: The word before is told from others before the same word by so many bits of its hash, as bytes.
 _BEFORE = 6
@@ -81,6 +83,27 @@ def _runs(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def _packed(word: np.ndarray, before: np.ndarray, doc: np.ndarray) -> tuple[bytes, ...]:
+    """Tokens as ``(word, fan, before, times, docs)``: each word, how many words come before it, those, how often each does, and the texts of them all."""
+    order = np.lexsort((before, word))
+    word, before = word[order], before[order]
+    pair, first = _runs(word, before), _runs(word)
+    fan = np.diff(np.append(np.searchsorted(pair, first), len(pair)))
+    return word[first].tobytes(), _small(fan), _short_bytes(before[pair]), _small(np.diff(np.append(pair, len(word)))), doc[order].tobytes()
+
+
+def _pairs(got: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Words and the words before them of all packed rows, end to end."""
+    ends = np.cumsum(got["before"].map(len).to_numpy(np.int64) // _BEFORE)
+    word, before = np.empty(ends[-1], np.uint64), np.empty(ends[-1], np.uint64)
+    for b, r in zip(ends.tolist(), got.itertuples()):
+        n = len(r.before) // _BEFORE
+        words = np.frombuffer(r.word, np.uint64)
+        word[b - n : b] = np.repeat(words, _from_small(r.fan, len(words)))
+        before[b - n : b] = _from_short(r.before)
+    return word, before
+
+
 def _count_words(rows: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,16 +133,41 @@ class _Dealing:
             out = np.where(table[at] == w, n[at], out)
         return np.where(w == _END, self.trained, out)
 
-    def bigrams(self, batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-        """``(shard, word, before, text)`` of every token by ascending order of them, and how many tokens each text has."""
-        tokens, of = _tokens(batch)
-        doc = np.repeat(np.arange(batch.num_rows, dtype=np.uint32), np.diff(of))
-        before = np.concatenate([[_BEGIN], tokens[:-1]]) if len(tokens) else tokens
-        before[of[:-1]] = _BEGIN
+    def shard_of(self, tokens: np.ndarray, before: np.ndarray) -> np.ndarray:
+        kind = np.uint16 if self.shards <= 1 << 16 else np.uint32  # numpy sorts short numbers by their digits
+        out = np.empty(len(tokens), kind)
+        for a in range(0, len(tokens), _STEP):
+            w = tokens[a : a + _STEP]
+            to, spread = mix(w), np.flatnonzero(self.counts(w) >= 0)
+            to[spread] = mix(before[a : a + _STEP][spread] ^ to[spread])
+            out[a : a + _STEP] = to % np.uint64(self.shards)
+        return out
+
+    def bigrams(self, batch: pa.RecordBatch) -> tuple[np.ndarray, Iterator[tuple]]:
+        """How many tokens each text has, and ``(shard, word, fan, before, times, docs)`` of each shard with a token, as :func:`_packed` has them.
+
+        Texts are cut into words a megabyte at a time and each shard's tokens are sorted by themselves, so little more than the tokens is held.
+        """
+        parts = [_tokens(piece) for piece in slices([batch])]
+        tokens = np.concatenate([t for t, _ in parts]) if parts else np.empty(0, np.uint64)
+        length = np.concatenate([np.diff(of) for _, of in parts]) if parts else np.empty(0, np.int64)
+        del parts
+        before = np.empty_like(tokens)
+        before[1:] = tokens[:-1]
+        before[np.cumsum(length) - length] = _BEGIN
         before = _short(before)
-        shard = (np.where(self.counts(tokens) >= 0, mix(before ^ mix(tokens)), mix(tokens)) % np.uint64(self.shards)).astype(np.int64)
-        order = np.lexsort((before, tokens, shard))
-        return shard[order], tokens[order], before[order], doc[order], np.diff(of)
+        shard = self.shard_of(tokens, before)
+        order = np.argsort(shard, kind="stable").astype(np.uint32)
+        ends = np.cumsum(np.bincount(shard, minlength=self.shards))
+        doc = np.repeat(np.arange(batch.num_rows, dtype=np.uint16 if batch.num_rows <= 1 << 16 else np.uint32), length)
+        del shard
+
+        def shards() -> Iterator[tuple]:
+            for k in np.flatnonzero(np.diff(ends, prepend=0)).tolist():
+                some = order[ends[k - 1] if k else 0 : ends[k]]
+                yield k, *_packed(tokens[some], before[some], doc[some])
+
+        return length, shards()
 
 
 @dataclass
@@ -148,22 +196,17 @@ class LanguageModel:
         def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part, k = TaskContext.get().partitionId(), 0
             for batch in slices(batches, limit=_SLICE):
-                shard, word, before, doc, length = dealing.bigrams(batch)
+                length, shards = dealing.bigrams(batch)
                 here = (part << 24) + k
                 cut = (part + k) % cuts
                 k += 1
                 ids = batch.column("doc_id")
                 null, held = (np.packbits(x.to_numpy(zero_copy_only=False).astype(bool)).tobytes() for x in (ids.is_null(), batch.column("held")))
                 out = [(-1 - (part + k) % dealing.shards, cut, here, ids.fill_null(0).to_numpy().astype(np.int64).tobytes(), null, length.astype(np.int64).tobytes(), held, b"")]
-                pair, first, begin = _runs(shard, word, before), _runs(shard, word), _runs(shard)
-                kind = np.uint16 if batch.num_rows <= 1 << 16 else np.uint32
-                for a, b in zip(begin, np.append(begin[1:], len(shard))):  # only shards that the slice has a token for
-                    some = pair[np.searchsorted(pair, a) : np.searchsorted(pair, b)]
-                    words = first[np.searchsorted(first, a) : np.searchsorted(first, b)]
-                    fan = np.diff(np.append(np.searchsorted(some, words), len(some)))
-                    out.append((int(shard[a]), cut, here, word[words].tobytes(), _small(fan), _short_bytes(before[some]), _small(np.diff(np.append(some, b))), doc[a:b].astype(kind).tobytes()))
+                out += [(shard, cut, here, *packed) for shard, *packed in shards]  # only shards that the slice has a token for
                 kinds = (pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 5)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["shard", "cut", "slice", "word", "fan", "before", "times", "docs"])
+                del out, shards  # before the next slice is made
 
         sent = rows.mapInArrow(send, "shard int, cut int, slice long, word binary, fan binary, before binary, times binary, docs binary")
 
@@ -172,33 +215,31 @@ class LanguageModel:
                 return pd.DataFrame({"slice": pd.Series(dtype=np.int64), "own": pd.Series(dtype=bool), **{c: pd.Series(dtype=object) for c in "abcd"}})
             if key[0] < 0:  # the slices' own rows pass through, dealt as evenly as the shards
                 return pd.DataFrame({"slice": got["slice"], "own": True, "a": got["word"], "b": got["fan"], "c": got["before"], "d": got["times"]})
-            parts = []
-            for r in got.itertuples():
-                words = np.frombuffer(r.word, np.uint64)
-                before = _from_short(r.before)
-                times = _from_small(r.times, len(before))
-                doc = np.frombuffer(r.docs, np.uint16 if len(r.docs) == 2 * int(times.sum()) else np.uint32)
-                parts.append((np.repeat(words, _from_small(r.fan, len(words))), before, times, doc))
-            word, before = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+            word, before = _pairs(got)
             order = np.lexsort((before, word))
             word, before = word[order], before[order]
             new = _runs(word, before)
-            back = np.empty(len(order), np.int64)
-            back[order] = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(order))))
+            back = np.empty(len(order), np.uint32)
+            back[order] = np.repeat(np.arange(len(new), dtype=np.uint32), np.diff(np.append(new, len(order))))
             del order
             word, before = word[new], before[new]
+            del new
             counts, has, log_p = BigramTrie.mapped(tries["trie"].iloc[0]).find(word, before) if len(tries) else (np.zeros(len(word), np.int64), np.zeros(len(word), bool), np.zeros(len(word)))
             spread = dealing.counts(word)
             known = np.where(spread >= 0, spread, counts)
             # the token's own share, without the context's count, which the context's shard takes off: the end is no context
             log_p = np.where(has, log_p, np.log10(mu * (known + alpha) / size)) - np.where(word == _END, 0.0, np.log10(known + mu))
             log_base = np.log10(known + alpha)
+            learns = known > 0
+            del word, before, counts, has, spread, known
             rows, at = [], 0
-            for r, (w, _, times, doc) in zip(got.itertuples(), parts):
-                each = np.repeat(back[at : at + len(w)], times)
-                at += len(w)
+            for r in got.itertuples():
+                times = _from_small(r.times, len(r.before) // _BEFORE)
+                doc = np.frombuffer(r.docs, np.uint16 if len(r.docs) == 2 * int(times.sum()) else np.uint32)
+                each = np.repeat(back[at : at + len(times)], times)
+                at += len(times)
                 m = int(doc.max()) + 1
-                score, base, learnt = np.bincount(doc, log_p[each], m), np.bincount(doc, log_base[each], m), np.bincount(doc, known[each] > 0, m)
+                score, base, learnt = np.bincount(doc, log_p[each], m), np.bincount(doc, log_base[each], m), np.bincount(doc, learns[each], m)
                 some = np.flatnonzero(np.bincount(doc, minlength=m))
                 rows.append((r.slice, False, some.astype(np.uint32).tobytes(), score[some].tobytes(), base[some].tobytes(), learnt[some].astype(np.uint32).tobytes()))
             return pd.DataFrame(rows, columns=["slice", "own", "a", "b", "c", "d"])
@@ -241,35 +282,28 @@ def train(docs: DataFrame, mu: float = 20.0, alpha: float = 0.1, text_col: str =
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, limit=_SLICE):
-            shard, word, before, _, _ = dealing.bigrams(batch)
-            pair, first, begin = _runs(shard, word, before), _runs(shard, word), _runs(shard)
-            out = []
-            for a, b in zip(begin, np.append(begin[1:], len(shard))):
-                some = pair[np.searchsorted(pair, a) : np.searchsorted(pair, b)]
-                words = first[np.searchsorted(first, a) : np.searchsorted(first, b)]
-                fan = np.diff(np.append(np.searchsorted(some, words), len(some)))
-                out.append((int(shard[a]), word[words].tobytes(), _small(fan), _short_bytes(before[some]), _small(np.diff(np.append(some, b)))))
+            out = [packed[:5] for packed in dealing.bigrams(batch)[1]]
             kinds = (pa.int32(), *[pa.binary()] * 4)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["shard", "word", "fan", "before", "times"])
+            del out  # before the next slice is made
 
     def build(key: tuple, got: pd.DataFrame) -> pd.DataFrame:
-        parts = []
-        for r in got.itertuples():
-            words, before = np.frombuffer(r.word, np.uint64), _from_short(r.before)
-            parts.append((np.repeat(words, _from_small(r.fan, len(words))), before, _from_small(r.times, len(before))))
-        word, before, times = (np.concatenate([p[k] for p in parts]) for k in range(3))
-        del parts
+        word, before = _pairs(got)
+        times = np.concatenate([_from_small(r.times, len(r.before) // _BEFORE).astype(np.uint32) for r in got.itertuples()])
         order = np.lexsort((before, word))
         word, before, times = word[order], before[order], times[order]
+        del order
         new = _runs(word, before)
         word, before, times = word[new], before[new], sums(times, np.append(new, len(times)))
+        del new
         first = _runs(word)
         of = np.append(first, len(word))
         spread = dealing.counts(word[first])
         known = np.where(spread >= 0, spread, sums(times, of))
-        p = (np.repeat(known, np.diff(of)) + alpha) / size
-        return pd.DataFrame({"shard": [key[0]], "trie": [BigramTrie.of(word, before, np.log10(times + mu * p), known).to_bytes()]})
+        value = np.log10(times + np.repeat(mu * (known + alpha) / size, np.diff(of)))
+        del times
+        return pd.DataFrame({"shard": [key[0]], "trie": [BigramTrie.of(word, before, value, known).to_bytes()]})
 
     built = rows.mapInArrow(send, "shard int, word binary, fan binary, before binary, times binary").groupBy("shard").applyInPandas(build, "shard int, trie binary")
     return LanguageModel(scratch.table(built, "tries"), dealing, n, v, mu, alpha)

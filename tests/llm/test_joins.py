@@ -2,13 +2,17 @@
 
 import collections
 import math
+import tracemalloc
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lakemill.llm import components, elias_fano, embedding_dedup, lm_scoring, neighbours, ngram_join, url_filter
+from lakemill.llm.bytewords import mix
 from lakemill.llm.components import connected_components
 from lakemill.llm.queries import ORACLES, QUERIES, SITE_RULES
 from lakemill.llm.scratch import Scratch
@@ -513,6 +517,33 @@ def test_words_beyond_the_head_keep_their_own_probability(docs, head, shard, mon
     check_scores(docs, rows, F.col("doc_id") % 3 == 0)
 
 
+def peak(run):
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_memory_of_a_slice_and_of_a_trie():
+    """Bytes a token at the peak; 64 and 163 before texts were cut, dealt and coded in steps."""
+    rng = np.random.default_rng(1)
+    texts = [" ".join(f"w{k}" for k in rng.zipf(1.3, 1000) % 50_000) for _ in range(400)]
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(texts)})
+    none = SimpleNamespace(value=(np.empty(0, np.uint64), np.empty(0, np.int64)))
+    dealing, n = lm_scoring._Dealing(8, 400, none), 401_000
+
+    def deal():
+        for x in dealing.bigrams(batch)[1]:
+            assert len(x) == 6
+
+    assert peak(deal) < 50 * n
+    words = np.sort(rng.integers(0, 1 << 60, n).astype(np.uint64))
+    args = (words, mix(words), np.linspace(0, 1, n), np.ones(n, np.int64))
+    assert peak(lambda: elias_fano.BigramTrie.of(*args)) < 90 * n
+
+
 def test_scores_of_odd_rows(odd_docs, no_docs):
     got = lm_scoring.score_texts(odd_docs, F.col("doc_id") == 3).collect()
     assert len(got) == odd_docs.count() and {r["doc_id"] for r in got if r["held_out"]} == {3, None}
