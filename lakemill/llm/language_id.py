@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import slices, sums, text_bytes
-from .scratch import BROADCAST_BYTES, bounded_broadcast, sampled
+from .scratch import BROADCAST_BYTES, bounded_broadcast, sampled, trim
 
 #: Labelled rows that a model is fitted on, at most (about: rows are taken by a hash of their text and id).
 TRAINING_ROWS = 20_000
@@ -135,6 +135,7 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> t
 
     @F.pandas_udf("lang string, score double")
     def predict(texts):  # noqa: ANN001, ANN202
+        trim()
         out = []
         for piece in slices([pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])], limit=_SLICE):
             lang, score = shared.value.scores(piece.column("text")) if shared.value.languages else ([UNDETERMINED] * piece.num_rows, np.zeros(piece.num_rows))

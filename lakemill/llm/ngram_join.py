@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .bytewords import mix, shingle_hashes, slices, span_hashes, text_bytes, word_spans
 from .components import connected_components, least_linked
-from .scratch import Scratch, bounded_broadcast, matching
+from .scratch import Scratch, bounded_broadcast, matching, trim
 
 #: Documents that hold a token, from which it comes last in the order.
 FREQUENT = 32
@@ -89,6 +89,7 @@ def frequent_tokens(rows: DataFrame, words: int, buckets: int) -> DataFrame:
     """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         for batch in slices(batches, limit=4 << 20):
             all_sets = [s[: np.searchsorted(s, _COUNTED)] for s in _sets(batch, words)]
             tokens = np.sort(np.concatenate([np.empty(0, np.uint64), *all_sets]))
@@ -97,6 +98,7 @@ def frequent_tokens(rows: DataFrame, words: int, buckets: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in cuts], pa.int32()), pa.array([tokens[a:b].tobytes() for _, a, b in cuts], pa.binary())], ["bucket", "tokens"])
 
     def count(rows: pd.DataFrame) -> pd.DataFrame:
+        trim()
         tokens, held = np.unique(np.frombuffer(b"".join(rows["tokens"]), np.uint64), return_counts=True)
         return pd.DataFrame({"token": tokens[held > FREQUENT].view(np.int64), "held": held[held > FREQUENT]})
 
@@ -108,6 +110,7 @@ def sketches(rows: DataFrame, frequent: np.ndarray, words: int, percent: int) ->
     shared = bounded_broadcast(rows.sparkSession, frequent, frequent.nbytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         late = shared.value
         for batch in slices(batches):
             out = []
@@ -196,6 +199,7 @@ def _meet(grouped: DataFrame, percent: int, buckets: int) -> DataFrame:
     """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         for batch in batches:
             group, size, slack, rare = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("group", "size", "slack", "rare"))
             length = np.diff(batch.column("sketch").offsets.to_numpy())
@@ -214,18 +218,23 @@ def _meet(grouped: DataFrame, percent: int, buckets: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int32()))], ["bucket", "tokens", "places", "groups", "n"])
 
     def pair(rows: pd.DataFrame) -> pd.DataFrame:
+        trim()
         tokens = np.frombuffer(b"".join(rows["tokens"]), np.uint64)
         lists = np.concatenate([np.frombuffer(x, np.int64).reshape(3, -1) for x in rows["groups"]], axis=1)
         base = np.cumsum(rows["n"].to_numpy()) - rows["n"].to_numpy()
         coded = [np.frombuffer(x, np.uint32) for x in rows["places"]]
         low = np.concatenate([c >= np.uint32(1 << 31) for c in coded])
-        place = np.concatenate([(c & np.uint32(0x7FFFFFFF)).astype(np.int64) + b for c, b in zip(coded, base)])
+        place = np.concatenate([(c & np.uint32(0x7FFFFFFF)) + np.uint32(b) for c, b in zip(coded, base)])
+        del coded
         _, kind, held = np.unique(tokens, return_inverse=True, return_counts=True)
         met = held[kind] > 1
+        del tokens, held
         kind, place, low = kind[met], place[met], low[met]
         group, size, slack = lists[:, place]
+        del met, place, lists
         order = np.lexsort((-slack, group, kind))
         kind, group, size, slack, low = (x[order] for x in (kind, group, size, slack, low))
+        del order
         once = np.concatenate([[True], (kind[1:] != kind[:-1]) | (group[1:] != group[:-1])]) if len(kind) else np.empty(0, bool)
         kind, group, size, slack, low = (x[once] for x in (kind, group, size, slack, low))
         run = np.bincount(kind)[kind] if len(kind) else kind
@@ -292,6 +301,7 @@ def _compared_in_blocks(members: DataFrame, rows: DataFrame, words: int, percent
     sets = _node_sets(rows, members.select("node"), words).join(placed, "node").select("cluster", "node", "tokens", "large", "cell.kind", "cell.x", "cell.y")
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        trim()
         cells = [one_cell(got) for _, got in rows.groupby(["cluster", "kind", "x", "y"]) if len(got) > 1]
         return pd.concat(cells) if cells else pd.DataFrame({"a": pd.Series(dtype=np.int64), "b": pd.Series(dtype=np.int64)})
 

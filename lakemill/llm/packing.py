@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import slices
-from .scratch import Scratch, bounded_broadcast
+from .scratch import Scratch, bounded_broadcast, trim
 
 #: Rows that one task packs at a time.
 BLOCK_ROWS = 32_768
@@ -211,6 +211,7 @@ def cut_into_pieces(docs: DataFrame, tokenizer: bytes, end_id: int, window: int,
     close = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         coder = WordIds(shared.value)
         for batch in slices(batches, limit=1 << 20):
             rows: list[tuple[int, int, int, int, int]] = []

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import slices, span_hashes, sums, text_bytes, word_spans
-from .scratch import BROADCAST_BYTES, Scratch, bounded_broadcast, sampled
+from .scratch import BROADCAST_BYTES, Scratch, bounded_broadcast, sampled, trim
 
 #: Labelled documents that the classifier is fitted on, at most (about: they are taken by a hash of the id).
 TRAINING_ROWS = 20_000
@@ -172,6 +172,7 @@ def judge(docs: DataFrame, labels: DataFrame, classifier: Classifier | None = No
     shared = bounded_broadcast(spark, classifier, 8 * (len(classifier.weights) + 3 * len(classifier.mean)))
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("host"), batch.column("path"), pa.array(shared.value.evidence(batch.column("text")), pa.float64())], ["id", "host", "path", "evidence"])
 
