@@ -1,6 +1,8 @@
+import pyarrow as pa
 import pytest
 
 from lakemill.functions.stemmer import stem
+from lakemill.operators import search as search_module
 from lakemill.operators.filters import apply_filters
 from lakemill.operators.search import SearchIndex, inverted_index, parse_query, search, search_page
 from lakemill.plans.operations import ResultCache, layout_advice, params_key, plan_facts, timed
@@ -64,6 +66,21 @@ def test_search_by_an_index_is_that_of_the_texts(spark, texts, tmp_path, query):
     assert got == want
 
 
+def test_an_index_holds_a_row_per_term_of_many_texts(spark, tmp_path, monkeypatch):
+    """Not one per text and term; pieces of few words and a repeated id give the same places."""
+    rows = [(k % 300, f"words of text word{k} words") for k in range(301)]
+    df = spark.createDataFrame(rows, "_row_id long, body string").coalesce(1)
+    index = SearchIndex(spark, f"file://{tmp_path}/index").build(df, ["body"])
+    assert spark.read.parquet(f"file://{tmp_path}/index/terms").count() == 301 + 3
+    assert index.search("words text").count() == 300 and index.search("word300 word0").count() == 1
+    batch = pa.RecordBatch.from_pydict({"row_id": [k for k, _ in rows], "words": [t.split() for _, t in rows]})
+    told = lambda: sorted((t, i, p) for b in search_module._postings([batch]) for r in b.to_pylist() for t, i, p in zip([r["term"]] * len(r["rows"]), r["rows"], map(tuple, r["places"])))
+    want = told()
+    monkeypatch.setattr(search_module, "SORTED_WORDS", 7)
+    monkeypatch.setattr(search_module, "REMEMBERED", 2)
+    assert told() == want and ("word", 5, (1, 5)) in want
+
+
 def test_index_is_built_once_and_dropped(spark, texts, tmp_path):
     index = SearchIndex(spark, f"file://{tmp_path}/index")
     with pytest.raises(LookupError):
