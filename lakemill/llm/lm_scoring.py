@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .bytewords import mix, slices, span_hashes, sums, text_bytes, word_spans
 from .elias_fano import BigramTrie
-from .scratch import BROADCAST_BYTES, Scratch, bounded_broadcast
+from .scratch import BROADCAST_BYTES, Scratch, bounded_broadcast, trim
 
 #: Words that are dealt over shards by the word before them, at most; their counts are broadcast. Any number gives the same scores:
 #: a word that comes after the first ``HEAD`` by count has under a ``HEAD``-th of all tokens, and stays with its shard.
@@ -35,6 +35,8 @@ SHARD = 2_500_000
 _SLICE = 8 << 20
 #: Tokens that are dealt at a time.
 _STEP = 1 << 18
+#: Tokens that a task looks up in a shard's trie at a time, about: whole slices' rows.
+_ASKED = 1 << 19
 _BEGIN, _END = np.uint64(0x1B873593CC9E2D51), np.uint64(0x85EBCA6BC2B2AE35)
 #: The word before is told from others before the same word by so many bits of its hash, as bytes.
 _BEFORE = 6
@@ -106,6 +108,7 @@ def _pairs(got: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def _count_words(rows: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         for batch in batches:
             parts = [np.unique(_tokens(piece)[0], return_counts=True) for piece in slices([batch])]
             if parts:
@@ -170,6 +173,44 @@ class _Dealing:
         return length, shards()
 
 
+def _found(dealing: _Dealing, got: pd.DataFrame, trie: BigramTrie | None, mu: float, alpha: float, size: float) -> Iterator[tuple]:
+    """``(slice, texts, score, base, known)`` of each packed row of a shard: the sums over its tokens in each of those texts.
+
+    Rows of about ``_ASKED`` tokens are looked up at a time, so a task holds little beside the rows and the trie.
+    """
+    step = np.cumsum(got["before"].map(len).to_numpy(np.int64) // _BEFORE) // _ASKED
+    cuts = [*_runs(step).tolist(), len(got)]
+    for first, last in zip(cuts, cuts[1:]):
+        some = got.iloc[first:last]
+        word, before = _pairs(some)
+        order = np.lexsort((before, word))
+        word, before = word[order], before[order]
+        new = _runs(word, before)
+        back = np.empty(len(order), np.uint32)
+        back[order] = np.repeat(np.arange(len(new), dtype=np.uint32), np.diff(np.append(new, len(order))))
+        del order
+        word, before = word[new], before[new]
+        del new
+        counts, has, log_p = trie.find(word, before) if trie else (np.zeros(len(word), np.int64), np.zeros(len(word), bool), np.zeros(len(word)))
+        spread = dealing.counts(word)
+        known = np.where(spread >= 0, spread, counts)
+        # the token's own share, without the context's count, which the context's shard takes off: the end is no context
+        log_p = np.where(has, log_p, np.log10(mu * (known + alpha) / size)) - np.where(word == _END, 0.0, np.log10(known + mu))
+        log_base = np.log10(known + alpha)
+        learns = known > 0
+        del word, before, counts, has, spread, known
+        at = 0
+        for r in some.itertuples():
+            times = _from_small(r.times, len(r.before) // _BEFORE)
+            doc = np.frombuffer(r.docs, np.uint16 if len(r.docs) == 2 * int(times.sum()) else np.uint32)
+            each = np.repeat(back[at : at + len(times)], times)
+            at += len(times)
+            m = int(doc.max()) + 1
+            score, base, learnt = np.bincount(doc, log_p[each], m), np.bincount(doc, log_base[each], m), np.bincount(doc, learns[each], m)
+            held = np.flatnonzero(np.bincount(doc, minlength=m))
+            yield r.slice, held.astype(np.uint32), score[held], base[held], learnt[held].astype(np.uint32)
+
+
 @dataclass
 class LanguageModel:
     """A trained model: ``tries (shard, trie)`` is a table in the shared folder with a row per shard, some megabytes each."""
@@ -194,6 +235,7 @@ class LanguageModel:
         cuts = int(((asked[1] or 0) / 6 + asked[0]) / dealing.shards / (2 * SHARD)) + 1
 
         def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            trim()
             part, k = TaskContext.get().partitionId(), 0
             for batch in slices(batches, limit=_SLICE):
                 length, shards = dealing.bigrams(batch)
@@ -211,37 +253,13 @@ class LanguageModel:
         sent = rows.mapInArrow(send, "shard int, cut int, slice long, word binary, fan binary, before binary, times binary, docs binary")
 
         def look_up(key: tuple, got: pd.DataFrame, tries: pd.DataFrame) -> pd.DataFrame:
+            trim()
             if not len(got):
                 return pd.DataFrame({"slice": pd.Series(dtype=np.int64), "own": pd.Series(dtype=bool), **{c: pd.Series(dtype=object) for c in "abcd"}})
             if key[0] < 0:  # the slices' own rows pass through, dealt as evenly as the shards
                 return pd.DataFrame({"slice": got["slice"], "own": True, "a": got["word"], "b": got["fan"], "c": got["before"], "d": got["times"]})
-            word, before = _pairs(got)
-            order = np.lexsort((before, word))
-            word, before = word[order], before[order]
-            new = _runs(word, before)
-            back = np.empty(len(order), np.uint32)
-            back[order] = np.repeat(np.arange(len(new), dtype=np.uint32), np.diff(np.append(new, len(order))))
-            del order
-            word, before = word[new], before[new]
-            del new
-            counts, has, log_p = BigramTrie.mapped(tries["trie"].iloc[0]).find(word, before) if len(tries) else (np.zeros(len(word), np.int64), np.zeros(len(word), bool), np.zeros(len(word)))
-            spread = dealing.counts(word)
-            known = np.where(spread >= 0, spread, counts)
-            # the token's own share, without the context's count, which the context's shard takes off: the end is no context
-            log_p = np.where(has, log_p, np.log10(mu * (known + alpha) / size)) - np.where(word == _END, 0.0, np.log10(known + mu))
-            log_base = np.log10(known + alpha)
-            learns = known > 0
-            del word, before, counts, has, spread, known
-            rows, at = [], 0
-            for r in got.itertuples():
-                times = _from_small(r.times, len(r.before) // _BEFORE)
-                doc = np.frombuffer(r.docs, np.uint16 if len(r.docs) == 2 * int(times.sum()) else np.uint32)
-                each = np.repeat(back[at : at + len(times)], times)
-                at += len(times)
-                m = int(doc.max()) + 1
-                score, base, learnt = np.bincount(doc, log_p[each], m), np.bincount(doc, log_base[each], m), np.bincount(doc, learns[each], m)
-                some = np.flatnonzero(np.bincount(doc, minlength=m))
-                rows.append((r.slice, False, some.astype(np.uint32).tobytes(), score[some].tobytes(), base[some].tobytes(), learnt[some].astype(np.uint32).tobytes()))
+            trie = BigramTrie.mapped(tries["trie"].iloc[0]) if len(tries) else None
+            rows = [(r, False, *(x.tobytes() for x in found)) for r, *found in _found(dealing, got, trie, mu, alpha, size)]
             return pd.DataFrame(rows, columns=["slice", "own", "a", "b", "c", "d"])
 
         tries = self.tries.withColumn("cut", F.explode(F.sequence(F.lit(0), F.lit(cuts - 1))))
@@ -250,6 +268,7 @@ class LanguageModel:
         begin = -float(np.log10(dealing.trained + mu))  # of the context before the first token
 
         def gather(got: pd.DataFrame) -> pd.DataFrame:
+            trim()
             own = got[got["own"]].iloc[0]
             ids, tokens = np.frombuffer(own["a"], np.int64), np.frombuffer(own["c"], np.int64)
             m = len(ids)
@@ -281,6 +300,7 @@ def train(docs: DataFrame, mu: float = 20.0, alpha: float = 0.1, text_col: str =
     size = n + alpha * (v + 1)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         for batch in slices(batches, limit=_SLICE):
             out = [packed[:5] for packed in dealing.bigrams(batch)[1]]
             kinds = (pa.int32(), *[pa.binary()] * 4)
@@ -289,6 +309,7 @@ def train(docs: DataFrame, mu: float = 20.0, alpha: float = 0.1, text_col: str =
             del out  # before the next slice is made
 
     def build(key: tuple, got: pd.DataFrame) -> pd.DataFrame:
+        trim()
         word, before = _pairs(got)
         times = np.concatenate([_from_small(r.times, len(r.before) // _BEFORE).astype(np.uint32) for r in got.itertuples()])
         order = np.lexsort((before, word))

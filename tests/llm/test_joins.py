@@ -7,6 +7,7 @@ import zlib
 from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -544,6 +545,26 @@ def test_memory_of_a_slice_and_of_a_trie():
     assert peak(lambda: elias_fano.BigramTrie.of(*args)) < 90 * n
 
 
+def test_memory_of_looking_up_a_shard(monkeypatch):
+    """A shard's rows are looked up some at a time, with the same sums."""
+    rng = np.random.default_rng(2)
+    none = SimpleNamespace(value=(np.empty(0, np.uint64), np.empty(0, np.int64)))
+    dealing, n, each = lm_scoring._Dealing(1, 400, none), 1_500_000, 25_000
+    words = rng.integers(0, 1 << 60, 200_000).astype(np.uint64)
+    tokens = [(words[rng.zipf(1.2, each) % 200_000], words[rng.integers(0, 200_000, each)] & np.uint64((1 << 48) - 1)) for _ in range(n // each)]
+    rows = [(k, *lm_scoring._packed(w, b, np.sort(rng.integers(0, 100, each)).astype(np.uint16))) for k, (w, b) in enumerate(tokens)]
+    got = pd.DataFrame(rows, columns=["slice", "word", "fan", "before", "times", "docs"])
+    pairs = np.unique(np.array([(w, b) for x in tokens[:4] for w, b in zip(*x)], np.uint64), axis=0)
+    trie = elias_fano.BigramTrie.of(pairs[:, 0], pairs[:, 1], np.linspace(-3, 1, len(pairs)), np.arange(len(np.unique(pairs[:, 0]))))
+    run = lambda: list(lm_scoring._found(dealing, got, trie, 20.0, 0.1, 1e6))
+    assert peak(run) < 60 * n  # all of them at once take over 100
+    some = run()
+    monkeypatch.setattr(lm_scoring, "_ASKED", 1 << 40)
+    whole = run()
+    assert len(some) == len(whole) == len(got)
+    assert all(x[0] == y[0] and all(map(np.array_equal, x[1:], y[1:])) for x, y in zip(some, whole))
+
+
 def test_scores_of_odd_rows(odd_docs, no_docs):
     got = lm_scoring.score_texts(odd_docs, F.col("doc_id") == 3).collect()
     assert len(got) == odd_docs.count() and {r["doc_id"] for r in got if r["held_out"]} == {3, None}
