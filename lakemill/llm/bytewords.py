@@ -137,3 +137,44 @@ def shingle_hashes(words: np.ndarray, offs: np.ndarray, size: int = 5) -> list[n
         else:
             out.append(np.empty(0, np.uint64))
     return out
+
+
+def latin_kinds(spaces: str) -> bytes:
+    """For ``bytes.translate``: of each Latin-1 character 0 for one of ``spaces``, else 1 for a letter, 2 for a number and 3 for any other."""
+    each = [chr(i) for i in range(256)]
+    return bytes(0 if c in spaces else 1 if c.isalpha() else 2 if c.isnumeric() else 3 for c in each)
+
+
+def latin_bytes(texts: list[str]) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """Latin-1 bytes of the texts end to end with two zeros behind them, their n + 1 offsets, and where a text begins or all end; no texts beyond Latin-1."""
+    raw = [t.encode("latin-1") for t in texts]
+    offs = np.zeros(len(raw) + 1, np.int64)
+    np.cumsum([len(r) for r in raw], out=offs[1:])
+    edge = np.zeros(offs[-1] + 3, bool)
+    edge[offs] = True
+    return b"".join([*raw, b"\0\0"]), offs, edge
+
+
+def cut_contractions(data: np.ndarray, edge: np.ndarray, start: np.ndarray) -> None:
+    """Where a piece starts with 's 't 'm 'd 're 've or 'll in ``data``, let it be just that."""
+    at = np.flatnonzero(start & (data[: len(start)] == 39))
+    first, second = np.where(edge[at + 1], 0, data[at + 1]), np.where(edge[at + 2], 0, data[at + 2])
+    size = np.isin(first, list(b"stmd")) + 2 * (np.isin(first, list(b"rv")) & (second == 101) | (first == 108) & (second == 108))
+    at, size = at[size > 0], size[size > 0]
+    start[at + 1] = False
+    behind = at + 1 + size
+    start[behind[behind < len(start)]] = True
+
+
+def distinct_pieces(data: np.ndarray, starts: np.ndarray, end: int) -> tuple[pa.Array, list[bytes]]:
+    """Which of the distinct pieces, and these: a piece is from one start to the next, the last one up to ``end``."""
+    places = pa.py_buffer(np.append(starts, end).astype(np.int32))
+    coded = pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, places, pa.py_buffer(data)]).dictionary_encode()
+    return coded.indices, coded.dictionary.to_pylist()
+
+
+def spread(values: list[bytes], codes: pa.Array, firsts: np.ndarray) -> list[memoryview]:
+    """The values of all ``codes`` end to end, cut before the codes with these numbers."""
+    raw, offs = text_bytes(pa.array(values, pa.binary()).take(codes))
+    raw, cuts = memoryview(np.ascontiguousarray(raw)), offs[firsts].tolist()
+    return [raw[a:b] for a, b in zip(cuts, cuts[1:])]

@@ -21,25 +21,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytewords import slices
+from .bytewords import cut_contractions, distinct_pieces, latin_bytes, latin_kinds, slices, spread
 from .scratch import Scratch, bounded_broadcast, trim
 
 #: Rows that one task packs at a time.
 BLOCK_ROWS = 32_768
-#: Words whose ids a task remembers, at most; it starts anew beyond that.
+#: Words after which a task begins a new table of their ids; the one before is kept until then.
 REMEMBERED = 200_000
 
-_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[{L}]+|[{N}]|[^\s{L}{N}]+"
 # The texts that the quick path takes: printable Latin-1 without the no-break space, which NFC leaves as they are.
 _PLAIN = re.compile("[^\t\n\r -~¡-ÿ]")
-_PLAIN_WORDS = re.compile(_WORDS.format(L="a-zA-ZªµºÀ-ÖØ-öø-ÿ", N="0-9²³¹¼-¾"))
+_KINDS = latin_kinds("\t\n\r ")
+# The characters that byte-level tokenizers write for bytes: printable Latin-1 for itself, the others from 256.
+_OWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_SPELT = {b: 256 + k for k, b in enumerate(sorted(set(range(256)).difference(_OWN)))}
+_LOWER = bytes(ord(chr(i).lower()) for i in range(256))
 
 
 class WordIds:
     """Ids of whole texts by a tokenizer file that lower-cases, splits at words and has no ids across them.
 
-    Texts of printable Latin-1 are split here and each distinct word is encoded once by the library; any other text, and
-    one with a special token's string, is encoded whole by the library.
+    Texts of printable Latin-1 are split here, many at a time in numpy, and each distinct word is encoded once by the library;
+    any other text, and one with a special token's string, is encoded whole by the library.
     """
 
     def __init__(self, data: bytes):
@@ -48,46 +51,68 @@ class WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_buffer(data)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         tokens = self.tokenizer.get_vocab()
-        self.closes = np.zeros(max(tokens.values()) + 1, bool)
-        self.closes[[i for t, i in tokens.items() if t.endswith("</w>")]] = True
+        self.merges = self.tokenizer.model.tokenize
+        self.four = [i.to_bytes(4, "little") for i in range(max(tokens.values()) + 1)]
 
     def _bytes(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of each word, many at a call: as one text, cut where an id closes a word."""
-        found: list[bytes] = []
-        parts = [words[k : k + 500] for k in range(0, len(words), 500)]
-        for some, raw in zip(parts, self._bytes([" ".join(p) for p in parts])):
-            cuts = (4 * np.flatnonzero(self.closes[np.frombuffer(raw, "<u4")]) + 4).tolist()
-            found += [raw[a:b] for a, b in zip([0, *cuts], cuts)] if len(cuts) == len(some) else self._bytes(some)
-        return found
+    def _word(self, word: bytes) -> bytes:
+        """Ids of a Latin-1 word, by the library's merges alone: it is in lower case, composed and cut already."""
+        text = word.decode("latin-1")
+        if len(text) > 64:  # an object for each id would be large
+            return self._bytes([text])[0]
+        if not text.isascii():
+            text = text.encode().decode("latin-1").translate(_SPELT)
+        return b"".join([self.four[t.id] for t in self.merges(text)])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, four little-endian bytes each."""
-        out: list[bytes | None] = []
-        words: list[list[str]] = []
-        for text in texts:
-            if _PLAIN.search(text) or any(s in text for s in self.special):
-                out.append(self._bytes([text])[0])
-                words.append([])
-            else:
-                out.append(None)
-                words.append(_PLAIN_WORDS.findall(text.lower()))
-        if len(self.known) >= REMEMBERED:
-            self.known.clear()
+        out = [self._bytes([t])[0] if _PLAIN.search(t) or any(s in t for s in self.special) else None for t in texts]
+        quick = iter(self._plain([t for t, done in zip(texts, out) if done is None]))
+        return [next(quick) if done is None else done for done in out]
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        raw, offs, edge = latin_bytes(texts)
+        n = int(offs[-1])
+        raw = raw.translate(_LOWER)
+        data, kind = np.frombuffer(raw, np.uint8), np.frombuffer(raw.translate(_KINDS), np.uint8, n)
+        del raw
+        start = edge[:n] | (kind == 2)  # numbers stand alone
+        start[1:] |= kind[1:] != kind[:-1]
+        cut_contractions(data, edge, start)
+        starts = np.flatnonzero(start & (kind > 0))
+        codes, pieces = distinct_pieces(data, starts, n)  # with the white space behind them
+        words = [p.rstrip(b"\t\n\r ") for p in pieces]
+        if len(self.known) >= REMEMBERED:  # what is still met comes back from the older half
+            self.older, self.known = self.known, {}
         known = self.known
-        new = list(set().union(*words).difference(known))
-        known.update(zip(new, self._words(new)))
-        found = [b"".join([known[w] for w in some]) if done is None else done for some, done in zip(words, out)]
+        missing = set(words).difference(known)
+        known.update((w, self.older[w]) for w in missing.intersection(self.older))
+        new = list(missing.difference(self.older))
+        known.update((w, self._word(w)) for w in new)
+        found = [bytes(x) for x in spread([known[w] for w in words], codes, np.searchsorted(starts, offs))]
         for w in new:
             if len(w) > 64:
                 del known[w]
         return found
 
 
+_CODERS: dict[int, WordIds] = {}
+
+
+def _coder(data: bytes) -> WordIds:
+    """The coder of this Python worker, which keeps what it has learnt from one task to the next."""
+    key = hash(data)
+    if key not in _CODERS:
+        _CODERS.clear()
+        _CODERS[key] = WordIds(data)
+    return _CODERS[key]
+
+
 def nnls(a: np.ndarray, b: np.ndarray, tolerance: float = 1e-9) -> np.ndarray:
     """x >= 0 that minimises ``|a x - b|``, by the active-set method of Lawson and Hanson on the normal equations."""
     n = a.shape[1]
@@ -212,8 +237,8 @@ def cut_into_pieces(docs: DataFrame, tokenizer: bytes, end_id: int, window: int,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trim()
-        coder = WordIds(shared.value)
-        for batch in slices(batches, limit=1 << 20):
+        coder = _coder(shared.value)
+        for batch in slices(batches, limit=4 << 20):
             rows: list[tuple[int, int, int, int, int]] = []
             ids: list[bytes] = []
             for i, coded in enumerate(coder.encode([t or "" for t in batch.column("text").to_pylist()])):

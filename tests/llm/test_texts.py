@@ -195,6 +195,26 @@ def test_packing(docs, odd_docs, no_docs):
     assert packing.pack(no_docs, file).count() == 0
 
 
+def test_words_as_the_library_and_each_once(monkeypatch):
+    """Latin-1 texts are cut as the library cuts them; words that are still met are not encoded again, in later tasks neither."""
+    monkeypatch.setattr(packing, "REMEMBERED", 300)
+    data, rng = tokenizer_file("word_bpe_49k.json"), random.Random(6)
+    coder = packing._coder(data)
+    letters = "abcdesvtmlrdSTMD\u00c0\u00e9\u00d7\u00f7\u00ff\u00b5\u00b2\u00bd\u00bc0129  \t\n" + "'" * 4 + ".,!-_\u00df\u00a1\u00ad"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(3000)]
+    texts += ["", "'", "a'", "'s", "'", "s", "'r", "e", " ", "x" * 500 + "'ll" + "\u00e9" * 300, "\u4e2d it's", "<|endoftext|> he'll"]
+    for a in range(0, len(texts), 400):
+        assert coder.encode(texts[a : a + 400]) == coder._bytes(texts[a : a + 400])
+    merges, asked = coder.merges, []
+    coder.merges = lambda word: asked.append(word) or merges(word)
+    often = [f"often{chr(97 + k)}" for k in range(26)]
+    for k in range(100):
+        coder.encode([" ".join([*often, *(f"rare{chr(97 + k % 26)}{chr(97 + k // 26)}{chr(97 + i)}" for i in range(20))])])
+    coder.merges = merges
+    assert all(asked.count(w) == 1 for w in often) and len(coder.known) + len(coder.older) < 700
+    assert packing._coder(bytes(bytearray(data))) is coder
+
+
 def test_little_padding():
     rng = np.random.default_rng(1)
     lengths = np.minimum(rng.lognormal(6, 1, 20_000).astype(int) + 1, 2048)
