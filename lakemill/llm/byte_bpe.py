@@ -13,17 +13,20 @@ import hashlib
 import re
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytewords import slices
+from .bytewords import cut_contractions, distinct_pieces, latin_bytes, latin_kinds, slices, spread
 from .scratch import bounded_broadcast
 
 #: Pieces whose encoding a task remembers, at most; it starts anew beyond that.
 REMEMBERED = 150_000
 _NEVER = 1 << 62
+#: Bytes of text that a task encodes at a time.
+_SLICE = 4 << 20
 
 
 class PrefixBpe:
@@ -195,6 +198,7 @@ class Prefixes:
 # Letters, numbers and white space below U+0250, as the Unicode classes L, N and White_Space have them.
 _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", "\\t-\\r \\x85\\xa0"
 _BEYOND = re.compile("[^\\x00-ɏ]")
+_LATIN = re.compile("[^\\x00-ÿ]")
 
 
 def splitter(pattern: str):  # noqa: ANN201
@@ -208,11 +212,31 @@ def splitter(pattern: str):  # noqa: ANN201
     return lambda text: (full if _BEYOND.search(text) else fast).findall(text)
 
 
+#: The pattern whose matches :func:`latin_starts` finds.
+LATIN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_KINDS = latin_kinds("\t\n\x0b\x0c\r \x85\xa0")
+
+
+def latin_starts(raw: bytes, edge: np.ndarray) -> np.ndarray:
+    """Where the matches of ``LATIN_PATTERN`` begin in texts of Latin-1, as :func:`.bytewords.latin_bytes` has them."""
+    n = len(raw) - 2
+    data, kind = np.frombuffer(raw, np.uint8), np.frombuffer(raw.translate(_KINDS), np.uint8, n)
+    new = edge[:n].copy()
+    new[1:] |= kind[1:] != kind[:-1]
+    start = new.copy()
+    # a run but of white space takes the blank before it; the white space before that, or up to another character, is a match of its own
+    behind = np.flatnonzero(new[1:] & ~edge[1:n] & (kind[:-1] == 0)) + 1
+    start[behind - 1] = True
+    start[behind[data[behind - 1] == 32]] = False
+    cut_contractions(data, edge, start)
+    return np.flatnonzero(start)
+
+
 class Coder:
     """Encodes whole texts for a task, remembering the pieces it has met."""
 
     def __init__(self, bpe: PrefixBpe, pattern: str):
-        self.bpe, self.split = bpe, splitter(pattern)
+        self.bpe, self.split, self.latin = bpe, splitter(pattern), pattern == LATIN_PATTERN
         self.encoded: dict[str, str] = {}
         self.older: dict[str, str] = {}
         self.decoded: dict[str, bytes] = {}
@@ -242,6 +266,33 @@ class Coder:
         return b"".join([known[p] if p in known else b"".join(tokens[int(i)] for i in p.split()) for p in pieces])
 
 
+    def encode_and_decode(self, texts: list[str]) -> list[tuple[int, bytes, bytes]]:
+        """Of each text how many ids it has, these in decimal, joined by spaces, and the bytes that they decode to.
+
+        Texts of Latin-1 are cut many at a time in numpy, and each of their distinct pieces is met once; others are cut by the pattern.
+        """
+        quick = [self.latin and (t.isascii() or _LATIN.search(t) is None) for t in texts]
+        found = iter(self._latin([t for t, q in zip(texts, quick) if q]))
+        return [next(found) if q else self._whole(t) for t, q in zip(texts, quick)]
+
+    def _whole(self, text: str) -> tuple[int, bytes, bytes]:
+        pieces = self.encode(text)
+        spelt = " ".join(pieces)
+        return spelt.count(" ") + 1 if spelt else 0, spelt.encode(), self.decode(pieces)
+
+    def _latin(self, texts: list[str]) -> list[tuple[int, bytes, bytes]]:
+        raw, offs, edge = latin_bytes(texts)
+        starts = latin_starts(raw, edge)
+        codes, pieces = distinct_pieces(np.frombuffer(raw, np.uint8), starts, int(offs[-1]))
+        del raw, edge
+        spelt = [self.encoded.get(p) or self._learn(p) for p in (p.decode("latin-1") for p in pieces)]
+        firsts = np.searchsorted(starts, offs)
+        n = np.append(0, np.cumsum(np.array([s.count(" ") + 1 for s in spelt], np.int64)[codes.to_numpy()]))[firsts]
+        coded = spread([s.encode() + b" " for s in spelt], codes, firsts)
+        back = spread([self.decode([s]) for s in spelt], codes, firsts)
+        return [(k, bytes(c[:-1]), bytes(b)) for k, c, b in zip(np.diff(n).tolist(), coded, back)]
+
+
 _CODERS: dict[int, Coder] = {}
 
 
@@ -264,16 +315,14 @@ def encode_texts(docs: DataFrame, bpe: PrefixBpe, pattern: str, id_col: str = "d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(*shared.value)
-        for batch in slices(batches):
+        for batch in slices(batches, limit=_SLICE):
             n, ids, coded, back = [], [], [], []
-            for text in batch.column("text").to_pylist():
-                pieces = coder.encode(text or "")
-                spelt = " ".join(pieces)
-                n.append(spelt.count(" ") + 1 if spelt else 0)
+            for count, spelt, decoded in coder.encode_and_decode([t or "" for t in batch.column("text").to_pylist()]):
+                n.append(count)
                 if with_ids:
                     ids.append([int(i) for i in spelt.split()])
-                coded.append(hashlib.sha256(spelt.encode()).hexdigest())
-                back.append(hashlib.sha256(coder.decode(pieces)).hexdigest())
+                coded.append(hashlib.sha256(spelt).hexdigest())
+                back.append(hashlib.sha256(decoded).hexdigest())
             columns = {"id": batch.column("id"), "n_tokens": pa.array(n, pa.int64())} | ({"ids": pa.array(ids, pa.list_(pa.int32()))} if with_ids else {}) | {"ids_sha256": pa.array(coded, pa.string()), "decoded_sha256": pa.array(back, pa.string())}
             yield pa.RecordBatch.from_pydict(columns)
 

@@ -122,6 +122,23 @@ def test_long_pieces_are_not_remembered(bpe):
     assert len(coder.decoded) == len(coder.encoded) == 3
 
 
+def test_latin_texts_are_cut_together_as_the_library_cuts_them(bpe, library):
+    """The pattern is run for other texts alone, and each distinct piece of a slice is met once."""
+    rng, coder, cut = random.Random(8), byte_bpe.Coder(bpe, P.PATTERN), []
+    split = coder.split
+    coder.split = lambda text: cut.append(text) or split(text)
+    letters = "abcdesvtmlrdSTMDÀé×÷ÿµ²½¼0129   \t\n\n.,!-_ß¡­\x85\xa0\x1c\x00\x0b" + "'" * 4
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(3000)]
+    texts += ["", "'", "a'", "'s", "'", "s", "'r", "e", "  ", " x", "x ", " ", "\n", "中 it's", " 's"]
+    for a in range(0, len(texts), 400):
+        some = texts[a : a + 400]
+        ids = [library.encode_ordinary(t) for t in some]
+        assert coder.encode_and_decode(some) == [(len(i), " ".join(map(str, i)).encode(), t.encode()) for i, t in zip(ids, some)]
+    assert cut == ["中 it's"]
+    other = byte_bpe.Coder(bpe, r"\s+|\S+")
+    assert [d for *_, d in other.encode_and_decode(texts)] == [t.encode() for t in texts]
+
+
 def test_append_and_edit(bpe):
     rng = random.Random(4)
     text = byte_bpe.Prefixes(bpe, b"there is a longer piece of text here " * 12)
