@@ -24,7 +24,7 @@ _FOLDED = _CODE[LOWER]  # hashing with these lower-cases A-Z on the way
 _P = int(_rng.integers(1 << 62, 1 << 63)) * 2 % (1 << 64) | 5
 _P_INVERSE = pow(_P, -1, 1 << 64)
 _GAPS = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BLOCK = 1 << 19
+_BLOCK = 1 << 17
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -46,8 +46,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-#: Bytes of text that one numpy pass works on; a longer text is a pass of its own.
-SLICE_BYTES = 1 << 20
+#: Bytes of text that one numpy pass works on; a longer text is a pass of its own. The smaller one is for passes that hold many arrays at once.
+SLICE_BYTES, SMALL_SLICE = 1 << 20, 1 << 18
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

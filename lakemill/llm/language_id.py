@@ -17,14 +17,14 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bytewords import slices, sums, text_bytes
-from .scratch import BROADCAST_BYTES, bounded_broadcast, sampled, trim
+from .bytewords import SMALL_SLICE, slices, sums, text_bytes
+from .scratch import BROADCAST_BYTES, bounded_broadcast, lean, lean_group, let_go, sampled, trim
 
 #: Labelled rows that a model is fitted on, at most (about: rows are taken by a hash of their text and id).
 TRAINING_ROWS = 20_000
 UNDETERMINED = "und"
 #: Bytes of text whose n-grams are scored at a time, and numbers that their rows of the matrix take at a time.
-_SLICE, _CELLS = 1 << 20, 1 << 22
+_SLICE, _CELLS = SMALL_SLICE, 1 << 20
 _LETTER = regex.compile(r"\p{L}")
 _FOLD = np.arange(0x3000, dtype=np.uint32)
 for _i in range(0x3000):
@@ -117,8 +117,8 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", bit
     def add(own: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"lang": [own["lang"].iloc[0]], "counts": [sum(np.frombuffer(c, np.int64) for c in own["counts"]).tobytes()]})
 
-    counted = known.select("lang", "text").repartition(6).mapInArrow(count, "lang string, counts binary")
-    found = counted.groupBy("lang").applyInPandas(add, "lang string, counts binary").collect()  # of fixed size: a language's buckets
+    counted = known.select("lang", "text").repartition(6).mapInArrow(lean(count), "lang string, counts binary")
+    found = counted.groupBy("lang").applyInPandas(lean_group(add), "lang string, counts binary").collect()  # of fixed size: a language's buckets
     log_p = np.empty((1 << bits, len(languages)), np.float32)
     log_p[:] = np.log(1 / (1 << bits))
     for r in found:
@@ -135,11 +135,12 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> t
 
     @F.pandas_udf("lang string, score double")
     def predict(texts):  # noqa: ANN001, ANN202
-        trim()
+        let_go()
         out = []
         for piece in slices([pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])], limit=_SLICE):
             lang, score = shared.value.scores(piece.column("text")) if shared.value.languages else ([UNDETERMINED] * piece.num_rows, np.zeros(piece.num_rows))
             out.append(pd.DataFrame({"lang": lang, "score": score}))
+        trim()
         return pd.concat(out) if out else pd.DataFrame({"lang": pd.Series(dtype=str), "score": pd.Series(dtype=float)})
 
     found = predict(F.col(text_col).cast("string"))
@@ -169,5 +170,5 @@ def with_language(docs: DataFrame, model: LanguageModel, text_col: str = "text",
 
     if whole:
         raise ValueError("keep an id and join, or use identify()")
-    out = rows.mapInArrow(run, ", ".join([*(f"k{i} {kind}" for i, kind in enumerate(kinds)), "lang_out string, score_out double"]))
+    out = rows.mapInArrow(lean(run), ", ".join([*(f"k{i} {kind}" for i, kind in enumerate(kinds)), "lang_out string, score_out double"]))
     return out.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), F.col("lang_out").alias(lang_out), F.col("score_out").alias(score_out))

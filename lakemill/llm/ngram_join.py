@@ -30,9 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytewords import mix, shingle_hashes, slices, span_hashes, text_bytes, word_spans
+from .bytewords import SMALL_SLICE, mix, shingle_hashes, slices, span_hashes, text_bytes, word_spans
 from .components import connected_components, least_linked
-from .scratch import Scratch, bounded_broadcast, matching, trim
+from .scratch import Scratch, bounded_broadcast, lean, lean_group, matching
 
 #: Documents that hold a token, from which it comes last in the order.
 FREQUENT = 32
@@ -49,7 +49,7 @@ BLOCK_TOKENS = 500_000
 #: Shares that the pairs of one node are dealt over.
 _SHARES = 16
 #: Tokens that one task sorts, about.
-_BUCKET = 1_000_000
+_BUCKET = 600_000
 
 
 def _sets(batch: pa.RecordBatch, words: int) -> list[np.ndarray]:
@@ -89,7 +89,6 @@ def frequent_tokens(rows: DataFrame, words: int, buckets: int) -> DataFrame:
     """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trim()
         for batch in slices(batches, limit=4 << 20):
             all_sets = [s[: np.searchsorted(s, _COUNTED)] for s in _sets(batch, words)]
             tokens = np.sort(np.concatenate([np.empty(0, np.uint64), *all_sets]))
@@ -98,11 +97,10 @@ def frequent_tokens(rows: DataFrame, words: int, buckets: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in cuts], pa.int32()), pa.array([tokens[a:b].tobytes() for _, a, b in cuts], pa.binary())], ["bucket", "tokens"])
 
     def count(rows: pd.DataFrame) -> pd.DataFrame:
-        trim()
         tokens, held = np.unique(np.frombuffer(b"".join(rows["tokens"]), np.uint64), return_counts=True)
         return pd.DataFrame({"token": tokens[held > FREQUENT].view(np.int64), "held": held[held > FREQUENT]})
 
-    return rows.select("text").mapInArrow(send, "bucket int, tokens binary").groupBy("bucket").applyInPandas(count, "token long, held long")
+    return rows.select("text").mapInArrow(lean(send), "bucket int, tokens binary").groupBy("bucket").applyInPandas(lean_group(count), "token long, held long")
 
 
 def sketches(rows: DataFrame, frequent: np.ndarray, words: int, percent: int) -> DataFrame:
@@ -110,9 +108,8 @@ def sketches(rows: DataFrame, frequent: np.ndarray, words: int, percent: int) ->
     shared = bounded_broadcast(rows.sparkSession, frequent, frequent.nbytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trim()
         late = shared.value
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SMALL_SLICE):
             out = []
             for s in _sets(batch, words):
                 n = len(s)
@@ -134,7 +131,7 @@ def sketches(rows: DataFrame, frequent: np.ndarray, words: int, percent: int) ->
             names = ("n", "high", "low", "least", "sketch", "rare", "under", "late")
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(zip(*out), kinds))], ["doc_id", *names])
 
-    return rows.mapInArrow(run, "doc_id long, n long, high long, low long, least array<long>, sketch array<long>, rare int, under int, late array<long>")
+    return rows.mapInArrow(lean(run), "doc_id long, n long, high long, low long, least array<long>, sketch array<long>, rare int, under int, late array<long>")
 
 
 def _stars(nodes: DataFrame) -> DataFrame:
@@ -150,13 +147,13 @@ def _node_sets(rows: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
     """``(node, tokens)`` of the ``nodes (node)``, built anew from their texts."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SMALL_SLICE):
             own = _sets(batch, words)
             offs = np.concatenate([[0], np.cumsum([len(s) for s in own])]).astype(np.int32)
             values = np.concatenate([np.empty(0, np.uint64), *own]).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(offs), pa.array(values))], ["node", "tokens"])
 
-    return matching(rows, "doc_id", nodes).mapInArrow(sets, "node long, tokens array<long>")
+    return matching(rows, "doc_id", nodes).mapInArrow(lean(sets), "node long, tokens array<long>")
 
 
 def _with_both(pairs: DataFrame, info: DataFrame) -> DataFrame:
@@ -199,7 +196,6 @@ def _meet(grouped: DataFrame, percent: int, buckets: int) -> DataFrame:
     """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trim()
         for batch in batches:
             group, size, slack, rare = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("group", "size", "slack", "rare"))
             length = np.diff(batch.column("sketch").offsets.to_numpy())
@@ -218,7 +214,6 @@ def _meet(grouped: DataFrame, percent: int, buckets: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int32()))], ["bucket", "tokens", "places", "groups", "n"])
 
     def pair(rows: pd.DataFrame) -> pd.DataFrame:
-        trim()
         tokens = np.frombuffer(b"".join(rows["tokens"]), np.uint64)
         lists = np.concatenate([np.frombuffer(x, np.int64).reshape(3, -1) for x in rows["groups"]], axis=1)
         base = np.cumsum(rows["n"].to_numpy()) - rows["n"].to_numpy()
@@ -259,8 +254,8 @@ def _meet(grouped: DataFrame, percent: int, buckets: int) -> DataFrame:
         found = pd.DataFrame(np.concatenate(out, axis=1).T if out else np.empty((0, 7), np.int64), columns=["g", "h", "shared", "slack_g", "slack_h", "hub", "several"])
         return found.groupby(["g", "h"], as_index=False).agg({"shared": "sum", "slack_g": "max", "slack_h": "max", "hub": "max", "several": "max"})
 
-    sent = grouped.mapInArrow(send, "bucket int, tokens binary, places binary, groups binary, n int")
-    met = sent.groupBy("bucket").applyInPandas(pair, "g long, h long, shared long, slack_g long, slack_h long, hub long, several long")
+    sent = grouped.mapInArrow(lean(send), "bucket int, tokens binary, places binary, groups binary, n int")
+    met = sent.groupBy("bucket").applyInPandas(lean_group(pair), "g long, h long, shared long, slack_g long, slack_h long, hub long, several long")
     bound = F.sum("shared") * 2 * (100 + percent) + F.max("slack_g") + F.max("slack_h")
     found = met.groupBy("g", "h").agg(bound.alias("bound"), (F.max("hub") > 0).alias("hub"), (F.max("several") > 0).alias("several"))
     return found.where("bound >= 0 or hub").select("g", "h", (F.col("hub") | F.col("several")).alias("hub"))
@@ -301,7 +296,6 @@ def _compared_in_blocks(members: DataFrame, rows: DataFrame, words: int, percent
     sets = _node_sets(rows, members.select("node"), words).join(placed, "node").select("cluster", "node", "tokens", "large", "cell.kind", "cell.x", "cell.y")
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        trim()
         cells = [one_cell(got) for _, got in rows.groupby(["cluster", "kind", "x", "y"]) if len(got) > 1]
         return pd.concat(cells) if cells else pd.DataFrame({"a": pd.Series(dtype=np.int64), "b": pd.Series(dtype=np.int64)})
 
@@ -326,7 +320,7 @@ def _compared_in_blocks(members: DataFrame, rows: DataFrame, words: int, percent
         return pd.DataFrame({"a": node, "b": node[root]})[root != np.arange(len(n))]
 
     name = F.xxhash64("cluster", "kind", "x", "y")  # two blocks are a group of rows of their own, however many there are
-    return sets.withColumn("bin", F.when(F.col("large"), name).otherwise(F.pmod(name, F.lit(bins)))).drop("large").groupBy("bin").applyInPandas(compare, "a long, b long")
+    return sets.withColumn("bin", F.when(F.col("large"), name).otherwise(F.pmod(name, F.lit(bins)))).drop("large").groupBy("bin").applyInPandas(lean_group(compare), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import cut_contractions, distinct_pieces, latin_bytes, latin_kinds, slices, spread
-from .scratch import Scratch, bounded_broadcast, trim
+from .scratch import Scratch, bounded_broadcast, kept, lean
 
 #: Rows that one task packs at a time.
 BLOCK_ROWS = 32_768
@@ -101,16 +101,9 @@ class WordIds:
         return found
 
 
-_CODERS: dict[int, WordIds] = {}
-
-
 def _coder(data: bytes) -> WordIds:
-    """The coder of this Python worker, which keeps what it has learnt from one task to the next."""
-    key = hash(data)
-    if key not in _CODERS:
-        _CODERS.clear()
-        _CODERS[key] = WordIds(data)
-    return _CODERS[key]
+    """The coder of this Python worker, which keeps what it has learnt from one task to the next, until another operator's starts."""
+    return kept(("packing", hash(data)), lambda: WordIds(data))
 
 
 def nnls(a: np.ndarray, b: np.ndarray, tolerance: float = 1e-9) -> np.ndarray:
@@ -236,9 +229,8 @@ def cut_into_pieces(docs: DataFrame, tokenizer: bytes, end_id: int, window: int,
     close = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trim()
         coder = _coder(shared.value)
-        for batch in slices(batches, limit=4 << 20):
+        for batch in slices(batches):
             rows: list[tuple[int, int, int, int, int]] = []
             ids: list[bytes] = []
             for i, coded in enumerate(coder.encode([t or "" for t in batch.column("text").to_pylist()])):
@@ -255,7 +247,7 @@ def cut_into_pieces(docs: DataFrame, tokenizer: bytes, end_id: int, window: int,
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long{', ids binary' * with_ids}")
+    return rows.mapInArrow(lean(run, keep="packing"), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long{', ids binary' * with_ids}")
 
 
 def pack(docs: DataFrame, tokenizer: bytes, end_id: int = 1, window: int = 2048, unit: int = 8, depth: int = 3, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:

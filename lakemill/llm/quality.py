@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bytewords import slices, span_hashes, sums, text_bytes, word_spans
-from .scratch import BROADCAST_BYTES, Scratch, bounded_broadcast, sampled, trim
+from .bytewords import SMALL_SLICE, slices, span_hashes, sums, text_bytes, word_spans
+from .scratch import BROADCAST_BYTES, Scratch, bounded_broadcast, lean, sampled
 
 #: Labelled documents that the classifier is fitted on, at most (about: they are taken by a hash of the id).
 TRAINING_ROWS = 20_000
@@ -111,10 +111,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, id_col: s
     some = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(known, "id").where("text is not null")
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SMALL_SLICE):
             yield pa.RecordBatch.from_arrays([batch.column("id").cast(pa.int64()), batch.column("y"), pa.array(list(features(batch.column("text"))), pa.list_(pa.float64()))], ["id", "y", "x"])
 
-    found = some.select("id", "y", "text").mapInArrow(told, "id long, y double, x array<double>").toPandas().sort_values("id")
+    found = some.select("id", "y", "text").mapInArrow(lean(told), "id long, y double, x array<double>").toPandas().sort_values("id")
     return fit_rows(np.stack(found["x"].to_list()) if len(found) else np.empty((0, 1)), (found["y"].to_numpy() >= 0.5).astype(float))
 
 
@@ -172,13 +172,12 @@ def judge(docs: DataFrame, labels: DataFrame, classifier: Classifier | None = No
     shared = bounded_broadcast(spark, classifier, 8 * (len(classifier.weights) + 3 * len(classifier.mean)))
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trim()
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SMALL_SLICE):
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("host"), batch.column("path"), pa.array(shared.value.evidence(batch.column("text")), pa.float64())], ["id", "host", "path", "evidence"])
 
     site = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(k) for c, k in ((host_col, "host"), (path_col, "path"))]
     rows = docs.select(F.col(id_col).cast("long").alias("id"), *site, F.col(text_col).cast("string").alias("text"))
-    told = scratch.table(rows.mapInArrow(tell, "id long, host string, path string, evidence double"), "evidence")
+    told = scratch.table(rows.mapInArrow(lean(tell), "id long, host string, path string, evidence double"), "evidence")
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.avg(F.col(label_col).cast("double")).alias("y"))
     p = 1 / (1 + F.exp(-(F.col("evidence") + classifier.prior)))
     sites = scratch.table(site_shares(told.join(known, "id", "left").withColumn("p", p).select("host", "path", "y", "p")), "sites")
